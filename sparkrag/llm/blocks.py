@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from sparkrag.session import saved
 
 BLOCK_BYTES = 8 << 20
+#: Counted for each row besides its text, so that a block has fewer than 2**18 rows.
+ROW_BYTES = 64
 PACKED = "block long, n int, n_bytes long, payload binary"
 
 
@@ -41,7 +43,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held, size, block = [], 0, TaskContext.get().partitionId() << 32
+        held, size, block = [], 0, TaskContext.get().partitionId() << 20
 
         def flush() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
@@ -50,7 +52,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
+            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64) + ROW_BYTES
             ends, lo = np.cumsum(sizes), 0
             while lo < len(ends):
                 before = ends[lo - 1] if lo else 0

@@ -10,6 +10,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkrag.llm import ann
+
+    return ann.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkrag.llm import pii
 
@@ -26,6 +32,20 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkrag.llm import jaccard
+
+    return jaccard.similar_groups(_docs(spark, sf_dir))
+
+
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkrag.llm import lm
+
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    scored = lm.score(_docs(spark, sf_dir), ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkrag.llm import substring
 
@@ -33,6 +53,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkrag.llm import neardup
+
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,5 +84,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_licenses, op6_substring_dedup, op8_packing, op9_mixing, op10_langid)}
+QUERIES = {f.__name__: f for f in (
+    op1_ann, op2_pii, op3_licenses, op4_jaccard_join, op5_lm_scores, op6_substring_dedup, op7_embedding_dedup, op8_packing, op9_mixing, op10_langid)}
 ORACLES: dict[str, str] = {}
