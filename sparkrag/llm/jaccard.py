@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkrag.llm import blocks as B
 from sparkrag.llm.components import connected_components
@@ -303,21 +304,8 @@ def _verified(blocks: DataFrame, pairs: DataFrame, k: int, percent: int) -> Data
     return saved(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "similar")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes: int = 64 << 20) -> DataFrame:
-    """Each row's number of shingles and the group it is linked into: sets of k-word shingles (A-Z lower-cased) whose
-    Jaccard similarity is percent / 100 or more are linked.
-
-    docs needs doc_id (integer) and text; other columns are ignored, whatever their names. Equal sets are one class.
-    First, classes that share a min-hash are compared with a hub of theirs, which joins most near copies in few
-    comparisons. Then all classes meet by multi-match prefixes whose length each sets by estimated cost (see prefix);
-    pairs already in one group are left out, as they cannot change it. All candidates are verified on whole sets of
-    64-bit hashes. Returns a row for each input row: doc_id, n_shingles, component_id (smallest doc_id of the group).
-
-    Null, empty and wordless texts have no shingles and are linked with nothing; texts of fewer than k words have one,
-    the whole sequence. A null doc_id is linked as any, but never names a group that has another id. Repeated rows are
-    copies. No rows, no result rows.
-    """
-    blocks = B.pack_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+def _linked(blocks: DataFrame, k: int, percent: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(vid, doc_id, n, root) of all rows with shingles, and (vid, doc_id, n) of those without."""
     sets = _describe(blocks, k)
     classes = sets.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min_by(F.struct("vid", "keys"), "vid").alias("x"))
     classes = saved(classes.select("sig1", "sig2", "n", F.col("x.vid").alias("node"), F.col("x.keys").alias("keys")), "classes")
@@ -334,7 +322,7 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes:
 
     sketch = _frequency_sketch(blocks, k)
     usual = float(np.median(sketch))
-    load = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.float64))
+    load = blocks.sparkSession.sparkContext.broadcast(sketch.astype(np.float64))
     side = classes.select("node").join(parts, "node", "left").select(F.shiftright("node", ROW_BITS).alias("block"), F.col("node").alias("vid"), F.coalesce("root", "node").alias("part"))
     entries = _entries(blocks, side, k, percent, B.bucket_count(blocks, bucket_bytes), load, usual)
     second = _verified(blocks, saved(_candidates(entries, percent), "candidates"), k, percent)
@@ -342,8 +330,44 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes:
     roots = connected_components(first.union(second))
     named = classes.select("sig1", "sig2", F.col("n").alias("size"), "node").join(roots, "node", "left").select("sig1", "sig2", "size", F.coalesce("root", "node").alias("root"))
     named = saved(named, "named")
-    own = sets.select("doc_id", "n", "sig1", "sig2")
-    linked = saved(own.where("n > 0").withColumn("size", F.col("n")).join(named, ["sig1", "sig2", "size"]).select("doc_id", "n", "root"), "linked")
+    own = sets.select("vid", "doc_id", "n", "sig1", "sig2")
+    linked = saved(own.where("n > 0").withColumn("size", F.col("n")).join(named, ["sig1", "sig2", "size"]).select("vid", "doc_id", "n", "root"), "linked")
+    return linked, own.where("n = 0").select("vid", "doc_id", "n")
+
+
+def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes: int = 64 << 20) -> DataFrame:
+    """Each row's number of shingles and the group it is linked into: sets of k-word shingles (A-Z lower-cased) whose
+    Jaccard similarity is percent / 100 or more are linked.
+
+    docs needs doc_id (integer) and text; other columns are ignored, whatever their names. Equal sets are one class.
+    First, classes that share a min-hash are compared with a hub of theirs, which joins most near copies in few
+    comparisons. Then all classes meet by multi-match prefixes whose length each sets by estimated cost (see prefix);
+    pairs already in one group are left out, as they cannot change it. All candidates are verified on whole sets of
+    64-bit hashes. Returns a row for each input row: doc_id, n_shingles, component_id (smallest doc_id of the group).
+
+    Null, empty and wordless texts have no shingles and are linked with nothing; texts of fewer than k words have one,
+    the whole sequence. A null doc_id is linked as any, but never names a group that has another id. Repeated rows are
+    copies. No rows, no result rows.
+    """
+    blocks = B.pack_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    linked, alone = _linked(blocks, k, percent, bucket_bytes)
     lowest = saved(linked.groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest")
     out = linked.join(lowest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.union(own.where("n = 0").select("doc_id", "n", "doc_id"))
+    return out.union(alone.select("doc_id", "n", "doc_id"))
+
+
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes: int = 64 << 20) -> DataFrame:
+    """docs with one row of each group of similar_groups: that of the smallest doc_id (null last), the first of repeated
+    ones. Rows without shingles all stay. All columns are returned as they were."""
+    schema = docs.schema
+    blocks = B.pack_blocks(docs)
+    linked, alone = _linked(blocks, k, percent, bucket_bytes)
+    best = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "vid")).alias("x")).select("x.vid")
+    kept = best.union(alone.select("vid")).select(F.shiftright("vid", ROW_BITS).alias("block"), F.col("vid").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("row"))
+
+    def pick(own: pa.Table, rows: pa.Table) -> pa.Table:
+        at = pa.array(np.sort(np.asarray(rows["row"]).astype(np.int64)))
+        parts = [B.from_bytes(p).take(at) for p in own["payload"].to_pylist()]
+        return pa.concat_tables(parts) if parts else to_arrow_schema(schema).empty_table()
+
+    return B.with_side(blocks.select("block", "payload"), kept, pick, schema)
