@@ -169,7 +169,7 @@ def relative_path(url: Column) -> Column:
 
 def split_list(text: Column, separator: str = "<SEP>", unknown: str = "unknown_source") -> Column:
     """Trimmed parts in order of first appearance, without empty and unknown ones."""
-    parts = F.transform(F.split(text, rf"\Q{separator}\E"), F.trim)
+    parts = F.transform(F.split(text, rf"\Q{separator}\E"), lambda p: F.trim(p))
     return F.array_distinct(F.filter(parts, lambda p: (p != "") & (p != unknown)))
 
 

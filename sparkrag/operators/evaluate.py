@@ -32,6 +32,25 @@ def recall_at_k_any(ranked: DataFrame, refs: DataFrame, ks: tuple[int, ...] = KS
     return recall_at_k(best.select("query_id", F.col("ref").alias("id"), "rank").where("rank is not null"), best.select("query_id", F.col("ref").alias("id")), ks)
 
 
+FEW_FACTS = 10_000
+
+
+def containing(facts: DataFrame, texts: DataFrame, few: int = FEW_FACTS) -> DataFrame:
+    """query_id, id of the texts (id, content) that hold a fact (query_id, fact), whatever the case.
+
+    Up to few facts are broadcast and looked for one by one; more of them meet the texts that share their first words.
+    """
+    holds = F.contains(F.lower("content"), F.lower("fact"))
+    if facts.limit(few + 1).count() <= few:
+        return texts.join(F.broadcast(facts), holds).select("query_id", "id").distinct()
+    lead = F.array_join(F.slice(T.words(F.col("fact")), 1, 3), " ")
+    w = T.words(F.col("content"))
+    grams = F.transform(F.sequence(F.lit(0), F.size(w)), lambda i: F.array_join(F.slice(w, i + 1, 3), " "))
+    short = F.transform(F.sequence(F.lit(0), F.size(w)), lambda i: F.array_join(F.slice(w, i + 1, 2), " "))
+    keyed = texts.withColumn("key", F.explode(F.array_union(F.array_union(grams, short), w)))
+    return keyed.join(facts.withColumn("key", lead), "key").where(holds).select("query_id", "id").distinct()
+
+
 def resolve_by_fact(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, ref, id: every chunk of the reference's document that holds its fact, whatever the case; the anchored
     chunk of one without a fact; null where nothing matches."""

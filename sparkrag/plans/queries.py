@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkrag.functions import text as T
 from sparkrag.functions import vectors as V
-from sparkrag.operators import archive, chat, chunking, corpus, evaluate, graph, search, telemetry
-from sparkrag.sources import files
+from sparkrag.operators import chunking, evaluate, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +30,10 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
+def at_k(sql: str, k: int) -> str:
+    return sql.replace("{k}", str(k))
+
+
 # Shapes that several queries share, and the same in SQL.
 
 WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
@@ -56,7 +59,7 @@ DENSE = f"""dense AS (SELECT * FROM (SELECT query_id, id, score, row_number() OV
   SELECT q.vec_id AS query_id, c.vec_id AS id, round({COS.format('q.embedding', 'c.embedding')}, 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0)) WHERE rank <= {{k}})"""
 
 
-@query(f"WITH {DENSE.format(k=10)} SELECT query_id, id, score, rank FROM dense")
+@query(f"WITH {at_k(DENSE, 10)} SELECT query_id, id, score, rank FROM dense")
 def r1_semantic_topk(t):
     q, c = vecs(t)
     return search.semantic(q, c, 10, 6)
@@ -77,13 +80,13 @@ def bm25_parts(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     return asked, *search.build_bm25(docs, ("content",), "id")
 
 
-@query(f"WITH {BM25.format(k=10)} SELECT query_id, id, score, rank FROM sparse")
+@query(f"WITH {at_k(BM25, 10)} SELECT query_id, id, score, rank FROM sparse")
 def r4_bm25_topk(t):
     asked, postings, stats = bm25_parts(t)
     return search.bm25(asked, postings, stats, 10, "id", 6)
 
 
-@query(f"WITH {BM25.format(k=1)} SELECT term, df FROM df")
+@query(f"WITH {at_k(BM25, 1)} SELECT term, df FROM df")
 def r3_bm25_document_frequencies(t):
     _, postings, _ = bm25_parts(t)
     return postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -101,12 +104,12 @@ def fused(t, k: int) -> DataFrame:
     return search.fuse(search.semantic(q, c, 100, 6), sparse, k)
 
 
-@query(f"WITH {DENSE.format(k=100)}, {BM25.format(k=100)}, {FUSED} SELECT query_id, id, semantic_rank, bm25_rank, round(fused_score, 6) AS fused_score, fused_rank FROM fused WHERE fused_rank <= 10")
+@query(f"WITH {at_k(DENSE, 100)}, {at_k(BM25, 100)}, {FUSED} SELECT query_id, id, semantic_rank, bm25_rank, round(fused_score, 6) AS fused_score, fused_rank FROM fused WHERE fused_rank <= 10")
 def r5_hybrid_fusion(t):
     return fused(t, 10).select("query_id", "id", "semantic_rank", "bm25_rank", r6("fused_score").alias("fused_score"), "fused_rank")
 
 
-@query(f"""WITH {BM25.format(k=40)}, pool AS (SELECT s.query_id, s.id, s.rank, b.text AS query, d.text AS content FROM sparse s JOIN benchmark b ON b.item_id = s.query_id JOIN documents d ON d.doc_id = s.id),
+@query(f"""WITH {at_k(BM25, 40)}, pool AS (SELECT s.query_id, s.id, s.rank, b.text AS query, d.text AS content FROM sparse s JOIN benchmark b ON b.item_id = s.query_id JOIN documents d ON d.doc_id = s.id),
  alldf AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({WORDS.format('text')}) AS term FROM documents) GROUP BY term),
  t AS (SELECT DISTINCT query_id, id, rank, unnest({WORDS.format('query')}) AS term, {WORDS.format('content')} AS own FROM pool),
  s AS (SELECT query_id, id, rank, round(sum(CASE WHEN list_contains(own, term) THEN w ELSE 0 END) / sum(w), 6) AS rerank_score FROM (SELECT t.*, ln(1 + (SELECT count(*) FROM documents) / (1 + coalesce(df, 0))) AS w FROM t LEFT JOIN alldf USING (term)) GROUP BY ALL)
@@ -122,7 +125,7 @@ def r6_rerank(t):
     return search.rerank(pool, scores, 10).select("query_id", "id", "fused_rank", "rerank_score", "final_rank", "rerank_delta")
 
 
-@query(f"""WITH {DENSE.format(k=3)}, m AS (SELECT query_id, list(x ORDER BY i) AS v FROM (SELECT query_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM dense JOIN embeddings ON vec_id = id, range(1, 65) r(i) GROUP BY ALL) GROUP BY query_id)
+@query(f"""WITH {at_k(DENSE, 3)}, m AS (SELECT query_id, list(x ORDER BY i) AS v FROM (SELECT query_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM dense JOIN embeddings ON vec_id = id, range(1, 65) r(i) GROUP BY ALL) GROUP BY query_id)
  SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, vec_id AS id, round({COS.format('v', 'embedding')}, 6) AS score FROM m, embeddings)) WHERE rank <= 10""")
 def r7_expanded(t):
     q, c = vecs(t)
@@ -135,7 +138,7 @@ def r10_grounded_context(t):
     return search.assemble_context(b)
 
 
-@query(f"WITH {DENSE.format(k=10)} SELECT d.query_id, d.id, d.rank, e.label FROM dense d JOIN embeddings e ON e.vec_id = d.id WHERE e.vec_id % 3 <> 0")
+@query(f"WITH {at_k(DENSE, 10)} SELECT d.query_id, d.id, d.rank, e.label FROM dense d JOIN embeddings e ON e.vec_id = d.id WHERE e.vec_id % 3 <> 0")
 def j1_hydrate(t):
     q, c = vecs(t)
     store = t("embeddings").where("vec_id % 3 <> 0").select(F.col("vec_id").alias("id"), "label")
@@ -145,7 +148,7 @@ def j1_hydrate(t):
 GOLD = "gold AS (SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)"
 
 
-@query(f"""WITH {DENSE.format(k=20)}, {GOLD}, r AS (SELECT k, g.query_id, sum(CASE WHEN d.rank <= k THEN 1 ELSE 0 END) / count(*) AS recall FROM gold g LEFT JOIN dense d USING (query_id, id), (VALUES (5), (10), (20)) v(k) GROUP BY ALL)
+@query(f"""WITH {at_k(DENSE, 20)}, {GOLD}, r AS (SELECT k, g.query_id, sum(CASE WHEN d.rank <= k THEN 1 ELSE 0 END) / count(*) AS recall FROM gold g LEFT JOIN dense d USING (query_id, id), (VALUES (5), (10), (20)) v(k) GROUP BY ALL)
  SELECT k, round(avg(recall), 6) AS recall, round(avg(CASE WHEN recall = 1 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate FROM r GROUP BY k""")
 def a7_recall_at_k(t):
     q, c = vecs(t)
@@ -154,7 +157,7 @@ def a7_recall_at_k(t):
     return evaluate.recall_at_k(search.semantic(q, c, 20, 6), gold).select("k", r6("recall").alias("recall"), r6("pass_rate").alias("pass_rate"))
 
 
-@query(f"""WITH {BM25.format(k=20)}, refs AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(b.text))),
+@query(f"""WITH {at_k(BM25, 20)}, refs AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(b.text))),
  best AS (SELECT query_id, min(rank) AS rank FROM refs LEFT JOIN sparse USING (query_id, id) GROUP BY query_id)
  SELECT k, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END), 6) AS pass_rate FROM best, (VALUES (5), (10), (20)) v(k) GROUP BY k""")
 def a8_recall_at_k_any(t):
@@ -163,14 +166,10 @@ def a8_recall_at_k_any(t):
 
 
 def fact_refs(t) -> DataFrame:
-    """query_id, ref, id of the documents that hold a benchmark text: those that share its first words, then verified."""
-    lead = lambda c: F.slice(T.words(F.col(c)), 1, 4)
-    b = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("fact"), F.array_join(lead("text"), " ").alias("key"))
-    w = T.words(F.col("text"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 4, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, 4), " ")))
-    d = t("documents").select(F.col("doc_id").alias("id"), "text", F.explode(grams).alias("key"))
-    met = d.join(b, "key").where(F.contains(F.lower("text"), F.lower("fact"))).select("query_id", "id").distinct()
-    return b.select("query_id", F.lit(0).alias("ref")).join(met, "query_id", "left")
+    """query_id, ref, id of the documents that hold a benchmark text; null where none does."""
+    facts = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("fact"))
+    met = evaluate.containing(facts, t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+    return facts.select("query_id", F.lit(0).alias("ref")).join(met, "query_id", "left")
 
 
 @query("SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(b.text))")
@@ -178,7 +177,7 @@ def j9_fact_anchoring(t):
     return fact_refs(t).select("query_id", "id")
 
 
-@query(f"WITH {DENSE.format(k=10)}, s AS (SELECT query_id, id, rank, 'exact' AS config FROM dense UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id), 'by_id' FROM dense), {GOLD}"
+@query(f"WITH {at_k(DENSE, 10)}, s AS (SELECT query_id, id, rank, 'exact' AS config FROM dense UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id), 'by_id' FROM dense), {GOLD}"
        " SELECT g.query_id, min(rank) FILTER (config = 'exact') AS exact, min(rank) FILTER (config = 'by_id') AS by_id FROM gold g LEFT JOIN s USING (query_id, id) GROUP BY g.query_id")
 def r12_golden_ranks(t):
     q, c = vecs(t)
