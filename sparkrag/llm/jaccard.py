@@ -202,7 +202,9 @@ def _group_pairs(size: np.ndarray, begin: np.ndarray, part: np.ndarray, n: np.nd
 
 
 def _candidates(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives of different parts that share as many prefix tokens as the larger one asks for."""
+    """Pairs (a, b) of representatives of different parts that share as many prefix tokens as the larger one asks for,
+    and enough of them for their sizes: with l-match prefixes of n - t + l tokens, the one that ends first in the common
+    order has t - l tokens left to share, so at least overlap - max(t) + l must have been shared before."""
 
     def match(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols, base = {"token": [], "doc": [], "level": []}, 0
@@ -230,9 +232,13 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             a, b = (np.concatenate([x[i] for x in shared]) for i in (0, 1))
-            pair, count = np.unique(np.stack([a, b], 1), axis=0, return_counts=True)
+            pair, count = np.unique(a << np.int64(32) | b, return_counts=True)
+            a, b = pair >> np.int64(32), pair & np.int64(2**32 - 1)
             shared.clear()
-            return pa.RecordBatch.from_arrays([pa.array(vid[pair[:, 0]]), pa.array(vid[pair[:, 1]]), pa.array(count.astype(np.int64)), pa.array(asks[pair[:, 1]])], names=["a", "b", "shared", "asks"])
+            # Beyond l shared tokens: what the prefixes leave open must be enough for the overlap that both sizes need.
+            overlap = -(-percent * (n[a] + n[b]) // (100 + percent))
+            need = np.maximum(asks[b], overlap - _needed(np.maximum(n[a], n[b]), percent) + asks[b])
+            return pa.RecordBatch.from_arrays([pa.array(vid[a]), pa.array(vid[b]), pa.array(count.astype(np.int64)), pa.array(need)], names=["a", "b", "shared", "need"])
 
         total = 0
         for a, b in _group_pairs(size, begin, part[doc], n[doc], percent):
@@ -246,8 +252,8 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
         if shared:
             yield flush()
 
-    found = entries.groupBy("bucket").applyInArrow(match, "a long, b long, shared long, asks long")
-    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("asks").alias("asks")).where("shared >= asks").select("a", "b")
+    found = entries.groupBy("bucket").applyInArrow(match, "a long, b long, shared long, need long")
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
 
 
 def _texts(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -311,12 +317,18 @@ def _linked(blocks: DataFrame, k: int, percent: int, bucket_bytes: int) -> tuple
     classes = saved(classes.select("sig1", "sig2", "n", F.col("x.vid").alias("node"), F.col("x.keys").alias("keys")), "classes")
 
     keyed = classes.select("node", "n", F.posexplode("keys").alias("j", "key"))
-    spread = F.xxhash64("node", "j")
-    hubs = keyed.groupBy("j", "key").agg(F.min(F.struct(spread.alias("h"), "node", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1")
-    hubs = saved(hubs.select("j", "key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    near = keyed.join(hubs, ["j", "key"]).where((F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-    near = saved(near.select("node", "hub", "n"), "near-hubs").groupBy("node", "hub").agg(F.count("*").alias("equal"))
-    best = near.withColumn("nth", F.row_number().over(W.partitionBy("node").orderBy(F.desc("equal"), "hub"))).where("nth <= 2")
+    # Hubs of a min-hash: the class whose min-hashes are the commonest, most like an original, and one at random.
+    many = saved(keyed.groupBy("j", "key").agg(F.count("*").alias("many")).where("many > 1"), "min-hashes")
+    common = keyed.join(many, ["j", "key"])
+    usual = common.groupBy("node").agg(F.sum("many").alias("usual"))
+    ranked = saved(common.join(usual, "node").select("j", "key", "node", "n", "usual"), "keyed")
+    random = F.xxhash64("node", "j")
+    hubs = ranked.groupBy("j", "key").agg(
+        F.min(F.struct((-F.col("usual")).alias("u"), "node", "n")).alias("h0"), F.min(F.struct(random.alias("r"), "node", "n")).alias("h1"))
+    hubs = saved(hubs.select("j", "key", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "h0.node", "h0.n"), F.struct(F.lit(1).alias("kind"), "h1.node", "h1.n"))).alias("h")).select("j", "key", "h.kind", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+    near = ranked.join(hubs, ["j", "key"]).where((F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+    near = saved(near.select("node", "hub", "kind"), "near-hubs").groupBy("node", "hub", "kind").agg(F.count("*").alias("equal"))
+    best = near.withColumn("nth", F.row_number().over(W.partitionBy("node", "kind").orderBy(F.desc("equal"), "hub"))).where("nth = 1")
     first = _verified(blocks, saved(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hub-pairs"), k, percent)
     parts = connected_components(first)
 
@@ -335,7 +347,7 @@ def _linked(blocks: DataFrame, k: int, percent: int, bucket_bytes: int) -> tuple
     return linked, own.where("n = 0").select("vid", "doc_id", "n")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes: int = 64 << 20) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes: int = 16 << 20) -> DataFrame:
     """Each row's number of shingles and the group it is linked into: sets of k-word shingles (A-Z lower-cased) whose
     Jaccard similarity is percent / 100 or more are linked.
 
@@ -356,7 +368,7 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes:
     return out.union(alone.select("doc_id", "n", "doc_id"))
 
 
-def deduplicate(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes: int = 64 << 20) -> DataFrame:
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes: int = 16 << 20) -> DataFrame:
     """docs with one row of each group of similar_groups: that of the smallest doc_id (null last), the first of repeated
     ones. Rows without shingles all stay. All columns are returned as they were."""
     schema = docs.schema
