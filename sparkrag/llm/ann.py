@@ -116,7 +116,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, width: float = 3.0
                 out_q, out_d, out_i = [], [], []
                 for i, key in enumerate(np.frombuffer(row["qs"], np.int64).tolist()):
                     near = np.flatnonzero(low[i] <= limit[i])
-                    d = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+                    d = np.sqrt(np.add.accumulate((x[near] - q[i]) ** 2, axis=1)[:, -1])  # summed in order, as SQL does
                     for j in np.lexsort((first[near, 0], d))[:best]:
                         out_q.append(key)
                         out_d.append(float(d[j]))

@@ -24,7 +24,7 @@ PACKED = "block long, n int, n_bytes long, payload binary"
 
 def to_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 

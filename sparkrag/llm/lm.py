@@ -52,14 +52,15 @@ def _grams(table: pa.Table) -> tuple:
 
 
 def _distinct(table: pa.Table) -> tuple:
-    """Sorted hashes of all n-grams of a block that need counts (tokens, and bigrams marked apart), each one's count in
-    its training rows, and where each occurrence finds its own. A start is a context as often as there are training rows."""
-    token, context, pair, bounds = _grams(table)
-    train = np.asarray(table["train"].combine_chunks()).astype(bool)
-    in_train = np.repeat(train, np.diff(bounds))
-    single, which1 = np.unique(token, return_inverse=True)
-    double, which2 = np.unique(pair, return_inverse=True)
-    return token, context, bounds, in_train, (single, which1, np.bincount(which1, in_train, len(single)).astype(np.int64)), (double, which2, np.bincount(which2, in_train, len(double)).astype(np.int64))
+    """By row the bounds of a block's tokens, and for tokens and for bigrams: their sorted distinct hashes, where each
+    occurrence finds its own, and how often each stands in the training rows."""
+    token, _, pair, bounds = _grams(table)
+    in_train = np.repeat(np.asarray(table["train"].combine_chunks()).astype(bool), np.diff(bounds))
+    out = []
+    for h in (token, pair):
+        distinct, which = np.unique(h, return_inverse=True)
+        out.append((distinct, which, np.bincount(which, in_train, len(distinct)).astype(np.int64)))
+    return bounds, *out
 
 
 def _counts(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -75,11 +76,11 @@ def _counts(blocks: DataFrame, buckets: int) -> DataFrame:
                     parts = [(b, edges[b], edges[b + 1]) for b in range(buckets) if edges[b + 1] > edges[b]]
                     yield pa.RecordBatch.from_pydict({
                         "kind": pa.array([kind] * len(parts), pa.int32()), "bucket": pa.array([b for b, *_ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int64()),
-                        "n": pa.array([int(e - s) for _, s, e in parts], pa.int32()), "hashes": pa.array([h[s:e].tobytes() for _, s, e in parts], pa.binary()),
+                        "n": pa.array([int(e - s) for _, s, e in parts], pa.int32()), "hashes": pa.array([B.planes(np.diff(h[s:e], prepend=np.uint64(0))) for _, s, e in parts], pa.binary()),
                         "counts": pa.array([B.planes(n[s:e]) for _, s, e in parts], pa.binary())})
 
     def add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(r["block"], r["n"], np.frombuffer(r["hashes"], np.uint64), B.unplanes(r["counts"], r["n"], np.int64)) for t in rows for r in t.to_pylist()]
+        held = [(r["block"], r["n"], np.cumsum(B.unplanes(r["hashes"], r["n"], np.uint64)), B.unplanes(r["counts"], r["n"], np.int64)) for t in rows for r in t.to_pylist()]
         h = np.concatenate([r[2] for r in held])
         order = np.argsort(h)
         ranked = h[order]
@@ -161,34 +162,33 @@ def score(docs: DataFrame, train: Column, bucket_bytes: int = 16 << 20) -> DataF
     seen = counts.where("kind = 1").agg(F.sum("seen")).first()[0] or 0
 
     def look_up(mine: pa.Table, told: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("doc_id", "train", "n_tokens", "n_known", "pair", "context", "token")}
+        out = {c: [] for c in ("doc_id", "train", "n_tokens", "n_known", "pair", "token")}
         for payload in mine["payload"].to_pylist():
             table = B.from_bytes(payload)
-            token, context, bounds, _, (single, which1, _), (_, which2, _) = _distinct(table)
+            bounds, (_, which1, _), (_, which2, _) = _distinct(table)
             told = told.sort_by([("kind", "ascending"), ("bucket", "ascending")])
             got = {1: [], 2: []}
             for r in told.select(["kind", "n", "counts"]).to_pylist():
                 got[r["kind"]].append(B.unplanes(r["counts"], r["n"], np.int64))
             one, two = (np.concatenate(got[k]) for k in (1, 2))
             c1, c2 = one[which1], two[which2]
-            before = np.full(len(token), starts, np.int64)
-            inner = context != START
-            before[inner] = one[np.searchsorted(single, context[inner])]
             out["doc_id"].append(table["doc_id"].combine_chunks())
             out["train"].append(table["train"].combine_chunks())
             out["n_tokens"].append(np.diff(bounds))
             out["n_known"].append(np.add.reduceat((c1 > 0).astype(np.int64), bounds[:-1]))
-            for name, x in (("pair", c2), ("context", before), ("token", c1)):
+            for name, x in (("pair", c2), ("token", c1)):
                 out[name] += [B.planes(x[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         return pa.table({"doc_id": pa.chunked_array(out["doc_id"], pa.int64()), "train": pa.chunked_array(out["train"], pa.bool_()), "n_tokens": pa.array(np.concatenate(out["n_tokens"]).astype(np.int64)),
-                         "n_known": pa.array(np.concatenate(out["n_known"])), **{c: pa.array(out[c], pa.binary()) for c in ("pair", "context", "token")}})
+                         "n_known": pa.array(np.concatenate(out["n_known"])), **{c: pa.array(out[c], pa.binary()) for c in ("pair", "token")}})
 
-    looked = saved(B.with_side(blocks.select("block", "payload"), counts, look_up, "doc_id long, train boolean, n_tokens long, n_known long, pair binary, context binary, token binary"), "token-counts", compression="uncompressed")
+    looked = saved(B.with_side(blocks.select("block", "payload"), counts, look_up, "doc_id long, train boolean, n_tokens long, n_known long, pair binary, token binary"), "token-counts", compression="uncompressed")
     n = looked.where("train").agg(F.sum("n_tokens")).first()[0] or 0
     floor = 1 / (seen + 1)
 
     def parts(r: dict) -> tuple:
-        return tuple(B.unplanes(r[c], r["n_tokens"], np.int64) for c in ("pair", "context", "token"))
+        """Counts of each token's bigram, of its context (that of the token before, or of starts), and its own."""
+        pair, token = (B.unplanes(r[c], r["n_tokens"], np.int64) for c in ("pair", "token"))
+        return pair, np.append(starts, token[:-1]), token
 
     def deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = (60 * STEPS + 2) ** 2
@@ -202,13 +202,13 @@ def score(docs: DataFrame, train: Column, bucket_bytes: int = 16 << 20) -> DataF
         keys = np.fromiter(total, np.int64, len(total))
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(keys // side), "place": pa.array(keys % side), "n": pa.array(list(total.values()), pa.int64())})
 
-    events = looked.where("train").select("n_tokens", "pair", "context", "token").mapInArrow(deleted, "bucket long, place long, n long").groupBy("bucket", "place").agg(F.sum("n").alias("n")).toPandas()
+    events = looked.where("train").select("n_tokens", "pair", "token").mapInArrow(deleted, "bucket long, place long, n long").groupBy("bucket", "place").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(events[["bucket", "place", "n"]].to_numpy(np.int64), floor)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, full = [], []
-            for r in batch.select(["n_tokens", "pair", "context", "token"]).to_pylist():
+            for r in batch.select(["n_tokens", "pair", "token"]).to_pylist():
                 pair, context, token = parts(r)
                 base.append(float(np.log10((token + 1) / (n + seen + 1)).sum()))
                 w = weights[frequency_bucket(context)]

@@ -3,67 +3,129 @@
 from __future__ import annotations
 
 import heapq
+import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrag.llm.hashing import text_slices, word_hashes, words
+from sparkrag.llm.hashing import ALNUM, text_slices, word_hashes, words
 
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class WordEncoder:
     """Token ids of texts, word by word: each distinct word is encoded once and remembered.
 
-    Words are runs without ASCII white space. That is exact for tokenizers that drop white space and never join what it
-    separates. The memory is emptied when it holds max_words.
+    Words are runs without ASCII white space, cut once more before the ASCII marks at their end. That is exact for
+    tokenizers that drop white space, never join what it separates, and keep a run of marks apart from the letter or
+    digit before it. Where the tokenizer lower-cases, A-Z and a-z are one. Texts that hold the string of a special token
+    are encoded whole. The memory is emptied when it holds max_words.
     """
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    MARKS = np.isin(np.arange(256), [ord(c) for c in ",.;:!?"])
+
+    def __init__(self, path: str, max_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        made = json.loads(self.tokenizer.to_str())
+        self.lower = "Lowercase" in json.dumps(made["normalizer"])
+        self.special = [t["content"].encode() for t in made["added_tokens"]]
+        self.letters = self._letter_table(made)
         self._reset()
 
+    def _letter_table(self, made: dict) -> dict[int, str]:
+        """What each Latin letter is to the model, if runs of letters reach it in one piece and letter by letter."""
+        steps = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [x["type"] for x in steps] != ["Split", "ByteLevel"] or "[\\p{L}]+" not in str(steps[0]["pattern"].get("Regex")) or steps[1]["add_prefix_space"] or not self.lower:
+            return {}
+        table = {}
+        for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]):
+            if c.isalpha():
+                table[ord(c)] = "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(c)))
+        return table
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; runs of Latin letters go to the tokenizer's model at once."""
+        out, other, model = [], [], self.tokenizer.model
+        for i, text in enumerate(texts):
+            if self.letters and LATIN.fullmatch(text):
+                out.append([t.id for t in model.tokenize(text.translate(self.letters))])
+            else:
+                out.append([])
+                other.append(i)
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def _reset(self) -> None:
         self.known: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in got], np.int64)
+        got = self._ids(texts)
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
         n, total = len(self.known), int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while n + len(got) > len(self.begin):
             self.begin, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.size))
-        self.flat[self.used:self.used + total] = np.concatenate([np.array(x, np.uint32) for x in got]) if total else []
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
         self.begin[n:n + len(got)] = self.used + np.cumsum(sizes) - sizes
         self.size[n:n + len(got)] = sizes
         self.used += total
         self.known.update(zip(hashes, range(n, n + len(got)), strict=True))
 
+    def _cut(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words' bounds with the marks at a word's end, after a letter or digit, as words of their own."""
+        plain = end - 1
+        tail = self.MARKS[data[plain]]
+        cut = end.copy()
+        while tail.any():
+            at = np.flatnonzero(tail)
+            cut[at] -= 1
+            tail[at] = cut[at] > begin[at]
+            at = np.flatnonzero(tail)
+            tail[at] = self.MARKS[data[cut[at] - 1]]
+        last = data[np.maximum(cut - 1, 0)]
+        halves = (cut < end) & (cut > begin) & ALNUM[last] & (last < 128)
+        order = np.sort(np.concatenate((begin, cut[halves])))
+        stop = np.sort(np.concatenate((end, cut[halves])))
+        return order, stop, np.searchsorted(order, np.append(begin, len(data))[first[:-1]])
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, id bounds by row) of runs of rows."""
-        for lo, hi, data, offsets in text_slices(texts, 4 << 20):
+        for lo, hi, data, offsets in text_slices(texts):
             begin, end, first = words(data, offsets)
-            distinct, at, which = np.unique(word_hashes(data, begin, False), return_index=True, return_inverse=True)
-            keys = distinct.tolist()
+            begin, end, starts = self._cut(data, begin, end, first)
+            first = np.append(starts, len(begin))
+            distinct, at, which = np.unique(word_hashes(data, begin, self.lower), return_index=True, return_inverse=True)
+            keys, raw = distinct.tolist(), data.tobytes()
             if len(self.known) + len(keys) > self.max_words:
                 self._reset()
             missing = [i for i, k in enumerate(keys) if k not in self.known]
-            if missing:
-                raw, pos = data.tobytes(), at[missing]
-                self._learn([keys[i] for i in missing], [raw[s:e].decode() for s, e in zip(begin[pos].tolist(), end[pos].tolist(), strict=True)])
+            for m in range(0, len(missing), 8192):
+                some = missing[m:m + 8192]
+                pos = at[some]
+                self._learn([keys[i] for i in some], [raw[s:e].decode() for s, e in zip(begin[pos].tolist(), end[pos].tolist(), strict=True)])
             slot = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which] if keys else np.zeros(0, np.int64)
             size = self.size[slot]
             ends = np.concatenate(([0], np.cumsum(size)))
             ids = self.flat[np.repeat(self.begin[slot] - ends[:-1], size) + np.arange(ends[-1])]
-            yield lo, hi, ids, ends[first]
+            bounds = ends[first]
+            if any(x in raw for x in self.special):
+                whole = [self.tokenizer.encode(raw[s:e].decode(), add_special_tokens=False).ids if any(x in raw[s:e] for x in self.special) else ids[bounds[r]:bounds[r + 1]]
+                         for r, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))]
+                bounds = np.concatenate(([0], np.cumsum([len(x) for x in whole])))
+                ids = np.concatenate([np.asarray(x, np.uint32) for x in whole])
+            yield lo, hi, ids, bounds
 
 
 def balance(lengths: list[int], capacity: int, linear: float, quadratic: float, tries: int = 16) -> list[tuple[int, int, int, int, int]]:

@@ -98,7 +98,7 @@ def _local(table: pa.Table, k: int, sketch: list[np.ndarray], bits: int) -> tupl
     return slices, distinct, which, owner, least
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, sketch_bits: int = 27, depth: int = 2, bucket_bytes: int = 16 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 13, sketch_bits: int = 28, depth: int = 2, bucket_bytes: int = 16 << 20) -> DataFrame:
     """Remove the words of windows that also start in a document with a smaller doc_id.
 
     docs needs doc_id (integer) and text; other columns are ignored, whatever their names. Two passes: count-min
@@ -129,13 +129,13 @@ def dedup_substrings(docs: DataFrame, window: int = 13, sketch_bits: int = 27, d
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array([b for b, _, _ in parts], pa.int32()), "block": pa.array([block.as_py()] * len(parts), pa.int64()),
                     "n": pa.array([int(e - s) for _, s, e in parts], pa.int32()),
-                    "hashes": pa.array([h[s:e].tobytes() for _, s, e in parts], pa.binary()),
+                    "hashes": pa.array([B.planes(np.diff(h[s:e], prepend=np.uint64(0))) for _, s, e in parts], pa.binary()),
                     "least": pa.array([B.planes(least[s:e]) for _, s, e in parts], pa.binary())})
 
     def judge(t: pa.Table) -> pa.Table:
         """Which of a block's windows start in a smaller document of another block."""
         sizes = t["n"].to_pylist()
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()])
+        h = np.concatenate([np.cumsum(B.unplanes(x, n, np.uint64)) for x, n in zip(t["hashes"].to_pylist(), sizes, strict=True)])
         least = np.concatenate([B.unplanes(x, n, np.int64) for x, n in zip(t["least"].to_pylist(), sizes, strict=True)])
         order = np.argsort(h, kind="stable")
         ranked = h[order]
