@@ -230,7 +230,7 @@ def e11_clean_response(t):
     return t("conversations").select("conv_id", "turn", T.clean_response(wrapped).alias("answer"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 4 = 0 OR length(trim(text, ' ')) > 60 THEN role ELSE trim(text, ' ') END AS kept, CASE WHEN length(text) <= 30 THEN text ELSE rtrim(substr(text, 1, 26)) || ' […]' END AS short FROM conversations")
+@query(r"SELECT conv_id, turn, CASE WHEN turn % 4 = 0 OR length(trim(text, ' ')) > 60 THEN role ELSE trim(text, ' ') END AS kept, CASE WHEN length(text) <= 30 THEN text ELSE regexp_replace(substr(text, 1, 26), '\s+$', '') || ' […]' END AS short FROM conversations")
 def e12_e20_fallback_and_cut(t):
     rewrite = F.when(F.col("turn") % 4 != 0, T.strip_label(F.concat(F.lit("QUERY: "), "text"), "query:"))
     return t("conversations").select("conv_id", "turn", T.rewrite_or_raw(rewrite, F.col("role"), 60).alias("kept"), T.truncate_with_ellipsis(F.col("text"), 30).alias("short"))

@@ -471,7 +471,7 @@ def g11_graph_retrieve(t):
     return graph.graph_retrieve(q, entities, relations, n.select(F.lit("d").alias("doc_key"), F.lit("x").alias("text")), "local")[0].select("query_id", "source")
 
 
-@query("SELECT c_nationkey AS question, CASE WHEN length(x) <= 400 THEN x ELSE rtrim(substr(x, 1, 396)) || ' […]' END AS context FROM (SELECT c_nationkey, 'Facts:' || chr(10) || string_agg('c' || c_custkey, chr(10) ORDER BY 'c' || c_custkey) || chr(10) || chr(10) || 'Excerpts:' || chr(10) || any_value(n_name) AS x FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_nationkey)")
+@query(r"SELECT c_nationkey AS question, CASE WHEN length(x) <= 400 THEN x ELSE regexp_replace(substr(x, 1, 396), '\s+$', '') || ' […]' END AS context FROM (SELECT c_nationkey, 'Facts:' || chr(10) || string_agg('c' || c_custkey, chr(10) ORDER BY 'c' || c_custkey) || chr(10) || chr(10) || 'Excerpts:' || chr(10) || any_value(n_name) AS x FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_nationkey)")
 def g12_graph_context(t):
     f = t("customer").select(F.col("c_nationkey").alias("question"), F.concat(F.lit("c"), "c_custkey").alias("fact"))
     own = f.select("question").distinct()
