@@ -114,8 +114,8 @@ def _frequency_sketch(blocks: DataFrame, k: int, ranges: int = 8) -> np.ndarray:
     return np.concatenate([got[r] for r in range(ranges)]) if got else np.zeros(1 << SKETCH_BITS, np.int64)
 
 
-def prefix(g: np.ndarray, load: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """A set's tokens in prefix order with their levels, and the number of matches it asks for.
+def prefix(g: np.ndarray, load: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
+    """The tokens of a set's longest prefix in order, and the number of matches it asks for.
 
     The order is common to all sets: by how far the estimated frequency exceeds the usual load of a cell (in powers of
     two), then by hash. A set of n that needs overlap t has an l-match prefix of n - t + l tokens, and two sets that
@@ -127,30 +127,29 @@ def prefix(g: np.ndarray, load: np.ndarray, usual: float, percent: int) -> tuple
     n, t = len(g), int(_needed(len(g), percent))
     most = min(DEPTH, t)
     own = order[:n - t + most]
-    level = np.maximum(1, np.arange(len(own)) - (n - t) + 1)
     read = np.cumsum(over[own] + 1)
     cost = [read[n - t + m - 1] * (1 + n / 64 / m) for m in range(1, most + 1)]
-    return g[own], level, 1 + int(np.argmin(cost))
+    return g[own], 1 + int(np.argmin(cost))
 
 
 def _entries(blocks: DataFrame, side: DataFrame, k: int, percent: int, buckets: int, load, usual: float) -> DataFrame:
     """Prefix entries of the class representatives in side (block, vid, part), packed by block and hash bucket."""
 
     def emit(own: pa.Table, reps: pa.Table) -> pa.Table:
-        out = {"bucket": [], "n": [], "docs": [], "tokens": [], "which": [], "levels": [], "table": []}
+        out = {"bucket": [], "n": [], "docs": [], "tokens": [], "which": [], "places": [], "table": []}
         for payload in own["payload"].to_pylist() if len(reps) else []:
             vids = np.asarray(reps["vid"]).astype(np.int64)
             rank = np.argsort(vids)
             wanted, parts = vids[rank] & ((1 << ROW_BITS) - 1), np.asarray(reps["part"]).astype(np.int64)[rank]
-            tokens, which, levels, docs, table = [], [], [], [], B.from_bytes(payload)["text"].combine_chunks().take(pa.array(wanted))
+            tokens, which, places, docs, table = [], [], [], [], B.from_bytes(payload)["text"].combine_chunks().take(pa.array(wanted))
             for lo, hi, g, bounds in shingle_sets(table, k):
                 for r in range(lo, hi):
-                    got, level, asks = prefix(g[bounds[r - lo]:bounds[r - lo + 1]], load.value, usual, percent)
+                    got, asks = prefix(g[bounds[r - lo]:bounds[r - lo + 1]], load.value, usual, percent)
                     tokens.append(got)
-                    levels.append(level)
+                    places.append(np.arange(len(got)))
                     which.append(np.full(len(got), r))
                     docs.append((vids[rank[r]], bounds[r - lo + 1] - bounds[r - lo], asks, parts[r]))
-            token, level, doc = np.concatenate(tokens), np.concatenate(levels), np.concatenate(which)
+            token, place, doc = np.concatenate(tokens), np.concatenate(places), np.concatenate(which)
             table = np.array(docs, np.int64)
             order = np.argsort(token, kind="stable")
             edges = B.bucket_edges(token[order], buckets)
@@ -163,12 +162,12 @@ def _entries(blocks: DataFrame, side: DataFrame, k: int, percent: int, buckets:
                     out["docs"].append(len(seen))
                     out["tokens"].append(token[at].tobytes())
                     out["which"].append(B.planes(np.diff(local, prepend=0).astype(np.uint32)))
-                    out["levels"].append(B.planes(level[at].astype(np.uint8)))
+                    out["places"].append(B.planes(place[at].astype(np.uint32)))
                     out["table"].append(B.planes(np.ascontiguousarray(table[seen].T).reshape(-1)))
         types = {"bucket": pa.int32(), "n": pa.int32(), "docs": pa.int32()}
         return pa.table({c: pa.array(v, types.get(c, pa.binary())) for c, v in out.items()})
 
-    return B.with_side(blocks.select("block", "payload"), side, emit, "bucket int, n int, docs int, tokens binary, which binary, levels binary, table binary")
+    return B.with_side(blocks.select("block", "payload"), side, emit, "bucket int, n int, docs int, tokens binary, which binary, places binary, table binary")
 
 
 def _group_pairs(size: np.ndarray, begin: np.ndarray, part: np.ndarray, n: np.ndarray, percent: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -177,46 +176,51 @@ def _group_pairs(size: np.ndarray, begin: np.ndarray, part: np.ndarray, n: np.nd
     Entries of a token stand by rising set size, so each later one meets a run of earlier ones; in a long run, those of
     the most frequent part meet only entries of other parts.
     """
-    for s, g in zip(begin.tolist(), size.tolist(), strict=True):
+    if not len(size):
+        return
+    mixed = np.minimum.reduceat(part, begin) != np.maximum.reduceat(part, begin)
+    two = begin[mixed & (size == 2)]
+    two = two[n[two] >= _needed(n[two + 1], percent)]
+    yield two, two + 1
+    held_a, held_b, held = [], [], 0
+    rest = mixed & (size > 2)
+    for s, g in zip(begin[rest].tolist(), size[rest].tolist(), strict=True):
         own, sizes = part[s:s + g], n[s:s + g]
-        names, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            continue
-        low = np.searchsorted(sizes, _needed(sizes, percent), "left")
-        odd = np.flatnonzero(inverse != counts.argmax())
-        flag = np.zeros(g, bool)
-        flag[odd] = True
-        held_a, held_b, held = [], [], 0
-        for j in range(g):
-            before = np.arange(low[j], j) if flag[j] else odd[np.searchsorted(odd, low[j]):np.searchsorted(odd, j)]
+        low = np.searchsorted(sizes, _needed(sizes, percent), "left").tolist()
+        if g > 32:
+            names, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
+            flag = inverse != counts.argmax()
+            odd = np.flatnonzero(flag)
+        for j in range(1, g):
+            before = np.arange(low[j], j) if g <= 32 or flag[j] else odd[np.searchsorted(odd, low[j]):np.searchsorted(odd, j)]
             before = before[own[before] != own[j]]
             if len(before):
                 held_a.append(s + before)
                 held_b.append(np.full(len(before), s + j))
                 held += len(before)
-            if held > most:
-                yield np.concatenate(held_a), np.concatenate(held_b)
-                held_a, held_b, held = [], [], 0
-        if held:
+        if held > most:
             yield np.concatenate(held_a), np.concatenate(held_b)
+            held_a, held_b, held = [], [], 0
+    if held:
+        yield np.concatenate(held_a), np.concatenate(held_b)
 
 
 def _candidates(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives of different parts that share as many prefix tokens as the larger one asks for,
-    and enough of them for their sizes: with l-match prefixes of n - t + l tokens, the one that ends first in the common
-    order has t - l tokens left to share, so at least overlap - max(t) + l must have been shared before."""
+    """Pairs (a, b) of representatives of different parts that share l tokens of the prefixes that their sizes call for:
+    two sets of m and n that overlap in o share at least l of their first m - o + l and n - o + l tokens. l is what the
+    larger set asks for, o the least overlap of similar sets of these sizes."""
 
     def match(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols, base = {"token": [], "doc": [], "level": []}, 0
+        cols, base = {"token": [], "doc": [], "place": []}, 0
         tables = []
         for t in rows:
             for r in t.to_pylist():
                 cols["token"].append(np.frombuffer(r["tokens"], np.uint64))
                 cols["doc"].append(np.cumsum(B.unplanes(r["which"], r["n"], np.uint32)) + base)
-                cols["level"].append(B.unplanes(r["levels"], r["n"], np.uint8))
+                cols["place"].append(B.unplanes(r["places"], r["n"], np.uint32))
                 tables.append(B.unplanes(r["table"], 4 * r["docs"], np.int64).reshape(4, -1))
                 base += r["docs"]
-        token, doc, level = (np.concatenate(cols[c]).astype(d) for c, d in (("token", np.uint64), ("doc", np.int64), ("level", np.int64)))
+        token, doc, place = (np.concatenate(cols[c]).astype(d) for c, d in (("token", np.uint64), ("doc", np.int64), ("place", np.int64)))
         vid, n, asks, part = np.concatenate(tables, 1)
         order = np.argsort(token, kind="stable")
         ranked = token[order]
@@ -226,7 +230,7 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
         order = order[keep]
         size = size[size > 1]
         order = order[np.lexsort((vid[doc[order]], n[doc[order]], np.repeat(np.arange(len(size)), size)))]
-        doc, level = doc[order], level[order]
+        doc, place = doc[order], place[order]
         begin = np.cumsum(size) - size
         shared: list[tuple] = []
 
@@ -235,15 +239,13 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
             pair, count = np.unique(a << np.int64(32) | b, return_counts=True)
             a, b = pair >> np.int64(32), pair & np.int64(2**32 - 1)
             shared.clear()
-            # Beyond l shared tokens: what the prefixes leave open must be enough for the overlap that both sizes need.
-            overlap = -(-percent * (n[a] + n[b]) // (100 + percent))
-            need = np.maximum(asks[b], overlap - _needed(np.maximum(n[a], n[b]), percent) + asks[b])
-            return pa.RecordBatch.from_arrays([pa.array(vid[a]), pa.array(vid[b]), pa.array(count.astype(np.int64)), pa.array(need)], names=["a", "b", "shared", "need"])
+            return pa.RecordBatch.from_arrays([pa.array(vid[a]), pa.array(vid[b]), pa.array(count.astype(np.int64)), pa.array(asks[b])], names=["a", "b", "shared", "asks"])
 
         total = 0
         for a, b in _group_pairs(size, begin, part[doc], n[doc], percent):
             x, y = doc[a], doc[b]
-            ok = (level[a] <= asks[y]) & (level[b] <= asks[y])
+            open_ = asks[y] + percent * (n[x] + n[y]) // -(100 + percent)  # l - o
+            ok = (place[a] < n[x] + open_) & (place[b] < n[y] + open_)
             shared.append((x[ok], y[ok]))
             total += int(ok.sum())
             if total > 1 << 21:
@@ -252,8 +254,8 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
         if shared:
             yield flush()
 
-    found = entries.groupBy("bucket").applyInArrow(match, "a long, b long, shared long, need long")
-    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
+    found = entries.groupBy("bucket").applyInArrow(match, "a long, b long, shared long, asks long")
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("asks").alias("asks")).where("shared >= asks").select("a", "b")
 
 
 def _texts(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
