@@ -72,7 +72,7 @@ class _Markdown(HTMLParser):
         if self.in_title:
             self.title += data
         elif not self.skipped:
-            self.lines[-1] += " ".join(data.split()) + (" " if data[-1:].isspace() else "")
+            self.lines[-1] += (" " if data[:1].isspace() else "") + " ".join(data.split()) + (" " if data[-1:].isspace() else "")
 
 
 def html_to_markdown(pages: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def html_to_markdown(pages: DataFrame) -> DataFrame:
                 p = _Markdown()
                 p.feed(html or "")
                 p.close()
-                lines = [x.strip() for x in p.lines]
+                lines = [" ".join(x.split()) for x in p.lines]
                 bodies.append("\n\n".join(x for x in lines if x.strip("#- ")))
                 first = next((x.lstrip("# ") for x in lines if x.startswith("# ")), "")
                 titles.append(" ".join(p.title.split()) or first)
