@@ -120,7 +120,8 @@ def prefix(g: np.ndarray, load: np.ndarray, usual: float, percent: int) -> tuple
     The order is common to all sets: by how far the estimated frequency exceeds the usual load of a cell (in powers of
     two), then by hash. A set of n that needs overlap t has an l-match prefix of n - t + l tokens, and two sets that
     reach t share at least l tokens of their l-match prefixes. Of l up to DEPTH, the one of least estimated cost is
-    asked for: reading the prefix's postings, and verifying at most that many candidates divided by l.
+    asked for: reading the postings of the prefix beside sets of equal size, and verifying at most that many candidates
+    divided by l.
     """
     over = np.maximum(load[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] - 2 * usual, 0)
     order = np.lexsort((g, np.floor(np.log2(1 + over / (2 * usual + 1)))))
@@ -128,7 +129,8 @@ def prefix(g: np.ndarray, load: np.ndarray, usual: float, percent: int) -> tuple
     most = min(DEPTH, t)
     own = order[:n - t + most]
     read = np.cumsum(over[own] + 1)
-    cost = [read[n - t + m - 1] * (1 + n / 64 / m) for m in range(1, most + 1)]
+    like = n + 2 * percent * n // -(100 + percent)  # what a set of n leaves open beside one of its own size
+    cost = [read[like + m - 1] * (1 + n / 64 / m) for m in range(1, most + 1)]
     return g[own], 1 + int(np.argmin(cost))
 
 
