@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 NO_ID = -(2**63)
+LOWER = {c: c + 32 for c in range(65, 91)}
 BLOOM_BITS = 23
 
 
@@ -76,46 +79,58 @@ def _text_hashes(values: list[str]) -> list[int]:
     return [x - (x >> 63 << 64) for x in map(xxh3_64_intdigest, values)]
 
 
-SPANS = "doc_id long, text_key long, spans array<struct<start:long,end:long,kind:string>>, near array<struct<entity:long,context:long,term:long,start:long,end:long>>"
+SPANS = "doc_id long, text_key long, spans array<struct<start:long,end:long,kind:string>>, entities array<long>, near array<struct<entity:long,context:long,term:long,first:boolean>>"
 
 
-def _scan(reach: int, terms_each: int):
-    """Pattern spans of every text, and the terms within reach characters of each with their places."""
+def _terms(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Places of the words of three letters or more that touch no span."""
+    covered = bytearray(len(text))
+    for s, e, _ in found:
+        covered[s:e] = b"\x01" * (e - s)
+    return [m.span() for m in TERM.finditer(text) if m.end() - m.start() >= 3 and covered.find(1, *m.span()) < 0]
+
+
+def _scan(reach: int):
+    """Pattern spans of every text, the entities it mentions, and the terms within reach characters of each."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, near, all_terms = [], [], []
+            spans, entities, near, all_terms = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = base_spans(text) if text else []
                 spans.append([{"start": s, "end": e, "kind": KINDS[k]} for s, e, k in found])
-                rows = []
+                own = _terms(text, found) if found else []
+                starts, ends = [x for x, _ in own], [y for _, y in own]
+                rows, pairs = {}, set()
+                mentioned = []
                 for s, e, k in found:
-                    sides = [(max(0, s - reach), s), (e, min(len(text), e + reach))]
-                    seen = "\x00".join(text[a:b] for a, b in sides)
+                    seen = "\x00".join((text[max(0, s - reach):s], text[e:e + reach]))
                     entity, context = _text_hashes([f"{KINDS[k]}:{_value(text[s:e], k)}", seen])
-                    for side, (a, b) in enumerate(sides):
-                        own = [m.span() for m in TERM.finditer(text, a, b) if m.end() - m.start() >= 3]
-                        for x, y in own[-terms_each:] if side == 0 else own[:terms_each]:
-                            if not any(x < f and y > g for g, f, _ in found):
-                                rows.append([entity, context, 0, x, y])
-                                all_terms.append(text[x:y])
+                    mentioned.append(entity)
+                    for x, y in own[bisect_left(starts, s - reach):bisect_right(ends, e + reach)]:
+                        term = text[x:y].translate(LOWER)
+                        if (entity, context, term) not in rows:
+                            rows[entity, context, term] = (entity, term) not in pairs
+                            pairs.add((entity, term))
+                            all_terms.append(term)
+                entities.append(list(dict.fromkeys(mentioned)))
                 near.append(rows)
             hashes = iter(_term_hashes(all_terms).tolist())
-            made = [[{"entity": r[0], "context": r[1], "term": next(hashes), "start": r[3], "end": r[4]} for r in rows] for rows in near]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(spans, SCAN_TYPE.field("spans").type), pa.array(made, SCAN_TYPE.field("near").type)], names=["doc_id", "text_key", "spans", "near"])
+            made = [[{"entity": e, "context": c, "term": next(hashes), "first": first} for (e, c, _), first in rows.items()] for rows in near]
+            arrays = [pa.array(x, SCAN_TYPE.field(name).type) for name, x in (("spans", spans), ("entities", entities), ("near", made))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *arrays], names=SCAN_TYPE.names)
 
     return scan
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
-_NEAR = pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-SCAN_TYPE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.list_(_SPAN)), ("near", pa.list_(_NEAR))])
+_NEAR = pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("first", pa.bool_())])
+SCAN_TYPE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.list_(_SPAN)), ("entities", pa.list_(pa.int64())), ("near", pa.list_(_NEAR))])
 
 
-def _document_frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """In how many documents each wanted term stands; a filter of fixed size spares the shuffle other words."""
-    spark, bits = docs.sparkSession, 1 << BLOOM_BITS
+def _filter(wanted: DataFrame) -> Broadcast:
+    """A filter of fixed size of the wanted terms."""
+    spark, bits = wanted.sparkSession, 1 << BLOOM_BITS
     cell = F.pmod(F.col("term"), F.lit(bits))
     maps = (
         wanted.groupBy(F.expr(f"bitmap_bucket_number(pmod(term, {bits}L))").alias("nth"))
@@ -127,7 +142,12 @@ def _document_frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         lo = (r["nth"] - 1) * len(own) + 1
         filled[lo:lo + len(own)] = own
     filled[0] = filled[0] or any(r["nth"] == 0 for r in maps)
-    shared = spark.sparkContext.broadcast(np.packbits(filled).tobytes())
+    return spark.sparkContext.broadcast(np.packbits(filled).tobytes())
+
+
+def _document_frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """In how many documents each wanted term stands; a filter of fixed size spares the shuffle other words."""
+    shared, bits = _filter(wanted), 1 << BLOOM_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
@@ -146,33 +166,62 @@ def _document_frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("term_docs"))
 
 
-def find(docs: DataFrame, remove_at: float = 0.9, generalise_at: float = 0.75, support: int = 3, reach: int = 80, terms_each: int = 8) -> DataFrame:
+def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every place of the wanted terms (and of few others) in texts with pattern spans."""
+    shared, bits = _filter(wanted), 1 << BLOOM_BITS
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        if not kept.any():
+            return
+        for batch in batches:
+            row, own, all_terms = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                if text and (found := base_spans(text)):
+                    at = _terms(text, found)
+                    row += [i] * len(at)
+                    own += at
+                    all_terms += [text[x:y] for x, y in at]
+            h = _term_hashes(all_terms)
+            ok = np.flatnonzero(kept[np.mod(h, bits)])
+            at = np.array(own, np.int64).reshape(-1, 2)[ok]
+            taken = pa.array(np.array(row, np.int64)[ok])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(taken), batch.column("text_key").take(taken), pa.array(h[ok]), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["doc_id", "text_key", "term", "start", "end"])
+
+    return docs.mapInArrow(places, "doc_id long, text_key long, term long, start long, end long")
+
+
+def find(docs: DataFrame, remove_at: float = 0.9, generalise_at: float = 0.75, support: int = 3, reach: int = 80) -> DataFrame:
     """Pattern spans of all whole texts, and spans of terms that disclose what the patterns protect.
 
     docs needs doc_id (integer) and text; other columns are ignored, whatever their names. A protected entity is the
     value of a pattern match; its contexts are the different passages of reach characters on either side of it. With p
-    the shares of documents, the disclosure of entity c by term t is PMI(c; t) / IC(c) = log(p(c, t) / (p(c) p(t))) /
-    -log p(c): 1 where the term stands nowhere else. Terms counted in at least support different contexts of the
-    entity are removed from remove_at on, generalised from generalise_at on, at their places near the entity (the
-    terms_each nearest words of three letters or more on either side). Counts cover all documents and whole texts.
+    the shares of rows that mention c, hold t, and hold t near c, the disclosure of entity c by term t is
+    PMI(c; t) / IC(c) = log(p(c, t) / (p(c) p(t))) / -log p(c): 1 where the term stands nowhere else. Terms (words of
+    three letters or more that lie wholly within reach) in at least support different contexts of the entity are removed
+    from remove_at on, generalised from generalise_at on, at every place in whole texts that mention the entity. Counts
+    cover all rows and whole texts.
 
     Returns a row for each input row: doc_id, text_key (a hash of the text), spans (array of start, end, kind in code
     points, by start; kinds email, ip, card, phone, then term and term_general). Null and empty texts have no spans; a
-    null doc_id stays null; repeated rows get equal spans, and equal copies count as one context; no rows, no result
+    null doc_id stays null; repeated rows get equal spans, and equal copies count as one context (but as rows in the shares); no rows, no result
     rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    scanned = saved(own.mapInArrow(_scan(reach, terms_each), SPANS), "pii", compression="zstd")
-    near = scanned.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.*")
-    contexts = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("entity_n"))
-    joint = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("both_n")).where(F.col("both_n") >= support)
-    joint = saved(joint.join(contexts, "entity"), "joint")
+    scanned = saved(own.mapInArrow(_scan(reach), SPANS), "pii", compression="zstd")
+    near = scanned.select(F.explode("near").alias("x")).select("x.*")
+    mentions = scanned.withColumn("doc_key", F.coalesce("doc_id", F.lit(NO_ID))).select("doc_key", "text_key", F.explode("entities").alias("entity"))
+    joint = near.groupBy("entity", "term", "context").agg(F.count_if("first").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("both_n"))
+    joint = joint.where(F.col("contexts") >= support).join(mentions.groupBy("entity").agg(F.count("*").alias("entity_n")), "entity")
+    joint = saved(joint, "joint")
     frequencies = _document_frequencies(own, joint.select("term").distinct())
     total = docs.select(F.count("*").alias("documents"))
     ratio = F.log(F.col("both_n") * F.col("documents") / (F.col("entity_n") * F.col("term_docs"))) / F.log(F.col("documents") / F.col("entity_n"))
     judged = joint.join(frequencies, "term").crossJoin(F.broadcast(total)).where("documents > entity_n").withColumn("ratio", ratio).where(F.col("ratio") >= generalise_at)
     judged = saved(judged.select("entity", "term", F.when(F.col("ratio") >= remove_at, "term").otherwise("term_general").alias("kind")), "disclosing")
-    flagged = near.select("entity", "term", "doc_id", "text_key", "start", "end").join(judged, ["entity", "term"]).withColumn("doc_key", F.coalesce("doc_id", F.lit(NO_ID)))
+    disclosed = mentions.join(judged, "entity").groupBy("doc_key", "text_key", "term").agg(F.min("kind").alias("kind"))
+    placed = _places(own, judged.select("term").distinct()).withColumn("doc_key", F.coalesce("doc_id", F.lit(NO_ID)))
+    flagged = placed.join(disclosed, ["doc_key", "text_key", "term"])
     flagged = flagged.groupBy("doc_key", "text_key", "start", "end").agg(F.min("kind").alias("hard"))
     added = flagged.groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("start", "end", F.col("hard").alias("kind"))).alias("added"))
     base = scanned.select("doc_id", "text_key", "spans", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_key"))

@@ -44,6 +44,19 @@ def test_disclosing_terms_are_found_and_masked(spark):
     assert "beta" in out[0]
 
 
+def test_terms_in_copies_far_words_and_far_places(spark):
+    words = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    leak = lambda i: f"{words[i]} zorblax to be as it is on a by of in we me us if an at my no up so go do he or boss@corp.example.com {words[i + 9]} plain " + "filler " * 40 + "zorblax end"
+    crowd = lambda i: f"quexil {' '.join(words[i:i + 9])} chief@corp.example.com {words[i + 20]}"
+    texts = [leak(i) for i in range(5)] + [leak(0)] * 300 + [crowd(i) for i in range(5)] + [f"nothing {words[i % 100]} here filler plain {i}" for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert len(out) == len(texts)
+    assert not any("zorblax" in t or "quexil" in t for t in out.values())
+    assert all("filler" in out[i] and out[i].endswith(" end") for i in range(305))
+    assert all(out[i] == t for i, t in enumerate(texts) if i >= 310)
+
+
 def test_no_rows(none):
     assert pii.find(none).collect() == []
     assert pii.sanitise(none).columns == none.columns
