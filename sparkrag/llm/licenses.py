@@ -87,6 +87,13 @@ def _keys() -> list[dict]:
     return out
 
 
+def _candidates() -> Column:
+    """template, its mandatory phrases and its looked-up words, of every template."""
+    anchors = set(_anchors())
+    rows = [{"template": t, "phrases": [_phrases().index(k) for k in keys], "words": sorted(anchors & set(text.split()))} for t, (_, keys, text) in enumerate(TEMPLATES)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<template:int,phrases:array<int>,words:array<string>>>")
+
+
 def _places(words: Column) -> Column:
     """phrase and position of every place where a phrase's words stand consecutively."""
     firsts = sorted({p.split()[0] for p in _phrases()})
@@ -103,8 +110,9 @@ def _places(words: Column) -> Column:
 def scan(docs: DataFrame, rarest: int = 8, slack: int = 16, agree: float = 0.6) -> DataFrame:
     """Licence labels of all whole texts.
 
-    docs needs doc_id and text; other columns are ignored, whatever their names. Each document's licence words are
-    ranked by inverse document frequency over all documents, and its rarest ones looked up in the templates' postings.
+    docs needs doc_id and text; other columns are ignored, whatever their names. For each template
+    whose mandatory phrases all stand in a document, the template's words that the document holds are ranked by inverse
+    document frequency over all documents, and the rarest ones looked up in the template's postings.
     Positions that agree on where a template begins, within slack words, vote for it; it is found when at least the
     share agree of the looked-up words that it holds vote for one beginning, and all its mandatory phrases stand where
     they then belong, within slack words. Returns a row for each input row: doc_id, n_words, n_base, first_word,
@@ -137,11 +145,15 @@ def scan(docs: DataFrame, rarest: int = 8, slack: int = 16, agree: float = 0.6)
     rarity = _rows(own, [{"word": w} for w in anchors], "word:string").join(frequency, "word", "left")
     rarity = rarity.agg(F.map_from_entries(F.collect_list(F.struct("word", F.coalesce("docs", F.lit(0))))).alias("rarity"))  # one row of fixed size
     # Only documents with all mandatory phrases of some template can be labelled by it; the rest need no look-up.
-    looked = own.where(F.size("places") > 0).select("row", "hits").crossJoin(F.broadcast(rarity))
-    ranked = F.slice(F.array_sort(F.transform(F.array_distinct(F.transform("hits", lambda h: h["word"])), lambda w: F.struct(F.element_at("rarity", w).alias("docs"), w.alias("word")))), 1, rarest)
-    looked = looked.select("row", "hits", F.transform(ranked, lambda x: x["word"]).alias("rare")).select("row", F.explode(F.filter("hits", lambda h: F.array_contains("rare", h["word"]))).alias("h"))
+    stands = lambda n: F.exists("places", lambda p: p["phrase"] == n)
+    possible = F.filter(_candidates(), lambda c: F.forall(c["phrases"], stands))
+    looked = own.where(F.size("places") > 0).select("row", "hits", F.explode(possible).alias("c")).crossJoin(F.broadcast(rarity))
+    held_words = F.array_intersect(F.transform("hits", lambda h: h["word"]), F.col("c.words"))
+    ranked = F.slice(F.array_sort(F.transform(held_words, lambda w: F.struct(F.element_at("rarity", w).alias("docs"), w.alias("word")))), 1, rarest)
+    looked = looked.select("row", F.col("c.template").alias("template"), "hits", F.transform(ranked, lambda x: x["word"]).alias("rare"))
+    looked = looked.select("row", "template", F.explode(F.filter("hits", lambda h: F.array_contains("rare", h["word"]))).alias("h"))
     postings = _rows(own, _postings(), "word:string,template:int,at:int")
-    votes = looked.select("row", "h.word", F.col("h.at").alias("pos")).join(F.broadcast(postings), "word").withColumn("begin", F.col("pos") - F.col("at"))
+    votes = looked.select("row", "template", "h.word", F.col("h.at").alias("pos")).join(F.broadcast(postings), ["word", "template"]).withColumn("begin", F.col("pos") - F.col("at"))
     bins = votes.withColumn("bin", F.explode(F.array(F.floor(F.col("begin") / slack), F.floor(F.col("begin") / slack) + 1)))
     agreed = bins.groupBy("row", "template", "bin").agg(F.count_distinct("word").alias("voters"), F.percentile_approx("begin", 0.5).alias("begin"))
     held = votes.groupBy("row", "template").agg(F.count_distinct("word").alias("held"))

@@ -29,5 +29,15 @@ def test_each_template_is_found_in_prose_and_not_without_its_phrases(spark):
     assert got[99] == []
 
 
+def test_every_template_of_a_file_with_several_is_found(spark):
+    short, long = licenses.TEMPLATES[0][2], licenses.TEMPLATES[3][2]
+    prose = " ka to mi ren sol " * 20
+    rows = [(0, long + prose + short), (1, short + prose + long), (2, prose.join(text for _, _, text in licenses.TEMPLATES))]
+    rows += [(10 + i, f"{prose} {short} {i}") for i in range(40)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {"apache-2.0", "mit"} <= set(got[0]) and {"apache-2.0", "mit"} <= set(got[1])
+    assert {label for label, _, _ in licenses.TEMPLATES} <= set(got[2])
+
+
 def test_no_rows(none):
     assert licenses.scan(none).collect() == []
