@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +41,14 @@ FEW_FACTS = 10_000
 def containing(facts: DataFrame, texts: DataFrame, few: int = FEW_FACTS) -> DataFrame:
     """query_id, id of the texts (id, content) that hold a fact (query_id, fact), whatever the case.
 
-    Up to few facts are broadcast and looked for one by one; more of them meet the texts that share their first words.
+    Facts are broadcast in blocks of about few (by hash); every block meets all texts with the same test.
     """
+    facts = facts.distinct()
+    blocks = max(1, math.ceil(facts.count() / max(1, few)))
+    nth = F.pmod(F.xxhash64("query_id", "fact"), F.lit(blocks))
     holds = F.contains(F.lower("content"), F.lower("fact"))
-    if facts.limit(few + 1).count() <= few:
-        return texts.join(F.broadcast(facts), holds).select("query_id", "id").distinct()
-    lead = F.array_join(F.slice(T.words(F.col("fact")), 1, 3), " ")
-    w = T.words(F.col("content"))
-    grams = F.transform(F.sequence(F.lit(0), F.size(w)), lambda i: F.array_join(F.slice(w, i + 1, 3), " "))
-    short = F.transform(F.sequence(F.lit(0), F.size(w)), lambda i: F.array_join(F.slice(w, i + 1, 2), " "))
-    keyed = texts.withColumn("key", F.explode(F.array_union(F.array_union(grams, short), w)))
-    return keyed.join(facts.withColumn("key", lead), "key").where(holds).select("query_id", "id").distinct()
+    met = [texts.join(F.broadcast(facts.where(nth == b)), holds).select("query_id", "id") for b in range(blocks)]
+    return reduce(DataFrame.union, met).distinct()
 
 
 def resolve_by_fact(refs: DataFrame, chunks: DataFrame) -> DataFrame:
