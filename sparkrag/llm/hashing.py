@@ -10,22 +10,14 @@ import pyarrow as pa
 WHITESPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _SOLID = np.ones(256, bool)
 _SOLID[list(WHITESPACE)] = False
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _byte_codes(lower: bool) -> np.ndarray:
-    codes = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-    if lower:
-        codes[65:91] = codes[97:123]
-    codes[list(WHITESPACE)] = 0
-    return codes
-
-
-_CODES = {False: _byte_codes(False), True: _byte_codes(True)}
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
+#: The first n of eight bytes.
+_HEADS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 #: Bytes of letters and digits; all bytes of characters beyond ASCII count as such.
 ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,18 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i < n, kept between calls."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        for k, base in enumerate((_BASE, inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def text_slices(texts: pa.Array | pa.ChunkedArray, target: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, byte offsets) of runs of rows of about target bytes; nulls count as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -80,13 +60,29 @@ def words(data: np.ndarray, offsets: np.ndarray, solid_bytes: np.ndarray = _SOLI
     return first, np.flatnonzero(ends) + 1, np.searchsorted(first, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, lower: bool, solid_bytes: np.ndarray = _SOLID) -> np.ndarray:
-    """A 64-bit hash of each word; with lower, A-Z count as a-z."""
-    if not len(starts):
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """A 64-bit hash of each word; with lower, A-Z count as a-z.
+
+    Words are read eight bytes at a time; each piece is spread together with its place in the word, so that no sum of
+    pieces has a structure that other words could meet.
+    """
+    if not len(begins):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(data))
-    codes = np.where(solid_bytes, _CODES[lower], np.uint64(0))
-    return mix(np.add.reduceat(codes[data] * up, starts) * down[starts] + np.uint64(0x632BE59BD9B4E019))
+    laid = np.zeros(len(data) + 8, np.uint8)
+    laid[:-8] = _LOWERED[data] if lower else data
+    eights = np.ndarray(len(data) + 1, "<u8", laid, strides=(1,))
+    length = ends - begins
+    left = np.minimum(length, 8)
+    out = mix((eights[begins] & _HEADS[left]) + _PLACE)
+    more = np.flatnonzero(length > 8)
+    if len(more):
+        pieces = (length[more] - 1) >> 3
+        first = np.cumsum(pieces) - pieces
+        nth = np.arange(int(pieces.sum())) - np.repeat(first, pieces) + 1
+        at = np.repeat(begins[more], pieces) + 8 * nth
+        left = np.minimum(np.repeat(ends[more], pieces) - at, 8)
+        out[more] += np.add.reduceat(mix((eights[at] & _HEADS[left]) + (nth.astype(np.uint64) + np.uint64(1)) * _PLACE), first)
+    return mix(out + length.astype(np.uint64))
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:

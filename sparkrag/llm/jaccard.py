@@ -27,8 +27,8 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, k: int) -> Iterator[tuple[in
     """(first row, end row, sorted distinct shingle hashes by row, bounds by row); a text of fewer than k words is one
     shingle of its own length, one without words has none."""
     for lo, hi, data, offsets in text_slices(texts):
-        begin, _, first = words(data, offsets)
-        h = word_hashes(data, begin, True)
+        begin, end, first = words(data, offsets)
+        h = word_hashes(data, begin, end, True)
         at = gram_starts(first, k)
         g = gram_hashes(h, k)[at] if len(at) else np.zeros(0, np.uint64)
         n_words = np.diff(first)

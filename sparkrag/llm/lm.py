@@ -23,8 +23,8 @@ STEPS = 8
 def tokens(texts: pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, token hashes, bounds by row): words, A-Z lower-cased, then one end a row."""
     for lo, hi, data, offsets in text_slices(texts, 2 << 20):
-        begin, _, first = words(data, offsets)
-        h = word_hashes(data, begin, True)
+        begin, end, first = words(data, offsets)
+        h = word_hashes(data, begin, end, True)
         bounds = first + np.arange(len(first))
         out = np.full(bounds[-1], END, np.uint64)
         out[np.arange(len(h)) + np.repeat(np.arange(len(first) - 1), np.diff(first))] = h

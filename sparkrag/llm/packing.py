@@ -106,7 +106,7 @@ class WordEncoder:
             begin, end, first = words(data, offsets)
             begin, end, starts = self._cut(data, begin, end, first)
             first = np.append(starts, len(begin))
-            distinct, at, which = np.unique(word_hashes(data, begin, self.lower), return_index=True, return_inverse=True)
+            distinct, at, which = np.unique(word_hashes(data, begin, end, self.lower), return_index=True, return_inverse=True)
             keys, raw = distinct.tolist(), data.tobytes()
             if len(self.known) + len(keys) > self.max_words:
                 self._reset()

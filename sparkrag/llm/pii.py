@@ -69,7 +69,8 @@ def _value(text: str, kind: int) -> str:
 def _term_hashes(terms: list[str]) -> np.ndarray:
     out = []
     for _, _, data, offsets in text_slices(pa.array(terms, pa.large_string())):
-        out.append(word_hashes(data, words(data, offsets, ALNUM)[0], True, ALNUM))
+        begin, end, _ = words(data, offsets, ALNUM)
+        out.append(word_hashes(data, begin, end, True))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -154,8 +155,8 @@ def _document_frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             got = []
             for _, _, data, offsets in text_slices(batch.column("text")):
-                begin, _, first = words(data, offsets, ALNUM)
-                h = word_hashes(data, begin, True, ALNUM).view(np.int64)
+                begin, end, first = words(data, offsets, ALNUM)
+                h = word_hashes(data, begin, end, True).view(np.int64)
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 ok = kept[np.mod(h, bits)]
                 pairs = np.unique(np.stack([h[ok], row[ok]], 1), axis=0) if ok.any() else np.zeros((0, 2), np.int64)

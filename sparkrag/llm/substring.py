@@ -22,9 +22,9 @@ def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 def _windows(texts: pa.ChunkedArray, k: int) -> Iterator[tuple]:
     """(first row, word bounds, hashes, starts) by slice."""
     for lo, hi, data, offsets in text_slices(texts):
-        begin, _, first = words(data, offsets)
+        begin, end, first = words(data, offsets)
         at = gram_starts(first, k)
-        yield lo, hi, first, gram_hashes(word_hashes(data, begin, False), k)[at] if len(at) else np.zeros(0, np.uint64), at
+        yield lo, hi, first, gram_hashes(word_hashes(data, begin, end, False), k)[at] if len(at) else np.zeros(0, np.uint64), at
 
 
 def repeated_cells(blocks: DataFrame, k: int, bits: int, depth: int, ranges: int = 16) -> list[bytes]:
