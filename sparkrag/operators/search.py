@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +14,12 @@ from pyspark.sql import functions as F
 
 from sparkrag.functions import text as T
 from sparkrag.functions import vectors as V
+from sparkrag.session import saved
 
 K1, LENGTH_SHARE = 1.2, 0.75
 OVER_FETCH, RERANK_POOL, RERANK_CUT = 10, 40, 5
+#: Query vectors that are broadcast at once.
+QUERY_BYTES = 64 << 20
 
 
 def ranked(df: DataFrame, score: str, ties: list[str], rank: str, by: str = "query_id") -> DataFrame:
@@ -26,74 +31,89 @@ def top_k(df: DataFrame, k: int, score: str = "score", ties: tuple[str, ...] = (
     return ranked(df, score, list(ties), rank).where(F.col(rank) <= k)
 
 
+def _flat(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """Rows of a list column of doubles of equal length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
+
+
 def semantic(queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """query_id, id, score, rank of the k vectors of highest cosine for each query.
 
     queries (query_id, vector) meet the corpus (id, vector) in blocks of queries: a block is one row of packed vectors,
-    and each corpus batch is multiplied with it and keeps its own k best, so no row is made for a pair. With digits,
-    scores are rounded before they are ranked.
+    and each corpus batch is multiplied with it and keeps its own k best, so no row is made for a pair. Blocks are
+    broadcast QUERY_BYTES at a time; more queries take more passes over the corpus. With digits, scores are rounded
+    before they are ranked.
     """
-    blocks = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).withColumn("part", F.floor(F.monotonically_increasing_id() / 4096))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    passes = max(1, math.ceil((asked.agg(F.sum(8 * F.size("vector"))).first()[0] or 0) / QUERY_BYTES))
 
-    def gather(t: pa.Table) -> pa.Table:
-        x = np.array(t["vector"].to_pylist(), dtype=np.float64)
-        return pa.table({"qids": pa.array([t["query_id"].to_pylist()], pa.list_(pa.int64())), "dim": pa.array([x.shape[1]], pa.int32()), "vectors": pa.array([x.tobytes()], pa.binary())})
+    def gather(key: tuple, t: pa.Table) -> pa.Table:
+        dim = key[0].as_py()
+        return pa.table({"qids": pa.array([t["query_id"].to_pylist()], pa.list_(pa.int64())), "dim": pa.array([dim], pa.int32()), "vectors": pa.array([_flat(t["vector"], dim).tobytes()], pa.binary())})
 
-    packed = blocks.groupBy("part").applyInArrow(gather, "qids array<long>, dim int, vectors binary")
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column("vector")), 0))
+            for dim in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == dim)
+                for lo in range(0, len(own), 2048):
+                    part = batch.take(pa.array(own[lo:lo + 2048]))
+                    yield pa.RecordBatch.from_pydict({"ids": pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), "size": pa.array([dim], pa.int32()), "flat": pa.array([_flat(part.column("vector"), dim).tobytes()], pa.binary())})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, flat = np.array(row["ids"]), np.array(row["flat"], dtype=np.float64).reshape(len(row["ids"]), -1)
-                q = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
-                length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(flat, axis=1)
-                s = np.divide(q @ flat.T, length, out=np.zeros_like(length), where=length > 0)
+                ids, x, q = np.array(row["ids"]), np.frombuffer(row["flat"]).reshape(len(row["ids"]), -1), np.frombuffer(row["vectors"]).reshape(len(row["qids"]), -1)
+                length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+                s = np.divide(q @ x.T, length, out=np.zeros_like(length), where=length > 0)
                 s = np.round(s, digits) if digits is not None else s
                 best = [np.lexsort((ids, -x))[:k] for x in s]
                 yield pa.RecordBatch.from_pydict({
                     "query_id": pa.array(np.repeat(row["qids"], [len(b) for b in best]), pa.int64()), "id": pa.array(ids[np.concatenate(best)], pa.int64()), "score": pa.array(np.concatenate([x[b] for x, b in zip(s, best, strict=True)]))})
 
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                yield pa.RecordBatch.from_pydict({"ids": pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), "flat": pa.array([part.column("vector").flatten().to_pylist()], pa.list_(pa.float64()))})
+    blocks = corpus.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(block, "ids array<long>, size int, flat binary")
+    scored = []
+    for n in range(passes):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n).withColumn("dim", F.size("vector")).where("dim > 0")
+        packed = own.groupBy("dim", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(16)).alias("part")).applyInArrow(gather, "qids array<long>, dim int, vectors binary")
+        scored.append(blocks.join(F.broadcast(packed), F.col("size") == F.col("dim")).mapInArrow(score, "query_id long, id long, score double"))
+    return top_k(reduce(DataFrame.union, scored), k)
 
-    corpus_blocks = corpus.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(block, "ids array<long>, flat array<double>")
-    scored = corpus_blocks.crossJoin(packed).mapInArrow(score, "query_id long, id long, score double")
-    return top_k(scored, k)
+
+def _kept_terms(text: Column, stem=None) -> Column:
+    """Lower-case runs of letters, digits and underscores without stopwords."""
+    kept = F.filter(T.words(F.coalesce(text, F.lit(""))), lambda w: ~w.isin(T.STOPWORDS))
+    return F.transform(kept, stem) if stem else kept
 
 
 def build_bm25(chunks: DataFrame, fields: tuple[str, ...] = ("content",), key: str = "chunk_id", stem=None) -> tuple[DataFrame, DataFrame]:
     """(postings: term, field, key, tf, length; field_stats: field, n_docs, avg_len) over the given text columns.
 
-    Terms are lower-case runs of letters, digits and underscores without stopwords; stem may be a Column function.
+    Terms are lower-case runs of letters, digits and underscores without stopwords; stem may be a Column function. The
+    texts are read once: postings are written to the scratch folder, and lengths are summed from them.
     """
-    parts = []
-    for f in fields:
-        kept = F.filter(T.words(F.coalesce(F.col(f), F.lit(""))), lambda w: ~w.isin(T.STOPWORDS))
-        kept = F.transform(kept, stem) if stem else kept
-        parts.append(chunks.select(F.col(key), F.lit(f).alias("field"), kept.alias("terms")))
-    each = parts[0]
-    for p in parts[1:]:
-        each = each.unionByName(p)
-    each = each.withColumn("length", F.size("terms"))
-    postings = each.select(key, "field", "length", F.explode("terms").alias("term")).groupBy("term", "field", key).agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
-    stats = each.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_len"))
+    own = chunks.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _kept_terms(F.col(f), stem).alias("terms")) for f in fields])).alias("x"))
+    each = own.select(key, "x.field", F.size("x.terms").alias("length"), F.explode("x.terms").alias("term"))
+    postings = saved(each.groupBy("term", "field", key).agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length")), "postings")
+    n_docs = chunks.agg(F.count("*").alias("n_docs")).withColumn("field", F.explode(F.array(*[F.lit(f) for f in fields])))
+    stats = n_docs.join(postings.groupBy("field").agg(F.sum("tf").alias("total")), "field", "left").select("field", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avg_len"))
     return postings, stats
 
 
 def bm25(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int, key: str = "chunk_id", digits: int | None = None) -> DataFrame:
     """query_id, key, score, rank: the k best chunks by their best field's BM25 score.
 
-    queries has query_id and text; a query term counts as often as it stands. Only postings of query terms are read on.
+    queries has query_id and text; a query term counts as often as it stands. Postings of other terms are dropped before
+    anything is counted or joined.
     """
-    asked = queries.select("query_id", F.explode(F.filter(T.words(F.col("text")), lambda w: ~w.isin(T.STOPWORDS))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    frequency = postings.groupBy("term", "field").agg(F.count("*").alias("df"))
+    asked = queries.select("query_id", F.explode(_kept_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    own = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    frequency = own.groupBy("term", "field").agg(F.count("*").alias("df"))
     terms = asked.join(frequency, "term").join(F.broadcast(stats), "field")  # stats: a row for each field
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = terms.select("query_id", "term", "field", (F.col("times") * idf).alias("weight"), "avg_len")
-    hits = postings.join(terms, ["term", "field"])
+    hits = own.join(terms, ["term", "field"])
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * F.col("length") / F.col("avg_len")))
     scored = hits.groupBy("query_id", key, "field").agg(F.sum(part).alias("score")).groupBy("query_id", key).agg(F.max("score").alias("score"))
     if digits is not None:
@@ -126,14 +146,22 @@ def hydrate(ranks: DataFrame, chunks: DataFrame, keys: list[str]) -> tuple[DataF
     return ranks.join(chunks, keys), ranks.join(chunks, keys, "left_anti")
 
 
-def coverage_score(frequencies: DataFrame, pairs: DataFrame, n_docs: Column) -> DataFrame:
-    """The default pair scorer, lexical and not neural: the share of the query's term weight (idf) that the content holds.
+def coverage_score(pool: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, id, rerank_score by the default pair scorer, lexical and not neural: the share of the query's term
+    weight (idf over docs) that the content holds.
 
-    pairs: query_id, id, query, content; frequencies: term, df."""
-    terms = pairs.select("query_id", "id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term"), T.words(F.col("content")).alias("own"))
-    weighted = terms.join(frequencies, "term", "left").withColumn("weight", F.log(1 + n_docs / (1 + F.coalesce("df", F.lit(0)))))
-    held = F.when(F.array_contains("own", F.col("term")), F.col("weight")).otherwise(0.0)
-    return weighted.groupBy("query_id", "id").agg((F.sum(held) / F.sum("weight")).alias("rerank_score"))
+    pool: query_id, id; queries: query_id, text; docs: id, content. Of the documents' words only asked ones go on, as
+    single rows.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+    words = docs.select("id", F.explode(F.array_distinct(T.words(F.col("content")))).alias("term"))
+    held = saved(words.join(asked.select("term").distinct(), "term", "left_semi"), "asked-words")
+    n_docs = docs.agg(F.count("*").alias("n_docs"))
+    weights = asked.select("term").distinct().join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left").crossJoin(F.broadcast(n_docs))
+    weights = weights.select("term", F.log(1 + F.col("n_docs") / (1 + F.coalesce("df", F.lit(0)))).alias("weight"))
+    terms = pool.join(asked.join(weights, "term"), "query_id").join(held.withColumn("here", F.lit(True)), ["id", "term"], "left")
+    share = F.sum(F.when(F.col("here"), F.col("weight")).otherwise(0.0)) / F.sum("weight")
+    return terms.groupBy("query_id", "id").agg(share.alias("rerank_score"))
 
 
 def rerank(candidates: DataFrame, scores: DataFrame | None, k: int, top_n: int = RERANK_CUT) -> DataFrame:

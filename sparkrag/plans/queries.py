@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkrag.functions import text as T
 from sparkrag.functions import vectors as V
 from sparkrag.operators import chunking, evaluate, search
+from sparkrag.session import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,13 +95,13 @@ def r3_bm25_document_frequencies(t):
 
 FUSED = """fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, semantic_rank NULLS LAST, bm25_rank NULLS LAST) AS fused_rank FROM (
   SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.rank AS semantic_rank, b.rank AS bm25_rank, round(coalesce(0.8 / a.rank, 0) + coalesce(0.2 / b.rank, 0), 9) AS fused_score
-  FROM dense a FULL JOIN (SELECT query_id * 50 AS query_id, id, rank FROM sparse WHERE query_id < 10) b ON a.query_id = b.query_id AND a.id = b.id))"""
+  FROM dense a FULL JOIN (SELECT query_id * 50 AS query_id, id, rank FROM sparse) b ON a.query_id = b.query_id AND a.id = b.id))"""
 
 
 def fused(t, k: int) -> DataFrame:
     q, c = vecs(t)
     asked, postings, stats = bm25_parts(t)
-    sparse = search.bm25(asked.where("query_id < 10"), postings, stats, 100, "id", 6).withColumn("query_id", F.col("query_id") * 50)
+    sparse = search.bm25(asked, postings, stats, 100, "id", 6).withColumn("query_id", F.col("query_id") * 50)
     return search.fuse(search.semantic(q, c, 100, 6), sparse, k)
 
 
@@ -116,12 +117,9 @@ def r5_hybrid_fusion(t):
  SELECT query_id, id, rank AS fused_rank, rerank_score, final_rank, rank - final_rank AS rerank_delta FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS final_rank FROM s) WHERE final_rank <= 5""")
 def r6_rerank(t):
     asked, postings, stats = bm25_parts(t)
-    pool = search.bm25(asked, postings, stats, 40, "id", 6).withColumnRenamed("rank", "fused_rank").select("query_id", "id", "fused_rank")
+    pool = saved(search.bm25(asked, postings, stats, 40, "id", 6).withColumnRenamed("rank", "fused_rank").select("query_id", "id", "fused_rank"), "pool")
     docs = t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    pairs = pool.join(docs, "id").join(asked.withColumnRenamed("text", "query"), "query_id").select("query_id", "id", "query", "content")
-    freq = docs.select(F.explode(F.array_distinct(T.words(F.col("content")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n_docs"))
-    scores = search.coverage_score(freq, pairs, n.scalar()).withColumn("rerank_score", r6("rerank_score"))
+    scores = search.coverage_score(pool.select("query_id", "id"), asked, docs).withColumn("rerank_score", r6("rerank_score"))
     return search.rerank(pool, scores, 10).select("query_id", "id", "fused_rank", "rerank_score", "final_rank", "rerank_delta")
 
 
