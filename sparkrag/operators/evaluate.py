@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from sparkrag.functions import text as T
 
@@ -35,19 +40,50 @@ def recall_at_k_any(ranked: DataFrame, refs: DataFrame, ks: tuple[int, ...] = KS
     return recall_at_k(best.select("query_id", F.col("ref").alias("id"), "rank").where("rank is not null"), best.select("query_id", F.col("ref").alias("id")), ks)
 
 
-FEW_FACTS = 10_000
+#: Facts, and bytes of them, that one pass over the texts looks for.
+FEW_FACTS, FACT_BYTES = 10_000, 16 << 20
 
 
 def containing(facts: DataFrame, texts: DataFrame, few: int = FEW_FACTS) -> DataFrame:
     """query_id, id of the texts (id, content) that hold a fact (query_id, fact), whatever the case.
 
-    Facts are broadcast in blocks of about few (by hash); every block meets all texts with the same test.
+    All facts of a block (by hash, of about few facts and FACT_BYTES) make one automaton, which each task builds once and
+    runs over whole texts, so the work grows with the texts and not with texts times facts. More facts take more passes.
+    Null facts and texts match nothing; an empty fact stands in every text.
     """
-    facts = facts.distinct()
-    blocks = max(1, math.ceil(facts.count() / max(1, few)))
-    nth = F.pmod(F.xxhash64("query_id", "fact"), F.lit(blocks))
-    holds = F.contains(F.lower("content"), F.lower("fact"))
-    met = [texts.join(F.broadcast(facts.where(nth == b)), holds).select("query_id", "id") for b in range(blocks)]
+    lowered = facts.where("fact is not null").select("query_id", F.lower("fact").alias("fact")).distinct()
+    size = lowered.agg(F.count("*").alias("n"), F.sum(F.octet_length("fact")).alias("bytes")).first()
+    blocks = max(1, math.ceil(size["n"] / max(1, few)), math.ceil((size["bytes"] or 0) / FACT_BYTES))
+    schema = StructType([StructField("query_id", facts.schema["query_id"].dataType), StructField("id", texts.schema["id"].dataType)])
+    types = to_arrow_schema(schema)
+    spark, own = facts.sparkSession, texts.where("content is not null").select("id", F.lower("content").alias("content"))
+
+    def scan_for(block: Broadcast) -> Callable:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from ahocorasick import Automaton
+
+            told, everywhere = Automaton(), block.value.get("", [])
+            for fact, ids in block.value.items():
+                if fact:
+                    told.add_word(fact, (fact, ids))
+            told.make_automaton()
+            for batch in batches:
+                found, at = [], []
+                for key, text in zip(batch.column("id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                    met = {fact: ids for _, (fact, ids) in told.iter(text)} if len(told) else {}
+                    ids = everywhere + [q for some in met.values() for q in some]
+                    found += ids
+                    at += [key] * len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(found, types.field("query_id").type), pa.array(at, types.field("id").type)], schema=types)
+
+        return scan
+
+    met = []
+    for b in range(blocks):
+        known: dict[str, list] = {}
+        for r in lowered.where(F.pmod(F.xxhash64("fact"), F.lit(blocks)) == b).collect():
+            known.setdefault(r["fact"], []).append(r["query_id"])
+        met.append(own.mapInArrow(scan_for(spark.sparkContext.broadcast(known)), schema))
     return reduce(DataFrame.union, met).distinct()
 
 
@@ -79,11 +115,11 @@ def entries_within(golden: DataFrame, sources: list[str]) -> DataFrame:
     return golden.where(F.forall("relevant", lambda r: r["rel_source"].isin(sources)))
 
 
-def summarize_turns(records: DataFrame) -> DataFrame:
-    """slice, turns, recall, pass_rate, mean_latency, max_latency: over all turns, follow-ups, and each kind (records: kind,
-    recall, latency; kind is null for first turns)."""
+def summarize_turns(records: DataFrame, by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """by, slice, turns, recall, pass_rate, mean_latency, max_latency: over all turns, follow-ups, and each kind (records:
+    kind, recall, latency; kind is null for first turns)."""
     slices = F.array_compact(F.array(F.lit("all"), F.when(F.col("kind").isNotNull(), "follow_up"), F.concat(F.lit("kind:"), "kind")))
-    return records.withColumn("slice", F.explode(slices)).groupBy("slice").agg(
+    return records.withColumn("slice", F.explode(slices)).groupBy(*by, "slice").agg(
         F.count("*").alias("turns"), F.avg("recall").alias("recall"), F.avg((F.col("recall") == 1).cast("double")).alias("pass_rate"), F.avg("latency").alias("mean_latency"), F.max("latency").alias("max_latency"))
 
 
