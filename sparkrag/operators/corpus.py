@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrag.functions import text as T
+from sparkrag.session import saved
 
 
 def classify_incoming(incoming: DataFrame, documents: DataFrame, reingest: bool = False) -> DataFrame:
@@ -68,7 +69,8 @@ def number_chunks(chunks: DataFrame, start: int = 0) -> DataFrame:
     """chunks (doc_id, position) with chunk_index by document and original_index over the corpus from start on, by
     doc_id. Offsets are summed over the table of documents, in ranges of doc_id, so no task holds all chunks."""
     own = chunks.withColumn("chunk_index", F.row_number().over(W.partitionBy("doc_id").orderBy("position")) - 1)
-    counts = own.groupBy("doc_id").agg(F.count("*").alias("n")).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id())
+    # Written once: the ranges are sampled, and another evaluation could cut them elsewhere.
+    counts = saved(own.groupBy("doc_id").agg(F.count("*").alias("n")).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "chunk-counts")
     within = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     parts = counts.groupBy("part").agg(F.sum("n").alias("total"))
     offsets = parts.withColumn("offset", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("total")
