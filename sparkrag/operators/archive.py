@@ -43,22 +43,25 @@ def fold_tapbacks(reactions: DataFrame, messages: DataFrame) -> DataFrame:
     return messages.join(nested, "guid", "left").withColumn("tapbacks", F.coalesce("tapbacks", F.array().cast("array<struct<kind:string,sender_name:string>>")))
 
 
-def load_messages(archive: dict[str, DataFrame], contacts: DataFrame | None = None, owner: str = "Me") -> DataFrame:
-    """All messages of an archive with their reactions, by time and guid."""
+def load_messages(archive: dict[str, DataFrame], contacts: DataFrame | None = None, owner: str = "Me", ordered: bool = True) -> DataFrame:
+    """All messages of an archive with their reactions, by time and guid unless the order does not matter."""
     senders = archive["handle"].select(F.col("ROWID").alias("handle_id"), F.col("id").alias("sender"))
     reactions = archive["message"].where("associated_message_type between 2000 and 3005").join(senders, "handle_id", "left").select(
         F.col("associated_message_guid").alias("target"), F.when(F.col("is_from_me") == 1, owner).otherwise(F.coalesce("sender", F.lit("unknown"))).alias("sender_name"), F.col("associated_message_type").alias("code"))
-    return fold_tapbacks(reactions, decode_messages(archive, contacts, owner)).orderBy("ts", "guid")
+    out = fold_tapbacks(reactions, decode_messages(archive, contacts, owner))
+    return out.orderBy("ts", "guid") if ordered else out
 
 
-def merge_batches(batches: list[DataFrame]) -> DataFrame:
-    """The union of overlapping batches: a guid's row from the first batch that has it, by time and guid."""
+def merge_batches(batches: list[DataFrame], ordered: bool = True) -> DataFrame:
+    """The union of overlapping batches: a guid's row from the first batch that has it, by time and guid unless the order
+    does not matter."""
     every = [b.withColumn("_batch", F.lit(i)) for i, b in enumerate(batches)]
     df = every[0]
     for b in every[1:]:
         df = df.unionByName(b)
     first = df.withColumn("_nth", F.row_number().over(W.partitionBy("guid").orderBy("_batch", "ts"))).where("_nth = 1")
-    return first.drop("_batch", "_nth").orderBy("ts", "guid")
+    out = first.drop("_batch", "_nth")
+    return out.orderBy("ts", "guid") if ordered else out
 
 
 def parse_summary(messages: DataFrame) -> DataFrame:
@@ -98,6 +101,6 @@ def thread_transcripts(messages: DataFrame, most: int = TRANSCRIPT_CHARS) -> Dat
     docs = lines.join(placed, ["thread_id", "day"]).groupBy("thread_id", "nth").agg(
         F.max_by("thread_name", F.struct("ts", "guid")).alias("thread_name"), F.min("day").alias("first"), F.max("day").alias("last"), F.array_join(F.array_sort(F.collect_set("sender_name")), ", ").alias("people"),
         F.array_sort(F.collect_list(F.struct("ts", "guid", "line"))).alias("m"))
-    span = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("..", F.col("first").cast("string"), F.col("last").cast("string")))
-    text = F.concat(F.lit("# "), "thread_name", F.lit(" ("), span, F.lit(")\nParticipants: "), "people", F.lit("\n\n"), F.array_join(F.transform("m", lambda x: x["line"]), "\n"))
-    return docs.select(F.concat_ws("::", "thread_id", span).alias("doc_key"), "thread_id", "thread_name", span.alias("span"), text.alias("text"), F.transform("m", lambda x: x["guid"]).alias("message_guids"), F.sha2(text, 256).alias("content_sha256"))
+    span = T.span(F.col("first"), F.col("last"))
+    text = F.concat(F.lit("# "), T.transcript_label(F.col("thread_name"), span), F.lit("\nParticipants: "), "people", F.lit("\n\n"), F.array_join(F.transform("m", lambda x: x["line"]), "\n"))
+    return docs.select(T.doc_key(F.col("thread_id"), F.col("first"), F.col("last")).alias("doc_key"), "thread_id", "thread_name", span.alias("span"), text.alias("text"), F.transform("m", lambda x: x["guid"]).alias("message_guids"), F.sha2(text, 256).alias("content_sha256"))

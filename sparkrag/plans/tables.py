@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrag.functions import text as T
 from sparkrag.operators import archive, chat, chunking, corpus, evaluate, graph, search, telemetry
-from sparkrag.plans.queries import MSG, PARA, QUERIES, SQL, WORDS, messages, query, r6
+from sparkrag.operators import runs as builds
+from sparkrag.plans.queries import MSG, PARA, QUERIES, SQL, STOP, WORDS, fact_refs, messages, query, r6
 from sparkrag.sources import files
 from sparkrag.streaming import streams
 
@@ -66,9 +69,9 @@ def f6_near_ceiling(t):
     return corpus.near_ceiling(t("documents").select("doc_id", T.count_tokens(F.col("text")).cast("long").alias("n_tokens")))
 
 
-@query("SELECT g AS item, count(*) AS refs FROM (SELECT item_id // 4 AS g, item_id % 3 AS s FROM benchmark) GROUP BY g HAVING max(s) <= 1 OR bool_and(s IN (0, 1))")
+@query("SELECT g AS item, count(*) AS refs FROM (SELECT item_id // 4 AS g, (item_id // 2) % 3 AS s FROM benchmark) GROUP BY g HAVING bool_and(s IN (0, 1))")
 def f8_entries_within(t):
-    ref = F.struct((F.col("item_id") % 3).cast("string").alias("rel_source"))
+    ref = F.struct((F.expr("item_id div 2") % 3).cast("string").alias("rel_source"))
     g = t("benchmark").groupBy(F.expr("item_id div 4").alias("item")).agg(F.collect_list(ref).alias("relevant"))
     return evaluate.entries_within(g, ["0", "1"]).select("item", F.size("relevant").cast("long").alias("refs"))
 
@@ -179,13 +182,14 @@ def j11_golden_drift(t):
     return evaluate.unresolvable(golden, stored).select("doc_id")
 
 
-@query(f"""WITH {PARA}, w AS (SELECT doc_id, chunk_index, {WORDS.format('content')} AS w FROM para WHERE doc_id % 5 = 0),
- g AS (SELECT DISTINCT doc_id, chunk_index, len(w) AS nw, CASE WHEN k = 1 THEN w[i] ELSE array_to_string(w[i:i + 2], ' ') END AS gram, k FROM w, range(1, 20001) r(i), (VALUES (1), (3)) v(k) WHERE i <= CASE WHEN k = 1 THEN len(w) ELSE greatest(len(w) - 2, 1) END AND len(w) > 0),
+@query(f"""WITH {PARA}, w AS (SELECT doc_id, chunk_index, {WORDS.format('content')} AS w FROM para),
+ p AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w),
+ g AS (SELECT DISTINCT doc_id, chunk_index, len(w) AS nw, CASE WHEN k = 1 THEN w[i] ELSE array_to_string(w[i:i + 2], ' ') END AS gram, k FROM p, (VALUES (1), (3)) v(k) WHERE i <= CASE WHEN k = 1 THEN len(w) ELSE greatest(len(w) - 2, 1) END),
  c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, chunk_index) AS n FROM (SELECT doc_id, chunk_index, gram FROM g WHERE k = CASE WHEN nw < 8 THEN 1 ELSE 3 END)),
  m AS (SELECT c.doc_id, c.chunk_index, p.chunk_index AS page, round(count(*) / any_value(n), 6) AS coverage FROM c JOIN (SELECT DISTINCT doc_id, chunk_index, gram FROM g) p USING (doc_id, gram) GROUP BY ALL)
  SELECT doc_id || '::' || chunk_index AS chunk_id, page, coverage FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY coverage DESC, page) AS nth FROM m) WHERE nth = 1 AND coverage >= 0.3""")
 def j14_locate(t):
-    p = paras(t).where("doc_id % 5 = 0").withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    p = paras(t).withColumn("chunk_index", F.col("chunk_index").cast("long"))
     chunks = p.withColumn("chunk_id", T.chunk_id(F.col("doc_id").cast("string"), F.col("chunk_index")))
     return corpus.locate(chunks, p.withColumnRenamed("chunk_index", "page")).withColumn("coverage", r6("coverage"))
 
@@ -244,12 +248,22 @@ def w9_pack_context(t):
     return chat.pack_context(messages(t), 300)
 
 
-@query("""WITH m AS (SELECT conv_id * 100 + turn AS message_id, text FROM conversations), s AS (SELECT message_id, 1 AS rank, 'chunk' AS kind, text FROM m UNION ALL SELECT message_id, 1, 'graph', 'k' FROM m)
- SELECT message_id, row_number() OVER (PARTITION BY message_id ORDER BY kind, rank) AS rank, kind FROM s""")
+@query("""WITH m AS (SELECT conv_id * 100 + turn AS message_id, text FROM conversations), s AS (SELECT message_id, 1 AS rank, 'chunk' AS kind, 'c' || chr(10) || text AS source FROM m UNION ALL SELECT message_id, 1, 'graph', 'k' || chr(10) || 'x' FROM m)
+ SELECT message_id, row_number() OVER (PARTITION BY message_id ORDER BY kind, rank) AS rank, kind, source FROM s""")
 def r11_evidence_snapshot(t):
     m = messages(t).select((F.col("conversation_id") * 100 + F.col("turn")).alias("message_id"), F.lit(1).alias("rank"), F.lit("c").alias("chunk_id"), "content", F.lit(0.5).alias("score"))
     ex = m.select("message_id", "rank", F.lit("k").alias("doc_key"), F.lit("x").alias("text"))
-    return chat.snapshot_sources(m, ex).select("message_id", "rank", "kind")
+    frozen = F.from_json("source", "chunk_id string, content string, score double, doc_key string, text string")
+    thawed = chat.snapshot_sources(m, ex).withColumn("s", frozen)
+    return thawed.select("message_id", "rank", "kind", F.concat_ws("\n", "s.chunk_id", "s.content", "s.doc_key", "s.text").alias("source"))
+
+
+@query(r"""WITH m AS (SELECT conv_id AS conversation_id, turn, role, text AS content FROM conversations),
+ u AS (SELECT *, count(*) FILTER (role = 'user') OVER w AS before, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER w AS said FROM m WINDOW w AS (PARTITION BY conversation_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+ v AS (SELECT *, {words} AS w, coalesce(array_to_string(list_transform(list_sort(list_transform(list_distinct(list_filter(regexp_split_to_array(lower(said), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 3 AND x NOT IN {stop})), lambda x: {{'n': -length(x), 't': x}}))[1:5], lambda x: x.t), ' '), '') AS more FROM u)
+ SELECT conversation_id, turn, CASE WHEN before > 0 AND (len(w) <= 6 OR w[1] IN {pronouns}) AND length(trim(content || ' ' || more, ' ')) <= 512 THEN trim(content || ' ' || more, ' ') ELSE content END AS search_query, content AS original_query FROM v WHERE role = 'user'""".format(words=WORDS.format("content"), stop=STOP, pronouns="(" + ", ".join(f"'{p}'" for p in chat.PRONOUNS) + ")"))
+def q2_condense_by_default(t):
+    return chat.prepare(messages(t), "condense")
 
 
 @query("""WITH r AS (SELECT CASE WHEN turn = 1 THEN NULL WHEN turn % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, (length(text) % 5) / 4.0 AS recall, CASE WHEN turn % 3 = 0 THEN NULL ELSE length(text) END AS latency FROM conversations),
@@ -334,10 +348,38 @@ def g3_transcript_lines(t):
     return a.select("guid", archive.render_lines().alias("line"))
 
 
-@query(f"WITH {ARCHIVE_SQL} SELECT 'chat' || conv_id AS thread_id, count(*) AS n FROM m GROUP BY conv_id")
+@query(f"""WITH {ARCHIVE_SQL}, {NAMES}, l AS (SELECT *, CASE WHEN role = 'assistant' THEN 'Me' ELSE role || '@' || m.conv_id END AS sender FROM m JOIN names USING (conv_id) WHERE trim(text, ' ') <> ''),
+ d AS (SELECT 'chat' || conv_id AS thread_id, any_value(thread_name) AS thread_name, strftime(min(ts), '%Y-%m-%d') AS span, count(*) AS messages, string_agg(DISTINCT sender, ', ' ORDER BY sender) AS people,
+   string_agg('[' || strftime(ts, '%Y-%m-%d %H:%M') || '] ' || sender || ': ' || text, chr(10) ORDER BY ts) AS lines, string_agg(guid, ',' ORDER BY ts) AS guids FROM l GROUP BY conv_id)
+ SELECT thread_id || '::' || span AS doc_key, thread_id, thread_name, span, messages, guids, sha256('# ' || thread_name || ' (' || span || ')' || chr(10) || 'Participants: ' || people || chr(10) || chr(10) || lines) AS content_sha256 FROM d""")
 def g4_thread_transcripts(t):
-    docs = archive.thread_transcripts(archive.load_messages(archive_tables(t)), 500)
-    return docs.select("thread_id", F.explode("message_guids").alias("guid")).groupBy("thread_id").agg(F.count_distinct("guid").alias("n"))
+    docs = archive.thread_transcripts(archive.load_messages(archive_tables(t), ordered=False))
+    return docs.select("doc_key", "thread_id", "thread_name", "span", F.size("message_guids").cast("long").alias("messages"), F.array_join("message_guids", ",").alias("guids"), "content_sha256")
+
+
+@query(f"""WITH {ARCHIVE_SQL}, d AS (SELECT conv_id, 'chat' || conv_id || '::' || strftime(min(ts), '%Y-%m-%d') AS doc_key, count(*) AS n FROM m WHERE trim(text, ' ') <> '' GROUP BY conv_id)
+ SELECT doc_key, CASE WHEN conv_id % 4 = 0 THEN 'first' WHEN conv_id % 4 = 3 THEN 'both' ELSE 'second' END AS seen, n AS messages FROM d""")
+def g5_incremental_build(t):
+    """Two builds over overlapping batches: what each contributed, and the manifest after both."""
+    every = archive.load_messages(archive_tables(t), ordered=False).withColumn("_c", F.substring("thread_id", 5, 20).cast("long") % 4)
+    one, two = every.where("_c in (0, 3)").drop("_c"), every.where("_c <> 0").drop("_c")
+    first, _ = builds.build_graph([one], builds.empty_state(every.sparkSession), whole=False)
+    second, _ = builds.build_graph([one, two], first)
+    was = first["manifest"].select("doc_key", F.lit(1).alias("was"))
+    again = two.select("thread_id").distinct().withColumn("again", F.lit(1))
+    out = second["manifest"].join(was, "doc_key", "left").join(again, "thread_id", "left")
+    seen = F.when(F.col("was").isNull(), "second").when(F.col("again").isNull(), "first").otherwise("both")
+    return out.select("doc_key", seen.alias("seen"), F.size("message_guids").cast("long").alias("messages"))
+
+
+PEOPLE = "['Ada', 'Bob', 'Cy', 'Di', 'Ed', 'Flo', 'Gus']"
+
+
+@query(f"WITH d AS (SELECT {PEOPLE}[1 + o_custkey % 5] || ' Lee' AS a, {PEOPLE}[1 + o_orderkey % 7] || ' Ray' AS b FROM orders) SELECT least(a, b) AS source, greatest(a, b) AS target, count(*) AS weight FROM d GROUP BY ALL")
+def g6_merge_relations(t):
+    name = lambda c, n, last: F.concat(F.get(F.expr(PEOPLE.replace("[", "array(").replace("]", ")")), (F.col(c) % n).cast("int")), F.lit(last))
+    docs = t("orders").select(F.col("o_orderkey").alias("doc_key"), F.concat(F.lit("then "), name("o_orderkey", 7, " Ray"), F.lit(" met "), name("o_custkey", 5, " Lee"), F.lit(" there")).alias("text"), F.lit(None).cast("string").alias("thread_name"))
+    return graph.merge_relations(graph.extract(docs)[1].where("source is not null")).select("source", "target", "weight")
 
 
 @query("SELECT count(DISTINCT o_orderkey % 5000) AS n FROM orders")
@@ -394,9 +436,13 @@ def g9_neighbourhood(t):
     return graph.neighbourhood(customer_graph(t)[1], "n3", 2).select("name", "hops")
 
 
-@query("SELECT p_partkey, CASE WHEN starts_with(lower(p_name), 'part') THEN 0 ELSE 1 END AS tier FROM part WHERE contains(lower(p_name), 'part') ORDER BY tier, p_partkey LIMIT 8")
+NAMED = "SELECT 'c' || c_custkey AS name, c_custkey AS ordinal FROM customer UNION ALL SELECT p_name, 1000000 + p_partkey FROM part"
+
+
+@query(f"SELECT * FROM (SELECT ordinal, CASE WHEN starts_with(lower(name), 'c1') THEN 0 ELSE 1 END AS tier FROM ({NAMED}) WHERE contains(lower(name), 'c1') ORDER BY tier, ordinal LIMIT 8) UNION ALL SELECT * FROM (SELECT ordinal, CASE WHEN starts_with(lower(name), 'bolt') THEN 0 ELSE 1 END AS tier FROM ({NAMED}) WHERE contains(lower(name), 'bolt') ORDER BY tier, ordinal LIMIT 8)")
 def t6_search_names(t):
-    return graph.search_entities(t("part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_partkey").alias("ordinal")), "Part").select("p_partkey", "tier")
+    nodes = t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("name"), F.col("c_custkey").alias("ordinal")).union(t("part").select("p_name", F.col("p_partkey") + 1000000))
+    return graph.search_entities(nodes, "C1").select("ordinal", "tier").union(graph.search_entities(nodes, "Bolt").select("ordinal", "tier"))
 
 
 @query("SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target, 'c' || c_custkey || ' -> ' || 'n' || c_nationkey || ': ' || c_mktsegment AS fact FROM customer WHERE c_custkey % 3 <> 0")
@@ -461,14 +507,20 @@ def g10_entity_detail(t):
     return graph.entity_detail(entities, edges, manifest, "N3")[1].select("source")
 
 
-@query("SELECT n_nationkey AS query_id, 'c' || c_custkey AS source FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey >= 10")
+@query("""WITH r AS (SELECT c_nationkey AS query_id, 'c' || c_custkey AS source, 'xn' || c_nationkey AS target, row_number() OVER (PARTITION BY c_nationkey ORDER BY 'c' || c_custkey || chr(31) || 'xn' || c_nationkey) AS nth FROM customer),
+ l AS (SELECT query_id, source || '>' || target AS hit FROM r), g AS (SELECT query_id, source || '>' || target AS hit FROM r WHERE nth <= 10), d AS (SELECT n_nationkey AS query_id, 'd' || n_nationkey AS hit FROM nation)
+ SELECT 'local' AS mode, * FROM l UNION ALL SELECT 'global', * FROM g UNION ALL SELECT 'hybrid', * FROM l UNION ALL SELECT 'mix', * FROM l UNION ALL SELECT 'naive', * FROM d UNION ALL SELECT 'mix', * FROM d""")
 def g11_graph_retrieve(t):
-    c = t("customer")
-    n = t("nation").where("n_nationkey >= 10")
+    c, n = t("customer"), t("nation")
     q = n.select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("tell me of xn"), "n_nationkey").alias("text"))
     entities = n.select(F.concat(F.lit("xn"), "n_nationkey").alias("name"))
     relations = c.select(F.concat(F.lit("c"), "c_custkey").alias("source"), F.concat(F.lit("xn"), "c_nationkey").alias("target"))
-    return graph.graph_retrieve(q, entities, relations, n.select(F.lit("d").alias("doc_key"), F.lit("x").alias("text")), "local")[0].select("query_id", "source")
+    transcripts = n.select(F.concat(F.lit("d"), "n_nationkey").alias("doc_key"), F.concat(F.lit("here xn"), "n_nationkey", F.lit(" stands")).alias("text"))
+    out = []
+    for mode in ("local", "global", "hybrid", "naive", "mix"):
+        found, docs = graph.graph_retrieve(q, entities, relations, transcripts, mode)
+        out += [found.select(F.lit(mode).alias("mode"), "query_id", F.concat_ws(">", "source", "target").alias("hit")), docs.select(F.lit(mode), "query_id", "doc_key")]
+    return reduce(DataFrame.union, out)
 
 
 @query(r"SELECT c_nationkey AS question, CASE WHEN length(x) <= 400 THEN x ELSE regexp_replace(substr(x, 1, 396), '\s+$', '') || ' […]' END AS context FROM (SELECT c_nationkey, 'Facts:' || chr(10) || string_agg('c' || c_custkey, chr(10) ORDER BY 'c' || c_custkey) || chr(10) || chr(10) || 'Excerpts:' || chr(10) || any_value(n_name) AS x FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_nationkey)")
@@ -499,22 +551,34 @@ def a12_provenance_lift(t):
     return out.select(*[r6(c).alias(c) for c in out.columns])
 
 
-@query(f"SELECT lang AS kind, count(*) AS questions, round(avg({FACTS} / 2), 6) AS fact_recall FROM documents GROUP BY lang")
+@query(f"""WITH a AS (SELECT lang, doc_id % 11 = 3 AS failed, CASE WHEN doc_id % 11 = 3 THEN 0 ELSE {FACTS} / 2 END AS fact, CASE WHEN doc_id % 11 = 3 OR doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 >= 2 THEN 0.5 ELSE 0 END AS prov FROM documents),
+ s AS (SELECT 'all' AS slice, * FROM a UNION ALL SELECT 'kind:' || lang, * FROM a)
+ SELECT slice, count(*) AS questions, count(*) FILTER (failed) AS errors, round(avg(fact), 6) AS fact_recall, round(avg(prov), 6) AS provenance_recall, count(prov) AS n_reported FROM s GROUP BY slice""")
 def g13_graph_eval(t):
-    a = evaluate.fact_recall(answers(t)).join(t("documents").select("doc_id", "lang"), "doc_id")
-    return a.groupBy(F.col("lang").alias("kind")).agg(F.count("*").alias("questions"), r6(F.avg("fact_recall")).alias("fact_recall"))
+    a = answers(t).join(t("documents").select("doc_id", F.col("lang").alias("kind")), "doc_id").withColumn("error", F.when(F.col("doc_id") % 11 == 3, "timeout"))
+    builds.check_anchors(a.select("required"), t("documents").select(F.col("doc_id").alias("guid")))
+    return builds.run_graph_eval(a).select("slice", "questions", "errors", r6("fact_recall").alias("fact_recall"), r6("provenance_recall").alias("provenance_recall"), "n_reported")
+
+
+HEARD = r"""h AS (SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g'), ' ') AS x,
+  trim(regexp_replace(regexp_replace(lower(replace(text, 'th', 'tn')), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g'), ' ') AS y FROM conversations),
+ e AS (SELECT *, levenshtein(x, y) AS char_edits, length(x) AS chars, CASE WHEN x = '' THEN 0 ELSE len(string_split(x, ' ')) END AS words, len(list_filter(list_zip(string_split(x, ' '), string_split(y, ' ')), lambda p: p[1] <> p[2])) AS word_edits FROM h)"""
+
+
+def heard(t) -> DataFrame:
+    """Every turn beside what a reader made of it, who takes one letter pair for another."""
+    c = t("conversations").select("conv_id", "turn", "role", F.col("text").alias("truth"), F.replace(F.col("text"), F.lit("th"), F.lit("tn")).alias("hyp"))
+    return evaluate.error_rates(c)
 
 
-NEAR = r"""t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(substr(text, 1, 300), '[^ -~]', '?', 'g')), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g'), ' ') AS x, lang, substr(text, 1, 40) AS k FROM documents),
- p AS (SELECT a.doc_id AS a, b.doc_id AS b, levenshtein(a.x, b.x) AS char_edits, length(a.x) AS chars FROM t a JOIN t b ON a.k = b.k AND a.lang = b.lang WHERE a.doc_id < b.doc_id AND b.doc_id - a.doc_id < 200)"""
+@query(f"WITH {HEARD} SELECT conv_id, turn, char_edits, chars, word_edits, words FROM e")
+def a13_error_rates(t):
+    return heard(t).select("conv_id", "turn", *[F.col(c).cast("long").alias(c) for c in ("char_edits", "chars", "word_edits", "words")])
 
 
-@query(f"WITH {NEAR} SELECT a, b, char_edits, chars FROM p")
-def a13_character_error_rate(t):
-    d = t("documents").select("doc_id", "lang", F.substring("text", 1, 40).alias("k"), F.regexp_replace(F.substring("text", 1, 300), "[^ -~]", "?").alias("x"))
-    b = d.select(F.col("doc_id").alias("b"), "lang", "k", F.col("x").alias("hyp"))
-    pairs = d.select(F.col("doc_id").alias("a"), "lang", "k", F.col("x").alias("truth")).join(b, ["lang", "k"]).where("a < b and b - a < 200")
-    return evaluate.error_rates(pairs).select("a", "b", F.col("char_edits").cast("long").alias("char_edits"), F.col("chars").cast("long").alias("chars"))
+@query(f"WITH {HEARD} SELECT round(sum(char_edits) / sum(chars), 6) AS cer, round(sum(word_edits) / sum(words), 6) AS wer FROM e")
+def a13_corpus_error_rates(t):
+    return evaluate.corpus_error_rates(heard(t)).select(r6("cer").alias("cer"), r6("wer").alias("wer"))
 
 
 # Telemetry.
@@ -542,13 +606,9 @@ COUNTER = "s AS (SELECT event_type, ts, event_id, (row_number() OVER (PARTITION
 @query(f"WITH {COUNTER}, d AS (SELECT event_type, ts, CASE WHEN p IS NULL THEN 0 WHEN v < p THEN v ELSE v - p END AS step FROM (SELECT *, lag(v) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM s)) SELECT event_type, epoch_us(date_trunc('day', ts)) AS start_us, CAST(sum(step) AS BIGINT) AS increase FROM d GROUP BY ALL")
 def a16_increase(t):
     e = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    line = W.partitionBy("event_type").orderBy("ts", "event_id")
-    s = e.withColumn("value", ((F.row_number().over(line) - 1) % 1000).cast("long")).select("event_type", (F.unix_micros("ts")).alias("us"), "event_id", "value", "ts")
-    # Equal times keep the order of events: a microsecond's fraction cannot be told apart otherwise.
-    s = s.withColumn("ts", F.struct("ts", "event_id"))
-    stepped = s.withColumn("before", F.lag("value").over(W.partitionBy("event_type").orderBy("ts"))).select("event_type", F.col("ts.ts").alias("ts"), "value", "before")
-    step = F.when(F.col("before").isNull(), 0).when(F.col("value") < F.col("before"), F.col("value")).otherwise(F.col("value") - F.col("before"))
-    return stepped.withColumn("step", step).groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.sum("step").alias("increase")).select("event_type", F.unix_micros("w.start").alias("start_us"), "increase")
+    line = W.partitionBy("event_type").orderBy("ts", "event_id")  # a counter to read, made by numbering the events
+    s = e.withColumn("value", ((F.row_number().over(line) - 1) % 1000).cast("long"))
+    return telemetry.increase(s, ["event_type"], "1 day", ("event_id",)).select("event_type", F.unix_micros("start").alias("start_us"), "increase")
 
 
 @query("SELECT a.event_type, round(a.mean, 6) AS mean, round(a.n / (SELECT count(*) FROM events), 6) AS share FROM (SELECT event_type, sum(value) / count(value) AS mean, count(*) AS n FROM events GROUP BY event_type) a")
@@ -596,6 +656,35 @@ def st6_latest_status(t):
     return streams.latest_status(t("events"))
 
 
+@query("SELECT conv_id, 'chat' || conv_id || '::x' AS thread_id, '2024-01-0' || (1 + turn % 5) || CASE WHEN turn % 5 = turn % 3 THEN '' ELSE '..2024-01-0' || (1 + turn % 3) END AS span, 'Room (' || '2024-01-0' || (1 + turn % 5) || CASE WHEN turn % 5 = turn % 3 THEN '' ELSE '..2024-01-0' || (1 + turn % 3) END || ')' AS label, 'Room' AS header, turn FROM conversations")
+def e17_spans_and_keys(t):
+    c = t("conversations")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), (F.col("turn") % n).cast("int"))
+    key = T.doc_key(F.concat(F.lit("chat"), "conv_id", F.lit("::x")), day(5), day(3))
+    label = T.transcript_label(F.lit("Room"), T.span(day(5), day(3)))
+    return c.select("conv_id", "turn", T.key_parts(key)["thread_id"].alias("thread_id"), T.key_parts(key)["span"].alias("span"), label.alias("label"), T.thread_header(F.concat(F.lit("# "), label, F.lit("\nParticipants: a"))).alias("header"))
+
+
+@query(f"WITH {EDGES}, d AS (SELECT name, count(*) AS degree FROM (SELECT source AS name FROM edges UNION ALL SELECT target FROM edges) GROUP BY name) SELECT name, round(4 + 14 * sqrt(degree / (SELECT max(degree) FROM d)), 6) AS size FROM d")
+def e19_node_sizes(t):
+    d = graph.degrees(customer_graph(t)[1])
+    top = d.agg(F.max("degree").alias("most"))
+    return d.crossJoin(F.broadcast(top)).select("name", r6(T.node_size(F.col("degree"), F.col("most"))).alias("size"))
+
+
+@query(r"""SELECT item_id, regexp_replace(text, '(^|[^\p{L}\p{N}])((?i:the|and))', '\1<mark>\2</mark>', 'g') AS marked FROM benchmark""")
+def e9_highlight(t):
+    return t("benchmark").select("item_id", T.highlight(F.col("text"), ["and", "the"]).alias("marked"))
+
+
+@query("SELECT b.item_id AS query_id, 0 AS ref, CASE WHEN b.item_id % 4 = 0 THEN 'd1::' || b.item_id ELSE d.doc_id || '::0' END AS id FROM benchmark b LEFT JOIN documents d ON b.item_id % 4 <> 0 AND d.doc_id % 7 = b.item_id % 7 AND contains(lower(d.text), lower(b.text))")
+def j9_resolve_by_fact(t):
+    refs = t("benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("ref"), F.when(F.col("item_id") % 4 == 0, F.lit("x")).otherwise((F.col("item_id") % 7).cast("string")).alias("doc_id"), F.col("item_id").cast("int").alias("chunk_index"), F.when(F.col("item_id") % 4 > 0, F.col("text")).alias("fact"))
+    chunks = t("documents").select((F.col("doc_id") % 7).cast("string").alias("doc_id"), F.lit(-1).alias("chunk_index"), T.chunk_id(F.col("doc_id").cast("string"), F.lit(0)).alias("chunk_id"), F.col("text").alias("content"))
+    anchored = refs.select(F.lit("x").alias("doc_id"), "chunk_index", T.chunk_id(F.lit("d1"), F.col("chunk_index")).alias("chunk_id"), F.lit("").alias("content"))
+    return evaluate.resolve_by_fact(refs, chunks.union(anchored)).select("query_id", "ref", "id")
+
+
 # Rows that SQL cannot express; tests hold them against plain versions.
 
 @query()
@@ -630,13 +719,30 @@ def c5_heading_hybrid(t):
 
 @query()
 def c6_chunker_sweep(t):
-    return chunking.chunker_sweep(t("documents"), ["recursive_character", "token_based"]).groupBy("strategy").agg(F.count("*").alias("chunks"), F.avg(F.length("content")).alias("mean_chars"))
+    facts = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("fact"))
+    return builds.sweep_chunkers(t("documents"), facts)
+
+
+@query()
+def r12_run_matrix(t):
+    queries = t("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    passages = t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("context"))
+    return builds.run_matrix(queries, passages, fact_refs(t))[0].select("config", "k", r6("recall").alias("recall"), r6("pass_rate").alias("pass_rate"))
+
+
+@query()
+def q3_chat_eval(t):
+    m = messages(t)
+    passages = m.where("role = 'assistant'").select((F.col("conversation_id") * 100 + F.col("turn")).alias("id"), "content", F.lit(None).cast("string").alias("context"))
+    refs = m.where("role = 'user'").select("conversation_id", "turn", F.lit(0).alias("ref"), (F.col("conversation_id") * 100 + F.col("turn") + 1).alias("id"))
+    out = builds.run_chat_eval(m, passages, refs.join(passages.select("id"), "id", "left_semi"))
+    return out.withColumns({c: r6(c) for c in ("recall", "pass_rate")})
 
 
 @query()
 def r2_semantic_ann(t):
     e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return search.semantic_ann(e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), search.ivf_index(e, 16), 10, 8)
+    return search.semantic_ann(e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), search.ivf_index(e, 16), 10, 13)
 
 
 @query()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -25,10 +28,15 @@ def build_session(app: str = "sparkrag", master: str = "local[*]", shuffle_parti
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session in one process
+    gets a temporary folder, removed at its end; a cluster has no such folder in common, so there it is an error."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sparkrag.scratch", None)
     if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        known = f"file://{folder}"
         spark.conf.set("sparkrag.scratch", known)
     return known.rstrip("/")
 

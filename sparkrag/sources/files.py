@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from html.parser import HTMLParser
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrag.functions import text as T
+from sparkrag.session import saved
 
 BUCKETS = {
     "text_like": ["txt", "md", "rst", "csv"], "pdf": ["pdf"], "office": ["docx", "pptx", "xlsx", "odt", "odp", "ods"],
@@ -108,6 +109,32 @@ def read_archive(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in ARCHIVE.items()}
 
 
+MESSAGES = "guid string, thread_id string, thread_name string, sender_handle string, sender_name string, is_from_me boolean, ts timestamp, text string, tapbacks array<struct<kind:string,sender_name:string>>"
+
+#: How message files of a suffix are read, given a reader with the messages' schema.
+MESSAGE_READERS: dict[str, Callable] = {"jsonl": lambda reader, root: reader.option("mode", "FAILFAST").json(root), "parquet": lambda reader, root: reader.parquet(root)}
+
+
+def message_batches(spark: SparkSession, root: str, readers: dict[str, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(messages with batch_id and relative_path; path of the files that no reader takes). A batch is a file: its id is
+    made of its path below root and the hash of its bytes, so a file that comes again unchanged keeps its id."""
+    readers = MESSAGE_READERS if readers is None else readers
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(plain(F.col("path")).alias("path"), T.content_hash(F.col("content")).alias("digest"))
+    files = files.withColumn("relative_path", F.substr("path", F.length(plain(F.lit(top))) + 2))
+    files = saved(files.withColumn("batch_id", T.derive_doc_id(F.col("relative_path"), F.col("digest"))), "message-files")
+    taken = F.substring_index("path", ".", -1)
+    out = spark.createDataFrame([], f"{MESSAGES}, batch_id string, relative_path string")
+    for suffix, read in readers.items():
+        if not files.where(taken == suffix).isEmpty():
+            reader = spark.read.schema(MESSAGES).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}")
+            own = read(reader, root).select("*", plain(F.col("_metadata.file_path")).alias("path"))
+            out = out.unionByName(own.join(files.select("path", "batch_id", "relative_path"), "path").drop("path"))
+    return out, files.where(~taken.isin(list(readers))).select("path")
+
+
 GOLDEN = "query string, relevant array<struct<rel_source:string,chunk_index:int,fact:string>>"
 
 
