@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkrag.llm.names import unused
 from sparkrag.session import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -120,13 +121,14 @@ def mixed(docs: DataFrame, **options: int) -> DataFrame:
     """docs as the mix takes them: each row as often as its words are taken whole, and once more with its first words,
     joined by one space, where a part is left; n_chars, where there is one, counted anew. Rows of which nothing is taken
     go. Columns are those of docs. See mix for the rest."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    row, times, part, nth = unused(docs.columns, "row", "times", "part", "nth")
+    keyed = docs.withColumn(row, F.monotonically_increasing_id())
     keyed = saved(keyed, "to-mix", compression="zstd")
-    plan = mix(keyed.select(F.col("_row").alias("doc_id"), "text", "source"), **options).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_row"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("_times"), (F.col("taken") % F.col("size")).cast("int").alias("_part"))
-    times = F.sequence(F.lit(1), F.col("_times") + F.when(F.col("_part") > 0, 1).otherwise(0))
-    taken = keyed.join(plan, "_row").withColumn("_nth", F.explode(times))
+    plan = mix(keyed.select(F.col(row).alias("doc_id"), "text", "source"), **options).where("taken > 0")
+    plan = plan.select(F.col("doc_id").alias(row), F.floor(F.col("taken") / F.col("size")).cast("int").alias(times), (F.col("taken") % F.col("size")).cast("int").alias(part))
+    copies = F.sequence(F.lit(1), F.col(times) + F.when(F.col(part) > 0, 1).otherwise(0))
+    taken = keyed.join(plan, row).withColumn(nth, F.explode(copies))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    out = taken.withColumn("text", F.when(F.col("_nth") <= F.col("_times"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest("_part", F.lit(1))), " ")))
+    out = taken.withColumn("text", F.when(F.col(nth) <= F.col(times), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest(part, F.lit(1))), " ")))
     out = out.select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

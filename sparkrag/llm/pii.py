@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrag.llm.hashing import ALNUM, text_slices, word_hashes, words
+from sparkrag.llm.names import unused
 from sparkrag.session import saved
 
 KINDS = ("email", "ip", "card", "phone")
@@ -48,7 +49,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                 out.append((s, m.end(), 0))
                 done = m.end()
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+        if all(len(x := part.lstrip("0")) <= 3 and int(x or 0) <= 255 for part in m.group().split(".")):
             out.append((*m.span(), 1))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -259,16 +260,17 @@ def masked(text: str, spans: list[dict]) -> str:
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
     """docs with all found spans masked in text, and n_chars (where there is one) counted anew; other columns as they
     were. Null text stays null. See find for the rest."""
-    found = find(docs, **limits).where(F.size("spans") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    found = found.dropDuplicates(["_doc", "_key"])
-    left = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_key": F.xxhash64(F.col("text").cast("string"))})
-    joined = left.join(found, ["_doc", "_key"], "left").drop("_doc", "_key")
+    doc, key, mark = unused(docs.columns, "doc", "key", "spans")
+    found = find(docs, **limits).where(F.size("spans") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(doc), F.col("text_key").alias(key), F.col("spans").alias(mark))
+    found = found.dropDuplicates([doc, key])
+    left = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key: F.xxhash64(F.col("text").cast("string"))})
+    joined = left.join(found, [doc, key], "left").drop(doc, key)
     names = list(docs.columns)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
+            spans = batch.column(batch.schema.get_field_index(mark)).to_pylist()
             if any(spans):
                 texts = [masked(t, s) if s else t for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))

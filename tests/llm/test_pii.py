@@ -1,4 +1,7 @@
+import math
+import random
 import re
+from collections import Counter
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -57,6 +60,78 @@ def test_terms_in_copies_far_words_and_far_places(spark):
     assert all(out[i] == t for i, t in enumerate(texts) if i >= 310)
 
 
+def test_very_long_runs_and_many_spans(spark):
+    zeros = "0" * 5000
+    assert pii.base_spans(f"a {zeros}.1.1.1 b") == [(2, 5008, 1)] and pii.base_spans(f"{zeros}256.1.1.1") == []
+    many = " ".join(f"word{i % 7} u{i}@mail.example.com" for i in range(10_000))
+    got = pii.find(spark.createDataFrame([(1, many), (2, zeros), (3, "9" * 200_000)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: len(r["spans"]) for r in got} == {1: 10_000, 2: 0, 3: 0}
+
+
+def plain_terms(texts, support=3, reach=80, remove_at=0.9, generalise_at=0.75):
+    """Term spans of each text, from the definitions."""
+    word = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
+    rows, spans = len(texts), [pii.base_spans(t or "") for t in texts]
+    value = lambda t, s, e, k: (k, t[s:e].lower() if k < 2 else re.sub("[^0-9]", "", t[s:e]))
+    free = [[m.span() for m in word.finditer(t or "") if m.end() - m.start() >= 3 and all(m.end() <= s or e <= m.start() for s, e, _ in own)] for t, own in zip(texts, spans, strict=True)]
+    mentions, both, contexts, holds = Counter(), Counter(), {}, Counter()
+    for t, own, places in zip(texts, spans, free, strict=True):
+        holds.update({w.lower() for w in word.findall(t or "")})
+        mentions.update({value(t, *x) for x in own})
+        near = set()
+        for s, e, k in own:
+            for x, y in places:
+                if x >= s - reach and y <= e + reach:
+                    near.add((value(t, s, e, k), t[x:y].lower()))
+                    contexts.setdefault((value(t, s, e, k), t[x:y].lower()), set()).add((t[max(0, s - reach):s], t[e:e + reach]))
+        both.update(near)
+    flagged = {}
+    for (c, w), seen in contexts.items():
+        if len(seen) >= support and rows > mentions[c]:
+            ratio = math.log(both[c, w] * rows / (mentions[c] * holds[w])) / math.log(rows / mentions[c])
+            if ratio >= generalise_at:
+                flagged[c, w] = "term" if ratio >= remove_at else "term_general"
+    out = []
+    for t, own, places in zip(texts, spans, free, strict=True):
+        mine = {}
+        for x, y in places:
+            kinds = [flagged[c, t[x:y].lower()] for c in {value(t, *s) for s in own} if (c, t[x:y].lower()) in flagged]
+            if kinds:
+                mine[x, y] = min(kinds)
+        out.append(sorted((x, y, k) for (x, y), k in mine.items()))
+    return out
+
+
+def test_term_spans_equal_plain_ones(spark):
+    rng = random.Random(11)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    people = [f"p{i}@corp.example.com" for i in range(5)]
+    texts = [None, "", "no spans here wab wac"]
+    for i in range(400):
+        w = [rng.choice(words) for _ in range(rng.randint(5, 40))]
+        if rng.random() < 0.3:
+            p = rng.randrange(5)
+            w.insert(rng.randrange(len(w)), people[p])
+            w.insert(rng.randrange(len(w)), f"Known{p}")
+            if rng.random() < 0.7:
+                w.insert(rng.randrange(len(w)), f"often{p}")
+        elif rng.random() < 0.25:
+            w.append(f"often{rng.randrange(5)}")
+        texts.append(" ".join(w))
+    texts += [texts[20]] * 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: sorted((s["start"], s["end"], s["kind"]) for s in r["spans"] if s["kind"].startswith("term")) for r in pii.find(df).collect()}
+    want = plain_terms(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert {k for x in want for *_, k in x} == {"term", "term_general"}
+
+
+def test_columns_with_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "a.b@mail.example.com x", "d", "k", "s", 5)], "doc_id long, text string, _doc string, key string, spans string, n_chars long")
+    r = pii.sanitise(df).first()
+    assert tuple(r) == (1, "[EMAIL] x", "d", "k", "s", 9)
+
+
 def test_no_rows(none):
     assert pii.find(none).collect() == []
     assert pii.sanitise(none).columns == none.columns
