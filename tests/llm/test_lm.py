@@ -30,6 +30,26 @@ def test_scores_equal_brute_force(docs, rows):
     for a, b in zip(own, want, strict=True):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-12)
     assert {r["train_tokens"] for r in got} == {n}
+
+    # The interpolated model: weights from the deleted counts, then each text token by token.
+    starts, events, floor = len(learned), Counter(), 1 / (v + 1)
+    held = lambda b: c1[b] if b != "start" else starts
+    for r in learned:
+        for before, t in zip(["start", *toks(r[1])], toks(r[1]), strict=False):
+            cell = lm._bins(np.array([(c2[before, t] - 1) / max(held(before) - 1, 1)]), np.array([(c1[t] - 1) / max(n - 1, 1)]), floor)[0]
+            events[int(lm.frequency_bucket(np.array([held(before) - 1]))[0]), int(cell)] += 1
+    weights = lm.learn_weights(np.array([[b, p, m] for (b, p), m in sorted(events.items())], np.int64), floor)
+    full = []
+    for r in rows:
+        total = 0.0
+        for before, t in zip(["start", *toks(r[1])], toks(r[1]), strict=False):
+            w = weights[lm.frequency_bucket(np.array([held(before)]))[0]]
+            p2, rest = (c2[before, t] / held(before), 1) if held(before) else (0.0, 1 - w[0])
+            total += math.log10((w[0] * p2 + w[1] * c1[t] / n + w[2] * floor) / rest)
+        full.append((r[0] is None, r[0] or 0, len(toks(r[1])), total))
+    own = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in got)
+    for a, b in zip(own, sorted(full), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-6)
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
     assert sum(r["score"] for r in got if r["train"]) > sum(r["base_score"] for r in got if r["train"])
 
@@ -40,6 +60,20 @@ def test_model_adds_up_to_one():
     assert np.allclose(w.sum(1), 1) and w[5, 0] > w[3, 0] > 0.3
 
 
+def test_weights_equal_plain_expectation_maximisation():
+    rng, floor = np.random.default_rng(1), 1e-4
+    p2, p1 = rng.choice([0.0, 0.5, 0.25, 0.125], 400), rng.choice([0.0, 1 / 64, 1 / 256], 400)
+    events = np.stack([np.full(400, 4), lm._bins(p2, p1, floor), np.ones(400, np.int64)], 1)
+    w = [1 / 3] * 3
+    for _ in range(60):
+        sums = [0.0] * 3
+        for a, b in zip(p2, p1, strict=True):
+            parts = [w[0] * a, w[1] * b, w[2] * floor]
+            sums = [s + x / sum(parts) for s, x in zip(sums, parts, strict=True)]
+        w = [s / sum(sums) for s in sums]
+    assert np.allclose(lm.learn_weights(events, floor)[4], w, atol=1e-6)
+
+
 def test_held_out_texts_score_better_than_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = lm.score(docs, F.col("doc_id") % 5 != 0).where("not train").agg(F.sum("score"), F.sum("base_score")).first()
