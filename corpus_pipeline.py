@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkrag.llm import jaccard, langid, mixing, packing, pii
+from sparkrag.llm.names import unused
 from sparkrag.session import saved
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those that language ID rejects go."""
-    return langid.identify(docs, langid.fit(docs)).where("not rejected").select(*docs.columns)
+    into = unused(docs.columns, *langid.RESULT)
+    return langid.identify(docs, langid.fit(docs), tuple(into)).where(~F.col(into[3])).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
