@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,13 @@ from sparkrag.session import saved
 ROW_BITS = 18
 KEYS = 8
 DEPTH = 8
-SKETCH_BITS = 19
+SKETCH_BITS = 23
+STEP = 1024
 FILTER_BITS = 24
+#: Of a token that more entries share, pairs are made at once if there are no more than entries.
+FEW = 32
+NARROW, WIDE = 256, 1024
+CHUNK = 2048
 
 
 def shingle_sets(texts: pa.Array | pa.ChunkedArray, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -91,50 +96,60 @@ def _describe(blocks: DataFrame, k: int) -> DataFrame:
     return saved(blocks.select("block", "payload").mapInArrow(describe, "vid long, doc_id long, n long, sig1 long, sig2 long, keys array<long>"), "shingle-sets")
 
 
-def _frequency_sketch(blocks: DataFrame, k: int, ranges: int = 8) -> np.ndarray:
-    """Counts of shingles by hash cell over all documents: 2**SKETCH_BITS cells, whatever the input's size."""
+def _frequency_sketch(blocks: DataFrame, k: int, ranges: int = 16) -> np.ndarray:
+    """Counts c of shingles by hash cell over all documents, as STEP * log2(1 + c): 2**SKETCH_BITS cells of two bytes,
+    whatever the input's size."""
     width = (1 << SKETCH_BITS) // ranges
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for payload in batch.column("payload"):
                 for _, _, g, _ in shingle_sets(B.from_bytes(payload.as_py())["text"], k):
-                    total += np.bincount((g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                    cell, n = np.unique((g >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+                    total[cell] += n.astype(np.uint32)
         yield pa.RecordBatch.from_pydict({"r": pa.array(range(ranges), pa.int32()), "body": pa.array([B.planes(total[r * width:(r + 1) * width]) for r in range(ranges)], pa.binary())})
 
     def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
         for t in parts:
             for body in t["body"].to_pylist():
-                total += B.unplanes(body, width, np.int64)
-        yield pa.RecordBatch.from_pydict({"r": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([total.tobytes()], pa.binary())})
+                total += B.unplanes(body, width, np.uint32)
+        yield pa.RecordBatch.from_pydict({"r": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([(STEP * np.log2(1 + total)).astype(np.uint16).tobytes()], pa.binary())})
 
-    got = {r["r"]: np.frombuffer(bytes(r["body"]), np.int64) for r in blocks.select("payload").mapInArrow(count, "r int, body binary").groupBy("r").applyInArrow(merge, "r int, body binary").collect()}
-    return np.concatenate([got[r] for r in range(ranges)]) if got else np.zeros(1 << SKETCH_BITS, np.int64)
+    got = {r["r"]: np.frombuffer(bytes(r["body"]), np.uint16) for r in blocks.select("payload").mapInArrow(count, "r int, body binary").groupBy("r").applyInArrow(merge, "r int, body binary").collect()}
+    return np.concatenate([got[r] for r in range(ranges)]) if got else np.zeros(1 << SKETCH_BITS, np.uint16)
 
 
-def prefix(g: np.ndarray, load: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
+def levels_of(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """By how many powers of two of a unit each cell's count exceeds what chance makes of the usual load, and the unit."""
+    many = np.cumsum(np.bincount(counts, minlength=1 << 16))
+    each = 2.0 ** (np.arange(1 << 16) / STEP) - 1
+    usual = float(each[np.searchsorted(many, many[-1] / 2)])
+    unit = 1 + usual**0.5
+    return np.floor(np.log2(1 + np.maximum(each - usual - 3 * usual**0.5, 0) / unit)).astype(np.uint8)[counts], unit
+
+
+def prefix(g: np.ndarray, levels: np.ndarray, unit: float, percent: int) -> tuple[np.ndarray, int]:
     """The tokens of a set's longest prefix in order, and the number of matches it asks for.
 
-    The order is common to all sets: by how far the estimated frequency exceeds the usual load of a cell (in powers of
-    two), then by hash. A set of n that needs overlap t has an l-match prefix of n - t + l tokens, and two sets that
+    The order is common to all sets: by the level of the estimated frequency, then by hash. A set of n that needs overlap t has an l-match prefix of n - t + l tokens, and two sets that
     reach t share at least l tokens of their l-match prefixes. Of l up to DEPTH, the one of least estimated cost is
     asked for: reading the postings of the prefix beside sets of equal size, and verifying at most that many candidates
     divided by l.
     """
-    over = np.maximum(load[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] - 2 * usual, 0)
-    order = np.lexsort((g, np.floor(np.log2(1 + over / (2 * usual + 1)))))
+    level = levels[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    order = np.argsort(level, kind="stable")  # sets stand sorted by hash
     n, t = len(g), int(_needed(len(g), percent))
     most = min(DEPTH, t)
     own = order[:n - t + most]
-    read = np.cumsum(over[own] + 1)
+    read = np.cumsum((2.0 ** level[own] - 1) * unit + 1)
     like = n + 2 * percent * n // -(100 + percent)  # what a set of n leaves open beside one of its own size
     cost = [read[like + m - 1] * (1 + n / 64 / m) for m in range(1, most + 1)]
     return g[own], 1 + int(np.argmin(cost))
 
 
-def _entries(blocks: DataFrame, side: DataFrame, k: int, percent: int, buckets: int, load, usual: float) -> DataFrame:
+def _entries(blocks: DataFrame, side: DataFrame, k: int, percent: int, buckets: int, levels, unit: float) -> DataFrame:
     """Prefix entries of the class representatives in side (block, vid, part), packed by block and hash bucket."""
 
     def emit(own: pa.Table, reps: pa.Table) -> pa.Table:
@@ -146,7 +161,7 @@ def _entries(blocks: DataFrame, side: DataFrame, k: int, percent: int, buckets:
             tokens, which, places, docs, table = [], [], [], [], B.from_bytes(payload)["text"].combine_chunks().take(pa.array(wanted))
             for lo, hi, g, bounds in shingle_sets(table, k):
                 for r in range(lo, hi):
-                    got, asks = prefix(g[bounds[r - lo]:bounds[r - lo + 1]], load.value, usual, percent)
+                    got, asks = prefix(g[bounds[r - lo]:bounds[r - lo + 1]], levels.value, unit, percent)
                     tokens.append(got)
                     places.append(np.arange(len(got)))
                     which.append(np.full(len(got), r))
@@ -172,45 +187,47 @@ def _entries(blocks: DataFrame, side: DataFrame, k: int, percent: int, buckets:
     return B.with_side(blocks.select("block", "payload"), side, emit, "bucket int, n int, docs int, tokens binary, which binary, places binary, table binary")
 
 
-def _group_pairs(size: np.ndarray, begin: np.ndarray, part: np.ndarray, n: np.ndarray, percent: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (earlier, later) of entries of one token that lie in different parts and have sizes near enough.
+def _group_pairs(size: np.ndarray, begin: np.ndarray, part: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by token, which stand by rising set size: pairs (earlier, later) of different parts and sizes near enough,
+    and the entries of tokens put off.
 
-    Entries of a token stand by rising set size, so each later one meets a run of earlier ones; in a long run, those of
-    the most frequent part meet only entries of other parts.
+    A token of g entries gives its pairs at once if they are no more than max(FEW, g), so that all pairs stay in
+    proportion to the entries; any other is put off as a whole.
     """
+    none = np.zeros(0, np.int64)
     if not len(size):
-        return
+        return none, none, none
     mixed = np.minimum.reduceat(part, begin) != np.maximum.reduceat(part, begin)
     two = begin[mixed & (size == 2)]
     two = two[n[two] >= _needed(n[two + 1], percent)]
-    yield two, two + 1
-    held_a, held_b, held = [], [], 0
+    left, right, later = [two], [two + 1], []
     rest = mixed & (size > 2)
     for s, g in zip(begin[rest].tolist(), size[rest].tolist(), strict=True):
         own, sizes = part[s:s + g], n[s:s + g]
-        low = np.searchsorted(sizes, _needed(sizes, percent), "left").tolist()
-        if g > 32:
-            names, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
-            flag = inverse != counts.argmax()
-            odd = np.flatnonzero(flag)
+        if g * (g - 1) // 2 > FEW:
+            counts = np.unique(own, return_counts=True)[1]
+            if (g * g - int((counts * counts).sum())) // 2 > max(FEW, g):
+                later.append(np.arange(s, s + g))
+                continue
         for j in range(1, g):
-            before = np.arange(low[j], j) if g <= 32 or flag[j] else odd[np.searchsorted(odd, low[j]):np.searchsorted(odd, j)]
-            before = before[own[before] != own[j]]
-            if len(before):
-                held_a.append(s + before)
-                held_b.append(np.full(len(before), s + j))
-                held += len(before)
-        if held > most:
-            yield np.concatenate(held_a), np.concatenate(held_b)
-            held_a, held_b, held = [], [], 0
-    if held:
-        yield np.concatenate(held_a), np.concatenate(held_b)
-
-
-def _candidates(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives of different parts that share l tokens of the prefixes that their sizes call for:
-    two sets of m and n that overlap in o share at least l of their first m - o + l and n - o + l tokens. l is what the
-    larger set asks for, o the least overlap of similar sets of these sizes."""
+            before = np.flatnonzero(own[:j] != own[j])
+            before = before[sizes[before] >= _needed(sizes[j], percent)]
+            left.append(s + before)
+            right.append(np.full(len(before), s + j))
+    return np.concatenate(left), np.concatenate(right), np.concatenate(later) if later else none
+
+
+MATCHES = "token long, a long, b long, shared long, asks long, n long, place long"
+
+
+def _matches(entries: DataFrame, percent: int) -> DataFrame:
+    """What the entries of equal tokens give: pairs (a, b) of representatives of different parts, with the number of
+    tokens shared in the prefixes that their sizes call for; and the entries (token, a, n, place, asks) of tokens put
+    off.
+
+    Two sets of m and n that overlap in o share at least l of their first m - o + l and n - o + l tokens. l is what the
+    larger set asks for, o the least overlap of similar sets of these sizes.
+    """
 
     def match(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols, base = {"token": [], "doc": [], "place": []}, 0
@@ -228,42 +245,143 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
         ranked = token[order]
         start = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
         size = np.diff(np.append(start, len(ranked)))
-        keep = np.repeat(size > 1, size)
-        order = order[keep]
+        order = order[np.repeat(size > 1, size)]
         size = size[size > 1]
         order = order[np.lexsort((vid[doc[order]], n[doc[order]], np.repeat(np.arange(len(size)), size)))]
-        doc, place = doc[order], place[order]
-        begin = np.cumsum(size) - size
-        shared: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            a, b = (np.concatenate([x[i] for x in shared]) for i in (0, 1))
-            pair, count = np.unique(a << np.int64(32) | b, return_counts=True)
-            a, b = pair >> np.int64(32), pair & np.int64(2**32 - 1)
-            shared.clear()
-            return pa.RecordBatch.from_arrays([pa.array(vid[a]), pa.array(vid[b]), pa.array(count.astype(np.int64)), pa.array(asks[b])], names=["a", "b", "shared", "asks"])
-
-        total = 0
-        for a, b in _group_pairs(size, begin, part[doc], n[doc], percent):
-            x, y = doc[a], doc[b]
-            open_ = asks[y] + percent * (n[x] + n[y]) // -(100 + percent)  # l - o
-            ok = (place[a] < n[x] + open_) & (place[b] < n[y] + open_)
-            shared.append((x[ok], y[ok]))
-            total += int(ok.sum())
-            if total > 1 << 21:
-                yield flush()
-                total = 0
-        if shared:
-            yield flush()
-
-    found = entries.groupBy("bucket").applyInArrow(match, "a long, b long, shared long, asks long")
-    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("asks").alias("asks")).where("shared >= asks").select("a", "b")
-
-
-def _texts(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """vid and text of the documents in pairs; a filter of fixed size spares most others."""
+        token, doc, place = token[order].view(np.int64), doc[order], place[order]
+        a, b, later = _group_pairs(size, np.cumsum(size) - size, part[doc], n[doc], percent)
+        x, y = doc[a], doc[b]
+        open_ = asks[y] + percent * (n[x] + n[y]) // -(100 + percent)  # l - o
+        ok = (place[a] < n[x] + open_) & (place[b] < n[y] + open_)
+        pair, count = np.unique(x[ok] << np.int64(32) | y[ok], return_counts=True)
+        x, y = pair >> np.int64(32), pair & np.int64(2**32 - 1)
+        for lo in range(0, len(pair), 1 << 16):
+            i, j = x[lo:lo + (1 << 16)], y[lo:lo + (1 << 16)]
+            none = pa.nulls(len(i), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(vid[i]), pa.array(vid[j]), pa.array(count[lo:lo + len(i)].astype(np.int64)), pa.array(asks[j]), none, none], names=MATCH_NAMES)
+        for lo in range(0, len(later), 1 << 16):
+            at = later[lo:lo + (1 << 16)]
+            i, none = doc[at], pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(vid[i]), none, none, pa.array(asks[i]), pa.array(n[i]), pa.array(place[at])], names=MATCH_NAMES)
+
+    return saved(entries.groupBy("bucket").applyInArrow(match, MATCHES), "matches")
+
+
+MATCH_NAMES = [c.split()[0] for c in MATCHES.split(", ")]
+
+
+def _parts_of(df: DataFrame, parts: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the part of the representatives in a column; one that is linked with none is a part of its own."""
+    known = parts.select(F.col("node").alias(column), F.col("root").alias("_root"))
+    return df.join(known, column, "left").withColumn(name, F.coalesce("_root", column)).drop("_root")
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts after more links between representatives."""
+    ends = _parts_of(_parts_of(links, parts, "a", "x"), parts, "b", "y")
+    more = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    moved = parts.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return saved(moved.union(more.join(parts, "node", "left_anti").select("node", "root")), "parts")
+
+
+def sketch(g: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of NARROW cells (WIDE for more than 400 hashes); nothing if a cell
+    holds over 255. The sum of the smaller counts of two sets is at least their overlap."""
+    counts = np.bincount((g >> np.uint64(64 - (WIDE if len(g) > 400 else NARROW).bit_length() + 1)).astype(np.int64), minlength=WIDE if len(g) > 400 else NARROW)
+    return counts.astype(np.uint8).tobytes() if len(g) and counts.max() < 256 else b""
+
+
+def _cells(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of width cells: wider ones are folded, what is missing counts as full."""
+    out = np.full((len(sketches), width), np.iinfo(np.uint16).max if width == NARROW else 255, np.uint16 if width == NARROW else np.uint8)
+    for size in (NARROW, WIDE):
+        at = [i for i, x in enumerate(sketches) if len(x) == size]
+        if at and size >= width:
+            rows = np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(len(at), width, -1)
+            out[at] = rows.sum(2) if size > width else rows[:, :, 0]
+    return out
+
+
+def _likely(left: dict, right: dict, largest: int, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of left, rows of right, room) of the entries of one token that lie in different parts, stand in the prefixes
+    that their sizes call for, and may overlap enough by their sketches; room: by how much of the least overlap. Of two
+    entries outside the largest part, the one of smaller vid is taken as left."""
+    wide = [np.array([len(x) == WIDE for x in side["sketch"]], bool) for side in (left, right)]
+    narrow_l, narrow_r = (_cells(side["sketch"], NARROW) for side in (left, right))
+    wide_r = _cells(right["sketch"], WIDE) if wide[1].any() else None
+    for i, (vid, n, part, place, asks) in enumerate(zip(*(left[c].tolist() for c in ("vid", "n", "part", "place", "asks")), strict=True)):
+        m = right["n"]
+        need = -(-percent * (n + m) // (100 + percent))
+        larger = (m > n) | (m == n) & (right["vid"] > vid)
+        l = np.where(larger, right["asks"], asks)  # noqa: E741
+        ok = (right["part"] != part) & ((right["part"] == largest) | (right["vid"] > vid)) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+        ok &= (place < n - need + l) & (right["place"] < m - need + l)
+        at = np.flatnonzero(ok)
+        for lo in range(0, len(at), 4096):
+            some = at[lo:lo + 4096]
+            most = np.minimum(narrow_r[some], narrow_l[i]).sum(1, dtype=np.int64)
+            some, most = some[most >= need[some]], most[most >= need[some]]
+            if wide[0][i] and len(some) and wide[1][some].any():
+                both = wide[1][some]
+                most[both] = np.minimum(wide_r[some[both]], np.frombuffer(left["sketch"][i], np.uint8)).sum(1, dtype=np.int64)
+                some, most = some[most >= need[some]], most[most >= need[some]]
+            if len(some):
+                yield i, some, most / need[some]
+
+
+def _crowded(put_off: DataFrame, parts: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Likely pairs (a, b) among the sets that share tokens put off: all pairs between different parts, or the best two
+    of each set outside its token's largest part. Tokens with many entries are dealt out by chunks of both sides."""
+    own = _parts_of(put_off, parts, "vid", "part")
+    tokens = own.groupBy("token", "part").agg(F.count("*").alias("many")).groupBy("token").agg(
+        F.max_by("part", F.struct("many", "part")).alias("largest"), F.count("*").alias("parts"), F.sum("many").alias("g"), (F.sum("many") - F.max("many")).alias("outside"))
+    tokens = saved(tokens.where("parts > 1").select("token", "largest", F.ceil(F.col("outside") / CHUNK).alias("rows"), F.ceil(F.col("g") / (4 * CHUNK)).alias("columns")), "tokens-left")
+    entry = ["vid", "n", "place", "asks", "part", "largest", "sketch"]
+
+    def likely(table: pa.Table, left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = [{c: x[c].to_pylist() if c == "sketch" else x[c].to_numpy() for c in entry} for x in (left, right)]
+        out = {"x": [], "y": [], "room": []}
+        for i, at, room in _likely(*sides, int(table["largest"][0].as_py()), percent):
+            if not every and len(at) > 2:
+                best = np.lexsort((sides[1]["vid"][at], -room))[:2]
+                at, room = at[best], room[best]
+            out["x"].append(np.full(len(at), sides[0]["vid"][i]))
+            out["y"].append(sides[1]["vid"][at])
+            out["room"].append(room)
+        return pa.table({c: np.concatenate(v) if v else np.zeros(0, t) for (c, v), t in zip(out.items(), (np.int64, np.int64, float), strict=True)})
+
+    def whole(table: pa.Table) -> pa.Table:
+        return likely(table, table.filter(pa.compute.not_equal(table["part"], table["largest"])), table)
+
+    def chunk(table: pa.Table) -> pa.Table:
+        return likely(table, table.filter(table["is_left"]), table.filter(pa.compute.invert(table["is_left"])))
+
+    found = "x long, y long, room double"
+    few = "rows = 1 and columns = 1"
+    met = own.join(tokens.where(few), "token").select("token", *entry).groupBy("token").applyInArrow(whole, found)
+    if not tokens.where(f"not ({few})").isEmpty():
+        many = own.join(tokens.where(f"not ({few})"), "token")
+        nth = lambda n: F.pmod(F.xxhash64("vid"), F.col(n))
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = many.where("part <> largest").select("token", nth("rows").alias("i"), upto("columns").alias("j"), F.lit(True).alias("is_left"), *entry)
+        right = many.select("token", upto("rows").alias("i"), nth("columns").alias("j"), F.lit(False).alias("is_left"), *entry)
+        met = met.union(left.union(right).groupBy("token", "i", "j").applyInArrow(chunk, found))
+    met = met.groupBy("x", "y").agg(F.max("room").alias("room"))
+    if not every:
+        met = met.withColumn("nth", F.row_number().over(W.partitionBy("x").orderBy(F.desc("room"), "y"))).where("nth <= 2")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _sparse(matches: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different parts that share as many tokens as are asked for, none of them put off."""
+    met = matches.where("token is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("asks").alias("asks")).where("shared >= asks")
+    return _parts_of(_parts_of(met.select("a", "b"), parts, "a", "x"), parts, "b", "y").where("x <> y").select("a", "b")
+
+
+def _read_rows(blocks: DataFrame, vids: DataFrame, label: str, schema: str, fn: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """vid and what fn makes of the texts of the documents named (vid); a filter of fixed size spares most others."""
     spark, bits = blocks.sparkSession, 1 << FILTER_BITS
-    vids = pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).select(F.pmod(F.xxhash64("vid"), F.lit(bits)).alias("cell"))
+    vids = vids.select(F.pmod(F.xxhash64("vid"), F.lit(bits)).alias("cell"))
     maps = vids.groupBy(F.expr("bitmap_bucket_number(cell + 1)").alias("nth")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell") + 1)).alias("bitmap")).collect()
     filled = np.zeros(bits + (1 << 16), bool)
     for r in maps:
@@ -279,23 +397,41 @@ def _texts(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
                 at = np.flatnonzero(kept[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1)
                 if len(at):
                     table = B.from_bytes(payload.as_py())
-                    for lo in range(0, len(at), 2048):
-                        some = pa.array(at[lo:lo + 2048])
-                        yield pa.RecordBatch.from_arrays([vid.values.take(some), table["text"].combine_chunks().take(some)], names=["vid", "text"])
+                    for lo in range(0, len(at), 512):
+                        some = pa.array(at[lo:lo + 512])
+                        yield pa.RecordBatch.from_arrays([vid.values.take(some), fn(table["text"].combine_chunks().take(some))], names=["vid", label])
 
     vids_of = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda r: F.shiftleft("block", ROW_BITS) + r)
     own = blocks.where("n > 0").select("payload", vids_of.alias("vids")).withColumn("cells", F.transform("vids", lambda v: F.pmod(F.xxhash64(v), F.lit(bits))))
-    return saved(own.mapInArrow(read, "vid long, text string"), "pair-texts", compression="zstd")
+    return saved(own.mapInArrow(read, f"vid long, {label} {schema}"), f"pair-{label}", compression="zstd")
+
+
+def _texts(blocks: DataFrame, vids: DataFrame) -> DataFrame:
+    return _read_rows(blocks, vids, "text", "string", lambda texts: texts)
+
+
+def _sketches(blocks: DataFrame, vids: DataFrame, k: int) -> DataFrame:
+    def told(texts: pa.Array) -> pa.Array:
+        return pa.array([sketch(g[s:e]) for _, _, g, b in shingle_sets(texts, k) for s, e in zip(b[:-1].tolist(), b[1:].tolist(), strict=True)], pa.binary())
+
+    return _read_rows(blocks, vids, "sketch", "binary", told)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("vid")).union(pairs.select("b"))
 
 
 def _verified(blocks: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the similarity."""
-    texts = _texts(blocks, pairs)
+    texts = _texts(blocks, _ends(pairs))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
+            size = sum(np.asarray(pa.compute.binary_length(whole.column(c))).astype(np.int64) for c in ("ta", "tb"))
+            ends, lo = np.cumsum(size), 0
+            while lo < whole.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (4 << 20), "right")))
+                batch, lo = whole.slice(lo, hi - lo), hi
                 sets = []
                 for side in ("ta", "tb"):
                     own = []
@@ -321,7 +457,8 @@ def _linked(blocks: DataFrame, k: int, percent: int, bucket_bytes: int) -> tuple
     classes = saved(classes.select("sig1", "sig2", "n", F.col("x.vid").alias("node"), F.col("x.keys").alias("keys")), "classes")
 
     keyed = classes.select("node", "n", F.posexplode("keys").alias("j", "key"))
-    # Hubs of a min-hash: the class whose min-hashes are the commonest, most like an original, and one at random.
+    # Hubs of a min-hash: the class whose min-hashes are the commonest, most like an original, and one at random. Similar
+    # sets share most min-hashes; the rare ones with fewer than three in common are left to the prefixes.
     many = saved(keyed.groupBy("j", "key").agg(F.count("*").alias("many")).where("many > 1"), "min-hashes")
     common = keyed.join(many, ["j", "key"])
     usual = common.groupBy("node").agg(F.sum("many").alias("usual"))
@@ -331,19 +468,24 @@ def _linked(blocks: DataFrame, k: int, percent: int, bucket_bytes: int) -> tuple
         F.min(F.struct((-F.col("usual")).alias("u"), "node", "n")).alias("h0"), F.min(F.struct(random.alias("r"), "node", "n")).alias("h1"))
     hubs = saved(hubs.select("j", "key", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "h0.node", "h0.n"), F.struct(F.lit(1).alias("kind"), "h1.node", "h1.n"))).alias("h")).select("j", "key", "h.kind", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
     near = ranked.join(hubs, ["j", "key"]).where((F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-    near = saved(near.select("node", "hub", "kind"), "near-hubs").groupBy("node", "hub", "kind").agg(F.count("*").alias("equal"))
+    near = saved(near.select("node", "hub", "kind"), "near-hubs").groupBy("node", "hub", "kind").agg(F.count("*").alias("equal")).where("equal > 2")
     best = near.withColumn("nth", F.row_number().over(W.partitionBy("node", "kind").orderBy(F.desc("equal"), "hub"))).where("nth = 1")
-    first = _verified(blocks, saved(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hub-pairs"), k, percent)
-    parts = connected_components(first)
+    pairs = saved(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hub-pairs")
+    parts = saved(connected_components(_verified(blocks, pairs, k, percent)), "parts")
 
-    sketch = _frequency_sketch(blocks, k)
-    usual = float(np.median(sketch))
-    load = blocks.sparkSession.sparkContext.broadcast(sketch.astype(np.float64))
+    levels, unit = levels_of(_frequency_sketch(blocks, k))
+    shared = blocks.sparkSession.sparkContext.broadcast(levels)
     side = classes.select("node").join(parts, "node", "left").select(F.shiftright("node", ROW_BITS).alias("block"), F.col("node").alias("vid"), F.coalesce("root", "node").alias("part"))
-    entries = _entries(blocks, side, k, percent, B.bucket_count(blocks, bucket_bytes), load, usual)
-    second = _verified(blocks, saved(_candidates(entries, percent), "candidates"), k, percent)
-
-    roots = connected_components(first.union(second))
+    entries = _entries(blocks, side, k, percent, B.bucket_count(blocks, bucket_bytes), shared, unit)
+    matches = _matches(entries, percent)
+    put_off = matches.where("token is not null").withColumnRenamed("a", "vid").select("token", "vid", "n", "place", "asks")
+    put_off = saved(put_off.join(_sketches(blocks, put_off.select("vid"), k), "vid"), "sketched")
+    for every in (False, True):
+        pairs = _crowded(put_off, parts, percent, every)
+        if every:
+            pairs = pairs.union(_sparse(matches, parts)).distinct()
+        parts = _merged(parts, _verified(blocks, saved(pairs, "candidates"), k, percent))
+    roots = parts
     named = classes.select("sig1", "sig2", F.col("n").alias("size"), "node").join(roots, "node", "left").select("sig1", "sig2", "size", F.coalesce("root", "node").alias("root"))
     named = saved(named, "named")
     own = sets.select("vid", "doc_id", "n", "sig1", "sig2")
@@ -358,8 +500,9 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes:
     docs needs doc_id (integer) and text; other columns are ignored, whatever their names. Equal sets are one class.
     First, classes that share a min-hash are compared with a hub of theirs, which joins most near copies in few
     comparisons. Then all classes meet by multi-match prefixes whose length each sets by estimated cost (see prefix);
-    pairs already in one group are left out, as they cannot change it. All candidates are verified on whole sets of
-    64-bit hashes. Returns a row for each input row: doc_id, n_shingles, component_id (smallest doc_id of the group).
+    pairs already in one group are left out, as they cannot change it. Tokens that many share are put off: their sets
+    meet by sketches that never underestimate an overlap, first each with its likeliest partners, then, in the groups
+    so joined, with all that are left. All candidates are verified on whole sets of 64-bit hashes. Returns a row for each input row: doc_id, n_shingles, component_id (smallest doc_id of the group).
 
     Null, empty and wordless texts have no shingles and are linked with nothing; texts of fewer than k words have one,
     the whole sequence. A null doc_id is linked as any, but never names a group that has another id. Repeated rows are

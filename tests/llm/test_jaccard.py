@@ -64,8 +64,8 @@ def test_prefixes_alone_lose_no_pair():
     many = corpus()
     got = [g[b[i]:b[i + 1]] for lo, hi, g, b in jaccard.shingle_sets(pa.array([t for _, t in many]), 5) for i in range(hi - lo)]
     rng = np.random.default_rng(0)
-    load = rng.integers(1, 50, 1 << jaccard.SKETCH_BITS).astype(float)
-    made = [jaccard.prefix(g, load, 3.0, 75) for g in got]
+    levels, unit = jaccard.levels_of(rng.integers(0, 15_000, 1 << jaccard.SKETCH_BITS).astype(np.uint16))
+    made = [jaccard.prefix(g, levels, unit, 75) for g in got]
     assert len({m[1] for m in made}) > 1
     pairs = 0
     for i, x in enumerate(got):
@@ -79,5 +79,68 @@ def test_prefixes_alone_lose_no_pair():
     assert pairs > 100
 
 
+def family(n, size, seed):
+    """Copies of one text with so many words changed that some reach the similarity to each other and some to none."""
+    rng, base = random.Random(seed), invented(77, size).split()
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(2, 7)):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_large_family_around_the_threshold(spark, monkeypatch):
+    texts = family(1500, 150, 3) + family(300, 700, 4)
+    monkeypatch.setattr(jaccard, "CHUNK", 300)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(df, bucket_bytes=200_000).collect()}
+    sets = [g[b[i]:b[i + 1]] for lo, hi, g, b in jaccard.shingle_sets(pa.array(texts), 5) for i in range(hi - lo)]
+    token, where = np.unique(np.concatenate(sets), return_inverse=True)
+    many = np.bincount(where) > 1
+    column = np.cumsum(many) - 1
+    n = np.array([len(g) for g in sets])
+    rows = np.repeat(np.arange(len(sets)), n)
+    held = np.zeros((len(sets), many.sum()), np.float32)
+    held[rows[many[where]], column[where[many[where]]]] = 1
+    inter = held @ held.T
+    links = 100 * inter >= 75 * (n[:, None] + n[None, :] - inter)
+    lowest = np.arange(len(sets))
+    while True:
+        new = np.minimum(lowest, np.where(links, lowest[None, :], len(sets)).min(1))
+        if (new == lowest).all():
+            break
+        lowest = new
+    assert [got[i] for i in range(len(texts))] == lowest.tolist()
+    assert 50 < len(set(lowest.tolist())) < len(texts) - 50
+
+
+def test_sketches_never_underestimate():
+    rng = np.random.default_rng(1)
+    for n in (1, 30, 399, 401, 5000):
+        own = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1)) for _ in range(2)]
+        own.append(np.unique(np.concatenate((own[0][::2], own[1][::3]))))
+        told = [jaccard.sketch(g) for g in own]
+        for width in (jaccard.NARROW, jaccard.WIDE):
+            cells = jaccard._cells(told, width).astype(int)
+            for i, x in enumerate(own):
+                for j, y in enumerate(own):
+                    if width == jaccard.NARROW or len(told[i]) == len(told[j]) == width:
+                        assert np.minimum(cells[i], cells[j]).sum() >= len(np.intersect1d(x, y))
+    same = np.arange(70_000, dtype=np.uint64) << np.uint64(4)
+    assert jaccard.sketch(same) == b"" and jaccard._cells([b""], jaccard.NARROW).min() > 60_000
+
+
+def test_one_token_in_20000_sets_gives_few_rows():
+    rng = np.random.default_rng(2)
+    n = np.sort(rng.integers(90, 110, 20_000))
+    part = np.arange(20_000)
+    a, b, later = jaccard._group_pairs(np.array([20_000]), np.array([0]), part, n, 75)
+    assert len(a) == 0 and later.tolist() == part.tolist()
+    a, b, later = jaccard._group_pairs(np.array([5, 2, 40]), np.array([0, 5, 7]), np.array([1, 1, 2, 1, 1, 3, 4, *[9] * 39, 8]), np.full(47, 10), 75)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted([(0, 2), (1, 2), (2, 3), (2, 4), (5, 6), *((7 + i, 46) for i in range(39))]) and not len(later)
+
+
 def test_no_rows(none):
     assert jaccard.similar_groups(none).collect() == []
