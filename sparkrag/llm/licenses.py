@@ -6,6 +6,7 @@ import json
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrag.session import saved
@@ -49,6 +50,22 @@ TEMPLATES = [
      "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright "
      "notice and this permission notice appear in all copies"),
     ("mpl-2.0", ["mozilla public license"], "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("lgpl-2.1", ["gnu lesser general public license", "either version 2 1 of the license"],
+     "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free "
+     "software foundation either version 2 1 of the license or at your option any later version"),
+    ("agpl-3.0", ["gnu affero general public license"],
+     "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free "
+     "software foundation either version 3 of the license or at your option any later version"),
+    ("bsl-1.0", ["any person or organization obtaining a copy"],
+     "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this "
+     "license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"),
+    ("zlib", ["held liable for any damages", "alter it and redistribute it freely"],
+     "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of "
+     "this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it "
+     "freely subject to the following restrictions"),
+    ("epl-2.0", ["eclipse public license"], "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cc0-1.0", ["related and neighboring rights"],
+     "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
     ("cc-by-4.0", ["cc by 4 0"], "licensed under cc by 4 0"),
     ("cc-by-sa-4.0", ["cc by sa 4 0"], "licensed under cc by sa 4 0"),
     ("cc-by-nc-4.0", ["cc by nc 4 0"], "licensed under cc by nc 4 0"),
@@ -87,13 +104,6 @@ def _keys() -> list[dict]:
     return out
 
 
-def _candidates() -> Column:
-    """template, its mandatory phrases and its looked-up words, of every template."""
-    anchors = set(_anchors())
-    rows = [{"template": t, "phrases": [_phrases().index(k) for k in keys], "words": sorted(anchors & set(text.split()))} for t, (_, keys, text) in enumerate(TEMPLATES)]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<template:int,phrases:array<int>,words:array<string>>>")
-
-
 def _places(words: Column) -> Column:
     """phrase and position of every place where a phrase's words stand consecutively."""
     firsts = sorted({p.split()[0] for p in _phrases()})
@@ -110,12 +120,11 @@ def _places(words: Column) -> Column:
 def scan(docs: DataFrame, rarest: int = 8, slack: int = 16, agree: float = 0.6) -> DataFrame:
     """Licence labels of all whole texts.
 
-    docs needs doc_id and text; other columns are ignored, whatever their names. For each template
-    whose mandatory phrases all stand in a document, the template's words that the document holds are ranked by inverse
-    document frequency over all documents, and the rarest ones looked up in the template's postings.
-    Positions that agree on where a template begins, within slack words, vote for it; it is found when at least the
-    share agree of the looked-up words that it holds vote for one beginning, and all its mandatory phrases stand where
-    they then belong, within slack words. Returns a row for each input row: doc_id, n_words, n_base, first_word,
+    docs needs doc_id and text; other columns are ignored, whatever their names. Each template is indexed by its rarest
+    words, those of highest inverse document frequency over all documents, with their positions in it. A document's
+    words are looked up there: positions that agree on where a template begins, within slack words, vote for it. It is a
+    candidate when at least the share agree of its indexed words that the document holds vote for one beginning, and
+    found when all its mandatory phrases stand where they then belong, within slack words. Returns a row for each input row: doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels (both sorted arrays), score (half for a base phrase, half times the best template's
     share of votes).
 
@@ -142,18 +151,13 @@ def scan(docs: DataFrame, rarest: int = 8, slack: int = 16, agree: float = 0.6)
     base_labels = F.lit(list(BASE.values()))
 
     frequency = own.where(F.size("hits") > 0).select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
-    rarity = _rows(own, [{"word": w} for w in anchors], "word:string").join(frequency, "word", "left")
-    rarity = rarity.agg(F.map_from_entries(F.collect_list(F.struct("word", F.coalesce("docs", F.lit(0))))).alias("rarity"))  # one row of fixed size
-    # Only documents with all mandatory phrases of some template can be labelled by it; the rest need no look-up.
-    stands = lambda n: F.exists("places", lambda p: p["phrase"] == n)
-    possible = F.filter(_candidates(), lambda c: F.forall(c["phrases"], stands))
-    looked = own.where(F.size("places") > 0).select("row", "hits", F.explode(possible).alias("c")).crossJoin(F.broadcast(rarity))
-    held_words = F.array_intersect(F.transform("hits", lambda h: h["word"]), F.col("c.words"))
-    ranked = F.slice(F.array_sort(F.transform(held_words, lambda w: F.struct(F.element_at("rarity", w).alias("docs"), w.alias("word")))), 1, rarest)
-    looked = looked.select("row", F.col("c.template").alias("template"), "hits", F.transform(ranked, lambda x: x["word"]).alias("rare"))
-    looked = looked.select("row", "template", F.explode(F.filter("hits", lambda h: F.array_contains("rare", h["word"]))).alias("h"))
+    rarity = _rows(own, [{"word": w} for w in anchors], "word:string").join(frequency, "word", "left").select("word", F.coalesce("docs", F.lit(0)).alias("docs"))
     postings = _rows(own, _postings(), "word:string,template:int,at:int")
-    votes = looked.select("row", "template", "h.word", F.col("h.at").alias("pos")).join(F.broadcast(postings), ["word", "template"]).withColumn("begin", F.col("pos") - F.col("at"))
+    words_of = postings.select("template", "word").distinct().join(rarity, "word")
+    rare = words_of.withColumn("nth", F.row_number().over(W.partitionBy("template").orderBy("docs", "word"))).where(F.col("nth") <= rarest).select("template", "word")
+    index = postings.join(rare, ["template", "word"])  # a few hundred rows, whatever the input's size
+    looked = own.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.word", F.col("h.at").alias("pos"))
+    votes = looked.join(F.broadcast(index), "word").withColumn("begin", F.col("pos") - F.col("at"))
     bins = votes.withColumn("bin", F.explode(F.array(F.floor(F.col("begin") / slack), F.floor(F.col("begin") / slack) + 1)))
     agreed = bins.groupBy("row", "template", "bin").agg(F.count_distinct("word").alias("voters"), F.percentile_approx("begin", 0.5).alias("begin"))
     held = votes.groupBy("row", "template").agg(F.count_distinct("word").alias("held"))

@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 
 from sparkrag.llm import licenses
 
@@ -39,5 +41,51 @@ def test_every_template_of_a_file_with_several_is_found(spark):
     assert {label for label, _, _ in licenses.TEMPLATES} <= set(got[2])
 
 
+def plain_labels(texts, rarest=8, slack=16, agree=0.6):
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) for t in texts]
+    common = set(licenses.COMMON)
+    df = Counter(w for own in words for w in set(own))
+    out = []
+    for own in words:
+        labels, share = {b for p, b in licenses.BASE.items() if any(own[i:i + len(p.split())] == p.split() for i in range(len(own)))}, 0.0
+        for label, keys, text in licenses.TEMPLATES:
+            t = text.split()
+            rare = sorted(set(t) - common, key=lambda w: (df[w], w))[:rarest]
+            votes = {(w, i - j) for i, w in enumerate(own) if w in rare for j, x in enumerate(t) if x == w}
+            held = {w for w, _ in votes}
+            for b in {v // slack + d for _, v in votes for d in (0, 1)}:
+                mine = [(w, v) for w, v in votes if b in (v // slack, v // slack + 1)]
+                got = len({w for w, _ in mine}) / len(held)
+                begin = sorted(v for _, v in mine)[(len(mine) - 1) // 2]
+                at = [next(i for i in range(len(t)) if t[i:i + len(k.split())] == k.split()) for k in keys]
+                stands = all(any(own[i:i + len(k.split())] == k.split() and abs(i - begin - a) <= slack for i in range(len(own))) for k, a in zip(keys, at, strict=True))
+                if got >= agree and stands:
+                    labels.add(label)
+                    share = max(share, got)
+        out.append((sorted(labels), share))
+    return out
+
+
+def test_labels_equal_plain_ones(spark):
+    rng, texts = random.Random(4), []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(licenses.TEMPLATES)[2].split()
+            for _ in range(rng.randint(0, len(w) // 3)):  # a licence text that somebody has edited
+                j = rng.randrange(len(w))
+                w[j:j + 1] = rng.choice([[], ["ka"], [w[j], "to"]])
+            parts.append(" ".join(w))
+        filler = " ".join(rng.choice(["ka", "to", "software", "merge", "license", "warranty", "mi"]) for _ in range(rng.randint(0, 60)))
+        texts.append(f" {filler} ".join(["", *parts, ""]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    want = plain_labels(texts)
+    assert [got[i]["labels"] for i in range(60)] == [x for x, _ in want]
+    assert sum(bool(x) for x, _ in want) > 20
+    for i, (_, share) in enumerate(want):
+        assert abs(got[i]["score"] - (0.5 * bool(got[i]["base_labels"]) + 0.5 * share)) < 1e-9
+
+
 def test_no_rows(none):
     assert licenses.scan(none).collect() == []
