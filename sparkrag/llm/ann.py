@@ -39,6 +39,8 @@ def estimate(codes: np.ndarray, scalars: np.ndarray, queries: np.ndarray, centre
     with an error of about sqrt((1 - <c, o>**2) / <c, o>**2 / (dim - 1)); width says how many of those the bounds allow.
     """
     dim = queries.shape[1]
+    if math.isinf(width):
+        return np.full((len(queries), len(codes)), -np.inf), np.full((len(queries), len(codes)), np.inf)
     residual = queries - centre
     length = np.linalg.norm(residual, axis=1)
     unit = np.divide(residual, length[:, None], out=np.zeros_like(residual), where=length[:, None] > 0) @ turn
@@ -79,13 +81,14 @@ def build_index(vectors: DataFrame, keep: int, block_rows: int = 8192, seed: int
     return saved(stripes.groupBy("dim", "stripe").applyInArrow(pack, INDEX + ", centre binary"), "ann-index")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, width: float = 3.0, seed: int = 0, query_rows: int = 512) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, width: float = 3.0, seed: int = 0, query_rows: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows of the index but itself, by Euclidean distance.
 
     queries needs query_id (integer) and embedding. Queries of equal vectors are answered once. Blocks of query_rows
     queries meet every block of the index: the codes bound all distances, and only vectors whose lower bound is within
     the k + 1 smallest upper bound are measured exactly, in double precision, on the original vectors. A query block
-    keeps its k + 1 best of each index block. Bounds hold for all but about exp(-width**2 / 2) of the estimates.
+    keeps its k + 1 best of each index block. Bounds hold for all but about exp(-width**2 / 2) of the estimates; with an
+    infinite width all vectors are measured, and the result is exact.
     """
     asked = queries.where(valid(F.col("embedding"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")).where("query_id is not null").distinct()
     asked = saved(asked.withColumn("q", F.xxhash64("vector")), "ann-queries")
@@ -110,17 +113,20 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, width: float = 3.0
                 q = np.frombuffer(row["asked"]).reshape(-1, dim)
                 x = np.frombuffer(row["vectors"]).reshape(n, dim)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(n, -1)
-                low, high = estimate(codes, np.frombuffer(row["scalars"]).reshape(n, 2), q, np.frombuffer(row["centre"]), turn, width)
-                limit = np.partition(high, best - 1, 1)[:, best - 1] if n > best else np.full(len(q), np.inf)
                 first = np.frombuffer(row["first_ids"], np.int64).reshape(n, -1)
+                keys, scalars, centre = np.frombuffer(row["qs"], np.int64).tolist(), np.frombuffer(row["scalars"]).reshape(n, 2), np.frombuffer(row["centre"])
                 out_q, out_d, out_i = [], [], []
-                for i, key in enumerate(np.frombuffer(row["qs"], np.int64).tolist()):
-                    near = np.flatnonzero(low[i] <= limit[i])
-                    d = np.sqrt(np.add.accumulate((x[near] - q[i]) ** 2, axis=1)[:, -1])  # summed in order, as SQL does
-                    for j in np.lexsort((first[near, 0], d))[:best]:
-                        out_q.append(key)
-                        out_d.append(float(d[j]))
-                        out_i.append([v for v in first[near[j]].tolist() if v >= 0])
+                for lo in range(0, len(q), 256):  # a block of vectors comes once for all its queries
+                    some = q[lo:lo + 256]
+                    low, high = estimate(codes, scalars, some, centre, turn, width)
+                    limit = np.partition(high, best - 1, 1)[:, best - 1] if n > best else np.full(len(some), np.inf)
+                    for i, key in enumerate(keys[lo:lo + 256]):
+                        near = np.flatnonzero(low[i] <= limit[i])
+                        d = np.sqrt(np.add.accumulate((x[near] - some[i]) ** 2, axis=1)[:, -1])  # summed in order, as SQL does
+                        for j in np.lexsort((first[near, 0], d))[:best]:
+                            out_q.append(key)
+                            out_d.append(float(d[j]))
+                            out_i.append([v for v in first[near[j]].tolist() if v >= 0])
                 yield pa.RecordBatch.from_pydict({"q": pa.array(out_q, pa.int64()), "score": pa.array(out_d, pa.float64()), "ids": pa.array(out_i, pa.list_(pa.int64()))})
 
     met = pairs.select("dim", "n", "qs", "asked", "codes", "scalars", "vectors", "first_ids", "centre").mapInArrow(meet, "q long, score double, ids array<long>")
