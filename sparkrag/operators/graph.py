@@ -154,7 +154,10 @@ def graph_stats(entities: DataFrame, relations: DataFrame | None, manifest: Data
 
 def graph_context(fact_lines: DataFrame, excerpts: DataFrame, most: int, by: str = "question") -> DataFrame:
     """by and its context: facts first, then excerpts in what room is left; sections without content are left out."""
-    f = fact_lines.groupBy(by).agg(F.concat(F.lit("Facts:\n"), F.array_join(F.array_sort(F.collect_set("fact")), "\n")).alias("facts"))
+    # Facts that begin beyond the room left are not gathered.
+    line = W.partitionBy(by).orderBy("fact").rowsBetween(W.unboundedPreceding, -1)
+    near = fact_lines.select(by, "fact").distinct().withColumn("_before", F.coalesce(F.sum(F.length("fact") + 1).over(line), F.lit(0))).where(F.col("_before") <= most)
+    f = near.groupBy(by).agg(F.concat(F.lit("Facts:\n"), F.array_join(F.array_sort(F.collect_list("fact")), "\n")).alias("facts"))
     e = excerpts.groupBy(by).agg(F.concat(F.lit("Excerpts:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n\n")).alias("excerpts"))
     both = f.join(e, by, "full_outer")
     return both.select(by, T.truncate_with_ellipsis(F.concat_ws("\n\n", "facts", "excerpts"), most).alias("context"))
