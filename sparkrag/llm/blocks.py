@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkrag.llm.held import let_go
 from sparkrag.session import saved
 
 BLOCK_BYTES = 8 << 20
@@ -43,6 +44,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        let_go()
         held, size, block = [], 0, TaskContext.get().partitionId() << 20
 
         def flush() -> pa.RecordBatch:

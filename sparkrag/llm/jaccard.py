@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sparkrag.llm import blocks as B
 from sparkrag.llm.components import connected_components
 from sparkrag.llm.hashing import gram_hashes, gram_starts, mix, text_slices, word_hashes, words
+from sparkrag.llm.held import let_go
 from sparkrag.session import saved
 
 ROW_BITS = 18
@@ -71,6 +72,7 @@ def _describe(blocks: DataFrame, k: int) -> DataFrame:
     """vid, doc_id, n, two 64-bit sums over the set's hashes, and KEYS min-hashes of every row."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
                 table = B.from_bytes(payload.as_py())
@@ -493,7 +495,7 @@ def _linked(blocks: DataFrame, k: int, percent: int, bucket_bytes: int) -> tuple
     return linked, own.where("n = 0").select("vid", "doc_id", "n")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes: int = 16 << 20) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes: int = 6 << 20) -> DataFrame:
     """Each row's number of shingles and the group it is linked into: sets of k-word shingles (A-Z lower-cased) whose
     Jaccard similarity is percent / 100 or more are linked.
 
@@ -515,7 +517,7 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes:
     return out.union(alone.select("doc_id", "n", "doc_id"))
 
 
-def deduplicate(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes: int = 16 << 20) -> DataFrame:
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 75, bucket_bytes: int = 6 << 20) -> DataFrame:
     """docs with one row of each group of similar_groups: that of the smallest doc_id (null last), the first of repeated
     ones. Rows without shingles all stay. All columns are returned as they were."""
     schema = docs.schema

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sparkrag.llm.hashing import mix
+from sparkrag.llm.held import held
 
 #: Characters of an n-gram, bits of a character's number, and the numbers of what is no letter and of unknown letters.
 ORDER, BITS, GAP, OTHER = 4, 16, 0, 1
@@ -170,8 +171,9 @@ def fit(docs: DataFrame, per_lang: int = 500, chars_per_lang: int = 2_000_000, s
     own = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     own = own.withColumn("place", F.xxhash64("text", F.lit(20240229))).where(F.col("text").rlike(r"\p{L}"))
     sizes = own.groupBy("lang").agg(F.approx_count_distinct("place").alias("different"))
+    # sizes has a row for each language, of which every task gets a whole model later.
     share = F.least(F.lit(1.0), F.lit(3.0 * per_lang) / F.col("different"))
-    picked = own.join(sizes, "lang").where(F.shiftrightunsigned("place", 12) < F.lit(1 << 52) * share).select("lang", "text", "place").distinct()
+    picked = own.join(F.broadcast(sizes), "lang").where(F.shiftrightunsigned("place", 12) < F.lit(1 << 52) * share).select("lang", "text", "place").distinct()
     order = W.partitionBy("lang").orderBy("place", "text")
     sample = picked.withColumn("nth", F.row_number().over(order)).withColumn("chars", F.sum(F.length("text")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     sample = sample.where((F.col("nth") <= per_lang) & ((F.col("chars") <= chars_per_lang) | (F.col("nth") == 1))).select("lang", "text", "nth").collect()
@@ -193,9 +195,6 @@ def fit(docs: DataFrame, per_lang: int = 500, chars_per_lang: int = 2_000_000, s
     return models
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def identify(docs: DataFrame, models: CharModels | None, into: tuple[str, ...] = RESULT) -> DataFrame:
     """The language of every whole text: the model of lowest length-normalised cross-entropy.
 
@@ -217,9 +216,7 @@ def identify(docs: DataFrame, models: CharModels | None, into: tuple[str, ...] =
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if m is not None and m.digest not in _scorers:
-            _scorers.clear()
-            _scorers[m.digest] = Scorer(m)
+        scorer = held(("langid", m.digest), lambda: Scorer(m)) if m is not None else None
         for batch in batches:
             at = batch.schema.get_field_index("text")
             size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0)).astype(np.int64)
@@ -227,15 +224,15 @@ def identify(docs: DataFrame, models: CharModels | None, into: tuple[str, ...] =
             while lo < len(size):
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
                 part, lo = batch.slice(lo, hi - lo), hi
-                more = judge([t or "" for t in part.column(at).to_pylist()], m)
+                more = judge([t or "" for t in part.column(at).to_pylist()], scorer)
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *into])
 
-    def judge(texts: list[str], m: CharModels | None) -> list[pa.Array]:
+    def judge(texts: list[str], scorer: Scorer | None) -> list[pa.Array]:
         n = len(texts)
-        if m is None:
+        if scorer is None:
             return [pa.array(["und"] * n), pa.array([0.0] * n), pa.nulls(n, pa.float64()), pa.array([True] * n)]
-        lettered = _lettered(texts)
-        h, chars = _scorers[m.digest].entropies(texts)
+        m, lettered = scorer.models, _lettered(texts)
+        h, chars = scorer.entropies(texts)
         best = h.argmin(1)
         low = h[np.arange(n), best]
         score = 1 / np.exp(-(h - low[:, None]) * np.minimum(np.maximum(chars, 1), 40)[:, None]).sum(1)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrag.llm.hashing import ALNUM, text_slices, word_hashes, words
+from sparkrag.llm.held import held as kept
 
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -30,7 +31,7 @@ class WordEncoder:
 
     MARKS = np.isin(np.arange(256), [ord(c) for c in ",.;:!?"])
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
@@ -172,9 +173,6 @@ def balance(lengths: list[int], capacity: int, linear: float, quadratic: float,
     return out
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float | None = None, block_tokens: int = 1 << 21) -> DataFrame:
     """Cut and pack all documents into sequences of at most capacity tokens, of about equal cost.
 
@@ -192,7 +190,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _encoders.setdefault(tokenizer_path, WordEncoder(tokenizer_path)) if tokenizer_path not in _encoders else _encoders[tokenizer_path]
+        encoder = kept(("packing", tokenizer_path), lambda: WordEncoder(tokenizer_path))
         held: list[tuple] = []
         size, base = 0, TaskContext.get().partitionId() << 36
 

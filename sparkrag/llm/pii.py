@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrag.llm.hashing import ALNUM, text_slices, word_hashes, words
+from sparkrag.llm.held import let_go
 from sparkrag.llm.names import unused
 from sparkrag.session import saved
 
@@ -96,6 +97,7 @@ def _scan(reach: int):
     """Pattern spans of every text, the entities it mentions, and the terms within reach characters of each."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             spans, entities, near, all_terms = [], [], [], []
             for text in batch.column("text").to_pylist():
