@@ -84,8 +84,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkrag.llm import whitening
+
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_ann, op2_pii, op3_licenses, op4_jaccard_join, op5_lm_scores, op6_substring_dedup, op7_embedding_dedup, op8_packing, op9_mixing, op10_langid)}
+    op1_ann, op2_pii, op3_licenses, op4_jaccard_join, op5_lm_scores, op6_substring_dedup, op7_embedding_dedup, op8_packing, op9_mixing, op10_langid, op11_whitening)}
 WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 REACH = "reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other)"
