@@ -90,8 +90,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkrag.llm import mips
+
+    return mips.top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_ann, op2_pii, op3_licenses, op4_jaccard_join, op5_lm_scores, op6_substring_dedup, op7_embedding_dedup, op8_packing, op9_mixing, op10_langid, op11_whitening)}
+    op1_ann, op2_pii, op3_licenses, op4_jaccard_join, op5_lm_scores, op6_substring_dedup, op7_embedding_dedup, op8_packing, op9_mixing, op10_langid, op11_whitening, op13_topk)}
 WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 REACH = "reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other)"
@@ -118,4 +124,7 @@ ORACLES: dict[str, str] = {
     "op7_embedding_dedup": f"""WITH RECURSIVE links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {COSINE} >= 0.95), {REACH},
  low AS (SELECT node, min(other) AS component FROM reach GROUP BY node), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
  SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(component, vec_id)) AS component_id, vec_id <= coalesce(component, vec_id) AS kept FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN low ON node = vec_id""",
+    "op13_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS y FROM embeddings),
+ d AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.y, b.y) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) WHERE rank <= 10""",
 }
