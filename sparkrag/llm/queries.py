@@ -90,6 +90,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkrag.llm import spelling
+
+    return spelling.group_variants(_docs(spark, sf_dir))
+
+
 def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkrag.llm import mips
 
@@ -97,7 +103,7 @@ def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ann, op2_pii, op3_licenses, op4_jaccard_join, op5_lm_scores, op6_substring_dedup, op7_embedding_dedup, op8_packing, op9_mixing, op10_langid, op11_whitening, op13_topk)}
+    op1_ann, op2_pii, op3_licenses, op4_jaccard_join, op5_lm_scores, op6_substring_dedup, op7_embedding_dedup, op8_packing, op9_mixing, op10_langid, op11_whitening, op12_spelling, op13_topk)}
 WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 REACH = "reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other)"
