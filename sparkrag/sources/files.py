@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from html.parser import HTMLParser
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkrag.functions import text as T
 from sparkrag.session import saved
+from sparkrag.sources.store import Store
 
 BUCKETS = {
     "text_like": ["txt", "md", "rst", "csv"], "pdf": ["pdf"], "office": ["docx", "pptx", "xlsx", "odt", "odp", "ods"],
@@ -168,20 +168,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"))
 
 
-def write_version(tables: dict[str, DataFrame], root: str) -> str:
-    """Write tables to a new version folder, in order, then point the root at it; readers see all or nothing of it.
-    Put the table that marks completion last."""
-    version = f"{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{version}/{name}")
+def write_version(tables: dict[str, DataFrame], root: str) -> int:
+    """Make tables, whole, the next version under root; readers see all or nothing of it. Returns the version's number."""
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
-    return version
+    return Store(spark, root, {name: [] for name in tables}).commit(dict(tables), replace=True)
 
 
-def read_version(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.text(f"{root}/current").first()["value"]
-    return spark.read.parquet(f"{root}/{version}/{name}")
+def read_version(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """A table of the newest version under root, or of that number."""
+    return Store(spark, root, {name: []}).read(name, version=version)
 
 
 def write_results(df: DataFrame, root: str, kind: str) -> str:

@@ -2,53 +2,103 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from sparkrag.operators.chunking import chunk
-from sparkrag.operators.corpus import classify_incoming
-from sparkrag.sources.files import read_version, upsert, write_version
-
-
-def _stored(spark: SparkSession, root: str, name: str, like: DataFrame) -> DataFrame:
-    try:
-        return read_version(spark, root, name)
-    except Exception as e:  # no version yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return like.where("1 = 0")
-
-
-def stream_ingest(source: DataFrame, root: str, checkpoint: str):
-    """Started query: each batch's new and changed documents (doc_id, content_hash, text) are chunked and upserted into the
-    versioned tables under root; unchanged ones are skipped, and documents without text get no chunks."""
-
-    def store(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        docs = _stored(spark, root, "documents", batch.select("doc_id", "content_hash"))
-        todo = classify_incoming(batch.dropDuplicates(["doc_id"]), docs, False).where("outcome <> 'skipped'").persist()
-        new = chunk(todo.where("outcome = 'ingested'"))
-        old = _stored(spark, root, "chunks", new).join(todo.select("doc_id"), "doc_id", "left_anti")
-        write_version({"chunks": old.unionByName(new), "documents": upsert(docs, todo.select("doc_id", "content_hash"), ["doc_id"])}, root)
-        todo.unpersist()
-
-    return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+from pyspark.sql.types import StructType
 
-
-def stream_messages(source: DataFrame, root: str, checkpoint: str, watermark: str = "1 hour"):
-    """Started query: messages (guid, ts, ...) are kept once each: within the watermark by state, beyond it against the store."""
-
-    def store(batch: DataFrame, _: int) -> None:
-        old = _stored(batch.sparkSession, root, "messages", batch)
-        new = batch.dropDuplicates(["guid"]).join(old.select("guid"), "guid", "left_anti").select(*batch.columns)
-        write_version({"messages": old.unionByName(new)}, root)
+from sparkrag.operators.chunking import chunk_each
+from sparkrag.operators.corpus import classify_incoming
+from sparkrag.session import saved
+from sparkrag.sources.store import Change, Store, retrying
+
+
+#: Key columns of the tables that ingest keeps.
+CORPUS_KEYS = {"chunks": ["doc_id"], "quarantine": ["doc_id"], "outcomes": ["batch", "doc_id"], "documents": ["doc_id"]}
+DOCUMENTS = "doc_id long, content_hash string, n_chunks int"
+CHUNKS = "doc_id long, chunk_index int, content string, heading_path string"
+QUARANTINE = "doc_id long, content_hash string, text string, error string, attempts int"
+
+
+def corpus_store(spark: SparkSession, root: str, buckets: int = 16) -> Store:
+    return Store(spark, root, CORPUS_KEYS, buckets)
+
+
+def ingest_batch(store: Store, batch: DataFrame, number: tuple[str, int] | None = None, chunker: str | Callable = "recursive_character", attempts: int = 1) -> None:
+    """Chunk a batch's new and changed documents (doc_id, content_hash, text) and commit chunks, outcomes and documents.
+
+    Unchanged documents are skipped. A document without text is stored with no chunks. One whose chunking fails goes to
+    the table quarantine with its error, and what was stored of it stays. outcomes has a row for each document of each
+    batch (outcome, n_chunks, error), which ingest_summary counts. Of several versions of a document in one batch the one
+    of the largest content_hash counts. The work is a batch's own: of stored documents only the buckets of its keys are
+    read.
+    """
+    label = f"{number[0]}-{number[1]}" if number else uuid.uuid4().hex
+    best = W.partitionBy("doc_id").orderBy(F.desc_nulls_last("content_hash"), F.desc_nulls_last("text"))
+    own = batch.select(F.col("doc_id").cast("long").alias("doc_id"), "content_hash", "text").withColumn("_nth", F.row_number().over(best)).where("_nth = 1").drop("_nth")
+    own = saved(own, "ingest-batch")
+
+    def work() -> None:
+        state = store.state()
+        told = classify_incoming(own, store.read("documents", StructType.fromDDL(DOCUMENTS), keys=own, state=state))
+        split = chunk_each(told.where("outcome = 'ingested'"), chunker)
+        done = told.join(split, "doc_id", "left").withColumn("outcome", F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("outcome")))
+        done = saved(done.withColumn("n_chunks", F.coalesce(F.size("chunks"), F.lit(0))), "ingest-outcomes")
+        good, bad = done.where("outcome in ('ingested', 'no_text')"), done.where("outcome = 'failed'")
+        touched = done.where("outcome <> 'skipped'").select("doc_id")
+        store.commit({
+            "chunks": Change(good.where("outcome = 'ingested'").select("doc_id", F.inline("chunks")), good.select("doc_id")),
+            "quarantine": Change(bad.select("doc_id", "content_hash", "text", "error", F.lit(attempts).alias("attempts")), touched),
+            "outcomes": Change(done.select(F.lit(label).alias("batch"), "doc_id", "outcome", "n_chunks", "error")),
+            "documents": Change(good.select("doc_id", "content_hash", F.col("n_chunks").cast("int").alias("n_chunks"))),
+        }, number, base=state)
+
+    retrying(work)
+    for name in CORPUS_KEYS:
+        store.compact(name)
+
+
+def retry_quarantined(store: Store, chunker: str | Callable = "recursive_character", most: int = 5) -> None:
+    """Ingest once more what earlier runs had to set aside, each document up to most times in all."""
+    held = store.read("quarantine", StructType.fromDDL(QUARANTINE)).where(F.col("attempts") < most)
+    for (attempts,) in held.select("attempts").distinct().collect():  # at most `most` numbers
+        ingest_batch(store, held.where(F.col("attempts") == attempts), None, chunker, attempts + 1)
+
+
+def stream_ingest(source: DataFrame, root: str, checkpoint: str, chunker: str | Callable = "recursive_character", stream: str = "ingest"):
+    """Started query: each batch of documents (doc_id, content_hash, text) is ingested into the store under root, after
+    what earlier runs set aside was tried again. A bad document never stops the others; a batch that is replayed after a
+    crash changes nothing twice. Each batch writes in proportion to itself."""
+    store = corpus_store(source.sparkSession, root)
+    retry_quarantined(store, chunker)
+    run = lambda batch, n: ingest_batch(corpus_store(batch.sparkSession, root), batch, (stream, n), chunker)
+    return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_messages(source: DataFrame, root: str, checkpoint: str, watermark: str = "1 hour", stream: str = "messages"):
+    """Started query: messages (guid, ts, ...) are kept once each in the store's table messages: within the watermark by
+    state, beyond it against the store, of which a batch reads the buckets of its guids alone."""
+
+    def keep(batch: DataFrame, n: int) -> None:
+        store = Store(batch.sparkSession, root, {"messages": ["guid"]})
+        own = saved(batch.dropDuplicates(["guid"]), "messages")
+
+        def work() -> None:
+            state = store.state()
+            old = store.read("messages", own.schema, keys=own, state=state)
+            store.commit({"messages": own.join(old.select("guid"), "guid", "left_anti").select(*own.columns)}, (stream, n), base=state)
+
+        retrying(work)
+        store.compact("messages")
 
     once = source.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["guid"])
-    return once.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_metrics(events: DataFrame, window: str, slide: str | None = None, watermark: str = "1 hour", labels: tuple[str, ...] = ("event_type",)) -> DataFrame:
@@ -69,6 +119,65 @@ def latest_status(events: DataFrame, by: str = "user_id", status: str = "event_t
     return events.groupBy(by).agg(F.max_by(status, F.struct("ts", "event_id")).alias("status"))
 
 
+def status_changes(events: DataFrame, interval: str, by: str = "user_id", status: str = "event_type") -> DataFrame:
+    """at, status, delta: at the end of each interval in which a key's latest status changed, one key less has the old
+    status and one more the new. Batch twin of stream_status_changes."""
+    last = events.groupBy(by, F.window("ts", interval)["end"].alias("at")).agg(F.max_by(status, F.struct("ts", "event_id")).alias("status"))
+    last = last.withColumn("old", F.lag("status").over(W.partitionBy(by).orderBy("at"))).where(~F.col("old").eqNullSafe(F.col("status")))
+    steps = F.array(F.struct(F.col("old").alias("status"), F.lit(-1).alias("delta")), F.struct(F.col("status").alias("status"), F.lit(1).alias("delta")))
+    return last.select("at", F.inline(steps)).where("status is not null").groupBy("at", "status").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+
+
+def status_counts(changes: DataFrame) -> DataFrame:
+    """at, status, n: how many keys have each status, at each time at which its number changed. changes: at, status, delta,
+    of which there is one row for each status and interval once they are summed."""
+    each = changes.groupBy("at", "status").agg(F.sum("delta").alias("delta"))
+    return each.select("at", "status", F.sum("delta").over(W.partitionBy("status").orderBy("at")).alias("n"), "delta").where("delta <> 0").drop("delta")
+
+
+class _Changes(StatefulProcessor):
+    """Holds a key's last status, and the latest event of each interval that the watermark has not passed."""
+
+    def __init__(self, millis: int):
+        self.millis = millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "status string")
+        self.pending = handle.getMapState("pending", "at long", "ts long, event_id long, status string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        for df in rows:
+            for ts, event, status in zip(df["ts"].astype("datetime64[us]").astype("int64"), df["event_id"], df["status"], strict=True):
+                at = (ts // 1000 // self.millis + 1) * self.millis
+                held = self.pending.getValue((at,)) if self.pending.containsKey((at,)) else None
+                if held is None:
+                    self.handle.registerTimer(at)
+                if held is None or (ts, event) > (held[0], held[1]):
+                    self.pending.updateValue((at,), (int(ts), int(event), status))
+        yield pd.DataFrame({"at": pd.Series(dtype="int64"), "status": pd.Series(dtype="object"), "delta": pd.Series(dtype="int32")})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        old, new = self.last.get()[0] if self.last.exists() else None, self.pending.getValue((at,))[2]
+        self.pending.removeKey((at,))
+        steps = [] if old == new else [(at, s, d) for s, d in ((old, -1), (new, 1)) if s is not None]
+        self.last.update((new,))
+        yield pd.DataFrame(steps, columns=["at", "status", "delta"]).astype({"at": "int64", "delta": "int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_status_changes(events: DataFrame, minutes: int, by: str = "user_id", status: str = "event_type", watermark: str = "1 hour") -> DataFrame:
+    """at, status, delta as status_changes gives them, appended when the watermark passes an interval's end, so that late
+    events count where they belong. State holds a status for each key, and its latest event in each open interval. A sink
+    adds rows of equal at and status up."""
+    own = events.select(F.col(by).alias("key"), "ts", "event_id", F.col(status).alias("status")).withWatermark("ts", watermark)
+    steps = own.groupBy("key").transformWithStateInPandas(_Changes(minutes * 60000), "at long, status string, delta int", "Append", "EventTime")
+    return steps.select(F.timestamp_millis("at").alias("at"), "status", "delta")
+
+
 class _Progress(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", "n long")
