@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def grained(vectors: DataFrame) -> DataFrame:
 
 
 def _integers(batch: pa.RecordBatch, dim: int) -> np.ndarray:
-    own = batch.filter(pa.compute.equal(batch.column("dim"), dim)).column("x")
+    own = batch.filter(pc.equal(batch.column("dim"), dim)).column("x")
     return np.asarray(own.flatten(), dtype=np.int64).reshape(-1, dim)
 
 
@@ -214,7 +215,7 @@ def transform(rows: DataFrame, models: dict[int, Whitening]) -> DataFrame:
                     z = _centred(x, m.n, m.sums) @ (m.components / m.deviations)
                     ends = np.arange(len(x) + 1, dtype=np.int32) * z.shape[1]
                     yield pa.RecordBatch.from_pydict({
-                        "vec_id": batch.filter(pa.compute.equal(batch.column("dim"), dim)).column("vec_id"), "dim": pa.array(np.full(len(x), dim, np.int32)),
+                        "vec_id": batch.filter(pc.equal(batch.column("dim"), dim)).column("vec_id"), "dim": pa.array(np.full(len(x), dim, np.int32)),
                         "deviation": pa.array(_deviations(x, m.n, m.sums), pa.int64()), "whitened": pa.ListArray.from_arrays(pa.array(ends), pa.array(z.ravel()))})
 
     return rows.select("vec_id", "dim", "x").mapInArrow(apply, "vec_id long, dim int, deviation long, whitened array<double>")
