@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrag.functions import text as T
-from sparkrag.functions import vectors as V
+from sparkrag.operators.best import BestK
 from sparkrag.session import saved
 
 K1, LENGTH_SHARE = 1.2, 0.75
@@ -37,48 +39,61 @@ def _flat(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
 
 
-def semantic(queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """query_id, id, score, rank of the k vectors of highest cosine for each query.
+def _by_dim(batch: pa.RecordBatch, rows: int = 2048) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(dimension, rows of it) of a batch with a column vector; null and empty vectors are left out."""
+    dims = np.asarray(pc.fill_null(pc.list_value_length(batch.column("vector")), 0))
+    for dim in np.unique(dims[dims > 0]).tolist():
+        own = np.flatnonzero(dims == dim)
+        for lo in range(0, len(own), rows):
+            yield dim, batch.take(pa.array(own[lo:lo + rows]))
+
 
-    queries (query_id, vector) meet the corpus (id, vector) in blocks of queries: a block is one row of packed vectors,
-    and each corpus batch is multiplied with it and keeps its own k best, so no row is made for a pair. Blocks are
-    broadcast QUERY_BYTES at a time; more queries take more passes over the corpus. With digits, scores are rounded
-    before they are ranked.
+def partial_best(queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """query_id, id, score: of each task of the corpus, the k best rows it read for each query.
+
+    queries (query_id, vector) are broadcast QUERY_BYTES at a time, their own best k included; more of them take more
+    passes over the corpus. A task multiplies what it reads with them block by block and keeps the k best of each, so no
+    row is made for a pair, and at most k rows for each query and task are shuffled.
     """
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    passes = max(1, math.ceil((asked.agg(F.sum(8 * F.size("vector"))).first()[0] or 0) / QUERY_BYTES))
-
-    def gather(key: tuple, t: pa.Table) -> pa.Table:
-        dim = key[0].as_py()
-        return pa.table({"qids": pa.array([t["query_id"].to_pylist()], pa.list_(pa.int64())), "dim": pa.array([dim], pa.int32()), "vectors": pa.array([_flat(t["vector"], dim).tobytes()], pa.binary())})
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column("vector")), 0))
-            for dim in np.unique(dims).tolist():
-                own = np.flatnonzero(dims == dim)
-                for lo in range(0, len(own), 2048):
-                    part = batch.take(pa.array(own[lo:lo + 2048]))
-                    yield pa.RecordBatch.from_pydict({"ids": pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), "size": pa.array([dim], pa.int32()), "flat": pa.array([_flat(part.column("vector"), dim).tobytes()], pa.binary())})
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, x, q = np.array(row["ids"]), np.frombuffer(row["flat"]).reshape(len(row["ids"]), -1), np.frombuffer(row["vectors"]).reshape(len(row["qids"]), -1)
-                length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
-                s = np.divide(q @ x.T, length, out=np.zeros_like(length), where=length > 0)
-                s = np.round(s, digits) if digits is not None else s
-                best = [np.lexsort((ids, -x))[:k] for x in s]
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": pa.array(np.repeat(row["qids"], [len(b) for b in best]), pa.int64()), "id": pa.array(ids[np.concatenate(best)], pa.int64()), "score": pa.array(np.concatenate([x[b] for x, b in zip(s, best, strict=True)]))})
-
-    blocks = corpus.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(block, "ids array<long>, size int, flat binary")
-    scored = []
+    asked = saved(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") > 0), "asked-vectors")
+    passes = max(1, math.ceil((asked.agg(F.sum(8 * F.size("vector") + 32 * k)).first()[0] or 0) / QUERY_BYTES))
+    own = corpus.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def search(told: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = {dim: BestK(len(names), k) for dim, (names, _) in told.value.items()}
+            lengths = {dim: np.linalg.norm(q, axis=1) for dim, (_, q) in told.value.items()}
+            for batch in batches:
+                for dim, part in _by_dim(batch):
+                    if dim in best:
+                        x, ids, q = _flat(part.column("vector"), dim), np.asarray(part.column("id")), told.value[dim][1]
+                        size = np.linalg.norm(x, axis=1)
+                        for lo in range(0, len(q), 1024):
+                            length = lengths[dim][lo:lo + 1024, None] * size
+                            s = np.divide(q[lo:lo + 1024] @ x.T, length, out=np.zeros_like(length), where=length > 0)
+                            best[dim].add_matrix(lo, np.round(s, digits) if digits is not None else s, ids)
+            for dim, b in best.items():
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(told.value[dim][0][b.query], pa.int64()), "id": pa.array(b.id, pa.int64()), "score": pa.array(b.score)})
+
+        return run
+
+    found = []
     for n in range(passes):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n).withColumn("dim", F.size("vector")).where("dim > 0")
-        packed = own.groupBy("dim", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(16)).alias("part")).applyInArrow(gather, "qids array<long>, dim int, vectors binary")
-        scored.append(blocks.join(F.broadcast(packed), F.col("size") == F.col("dim")).mapInArrow(score, "query_id long, id long, score double"))
-    return top_k(reduce(DataFrame.union, scored), k)
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n) if passes > 1 else asked
+        block: dict[int, list] = {}
+        for batch in some.toArrow().to_batches():
+            for dim, part in _by_dim(batch, batch.num_rows):
+                block.setdefault(dim, []).append((np.asarray(part.column("query_id")), _flat(part.column("vector"), dim)))
+        told = queries.sparkSession.sparkContext.broadcast({dim: tuple(map(np.concatenate, zip(*parts, strict=True))) for dim, parts in block.items()})
+        found.append(own.mapInArrow(search(told), "query_id long, id long, score double"))
+    return reduce(DataFrame.union, found)
+
+
+def semantic(queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """query_id, id, score, rank of the k vectors of highest cosine for each query (query_id, vector) in the corpus (id,
+    vector): the best of what tasks found. With digits, scores are rounded before they are ranked. Vectors meet those of
+    equal dimension; cosines with a zero vector are 0."""
+    return top_k(partial_best(queries, corpus, k, digits), k)
 
 
 def _kept_terms(text: Column, stem=None) -> Column:
@@ -194,30 +209,3 @@ def assemble_context(retrieved: DataFrame) -> DataFrame:
     context, content."""
     block = F.struct("rank", T.source_block(F.col("source"), F.col("context"), F.col("content")).alias("block"))
     return retrieved.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["block"]), "\n\n").alias("context"))
-
-
-def ivf_index(corpus: DataFrame, cells: int, sample_rows: int = 20000, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
-    """(centres, corpus with a column cell): cells fitted by k-means on a bounded sample, every row assigned."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = corpus.withColumn("unit", V.normalized(F.col("vector")))
-    sample = unit.orderBy(F.xxhash64("id", F.lit(seed))).limit(sample_rows)
-    model = KMeans(k=cells, seed=seed, featuresCol="features").fit(sample.select(array_to_vector("unit").alias("features")))
-    centres = np.array(model.clusterCenters())
-    return centres, nearest_cells(unit, centres, 1).withColumn("cell", F.get("cells", F.lit(0))).drop("cells", "unit")
-
-
-def nearest_cells(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
-    """df (with a column unit) and its n nearest cells. The centres are a table of fixed, small size."""
-    distances = F.array(*[F.struct((-V.dot(F.col("unit"), F.lit([float(x) for x in c]))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
-    return df.withColumn("cells", F.transform(F.slice(F.array_sort(distances), 1, n), lambda x: x["cell"]))
-
-
-def semantic_ann(queries: DataFrame, index: tuple[np.ndarray, DataFrame], k: int, nprobe: int) -> DataFrame:
-    """The k best of each query among the vectors of its nprobe nearest cells."""
-    centres, corpus = index
-    asked = nearest_cells(queries.withColumn("unit", V.normalized(F.col("vector"))), centres, nprobe)
-    asked = asked.select("query_id", F.col("vector").alias("asked"), F.explode("cells").alias("cell"))
-    scored = asked.join(corpus, "cell").select("query_id", "id", V.cosine(F.col("asked"), F.col("vector")).alias("score"))
-    return top_k(scored, k)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrag.functions import text as T
-from sparkrag.operators import archive, chat, chunking, corpus, evaluate, graph, search, telemetry
+from sparkrag.operators import archive, chat, chunking, corpus, evaluate, graph, ivf, search, telemetry
 from sparkrag.operators import runs as builds
 from sparkrag.plans.queries import MSG, PARA, QUERIES, SQL, STOP, WORDS, fact_refs, messages, query, r6
 from sparkrag.sources import files
@@ -742,7 +742,7 @@ def q3_chat_eval(t):
 @query()
 def r2_semantic_ann(t):
     e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return search.semantic_ann(e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), search.ivf_index(e, 16), 10, 13)
+    return ivf.semantic_ann(e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), ivf.ivf_index(e, 16), 10, 14)
 
 
 @query()
