@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,11 +26,40 @@ def rotation(dim: int, seed: int = 0) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, of any finite size: they are scaled by their largest component before they are squared."""
+    most = np.abs(x).max(1, initial=0.0)
+    scaled = np.divide(x, most[:, None], out=np.zeros_like(x), where=most[:, None] > 0)
+    with np.errstate(over="ignore"):
+        return most * np.linalg.norm(scaled, axis=1)
+
+
+def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and directions of rows; a zero row has none."""
+    most = np.abs(x).max(1, initial=0.0)[:, None]
+    scaled = np.divide(x, most, out=np.zeros_like(x), where=most > 0)
+    short = np.linalg.norm(scaled, axis=1)[:, None]
+    with np.errstate(over="ignore"):
+        return most[:, 0] * short[:, 0], np.divide(scaled, short, out=np.zeros_like(x), where=short > 0)
+
+
+def distances(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to one vector. Squares are summed in order, as SQL does; where that leaves the doubles,
+    differences are scaled first. A distance beyond the doubles is infinite."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        far = x - query
+        square = np.add.accumulate(far**2, axis=1)[:, -1]
+        out = np.sqrt(square)
+        odd = np.flatnonzero(~((square > 1e-280) & (square < np.inf)) & far.any(1))
+        if len(odd):
+            out[odd] = 4 * lengths(x[odd] / 4 - query / 4) if not np.isfinite(far[odd]).all() else lengths(far[odd])
+    return out
+
+
 def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed sign bits of the rotated residuals, and by row: the residual's length, and its code's cosine to it."""
-    residual = x - centre
-    length = np.linalg.norm(residual, axis=1)
-    unit = np.divide(residual, length[:, None], out=np.zeros_like(residual), where=length[:, None] > 0) @ turn
+    length, unit = _units(x - centre)
+    unit = unit @ turn
     cosine = np.abs(unit).sum(1) / math.sqrt(x.shape[1])
     return np.packbits(unit > 0, axis=1), np.stack([length, cosine], 1)
 
@@ -37,20 +69,25 @@ def estimate(codes: np.ndarray, scalars: np.ndarray, queries: np.ndarray, centre
 
     With o the unit residual, c its code and q the unit query residual, <c, q> / <c, o> estimates <o, q> without bias,
     with an error of about sqrt((1 - <c, o>**2) / <c, o>**2 / (dim - 1)); width says how many of those the bounds allow.
+    Where lengths have no squares among the doubles nothing is bounded.
     """
     dim = queries.shape[1]
     if math.isinf(width):
         return np.full((len(queries), len(codes)), -np.inf), np.full((len(queries), len(codes)), np.inf)
-    residual = queries - centre
-    length = np.linalg.norm(residual, axis=1)
-    unit = np.divide(residual, length[:, None], out=np.zeros_like(residual), where=length[:, None] > 0) @ turn
+    length, unit = _units(queries - centre)
+    unit = unit @ turn
     signs = (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
     own, cosine = scalars[:, 0], np.maximum(scalars[:, 1], 1e-9)
     inner = (unit.astype(np.float32) @ signs.T) / cosine.astype(np.float32)
     error = width * np.sqrt(np.maximum(1 - cosine**2, 0) / cosine**2 / max(dim - 1, 1)) + 1e-5
-    both = 2 * length[:, None] * own
-    middle = length[:, None] ** 2 + own**2 - both * inner
-    return middle - both * error, middle + both * error
+    with np.errstate(over="ignore", invalid="ignore"):
+        both, squares = 2 * length[:, None] * own, length[:, None] ** 2 + own**2
+        middle = squares - both * inner
+        slack = both * error + 1e-12 * squares
+        low, high = middle - slack, middle + slack
+    unknown = ~(np.isfinite(low) & np.isfinite(high))
+    low[unknown], high[unknown] = -np.inf, np.inf
+    return low, high
 
 
 def build_index(vectors: DataFrame, keep: int, block_rows: int = 8192, seed: int = 0) -> DataFrame:
@@ -60,10 +97,12 @@ def build_index(vectors: DataFrame, keep: int, block_rows: int = 8192, seed: int
     each = distinct_vectors(df.distinct(), keep).withColumn("dim", F.size("vector"))
     each = saved(each, "distinct-vectors")
     dims = {r["dim"]: r for r in each.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    centres = {}
+    centres, largest = {}, F.array_max(F.transform("vector", lambda c: F.abs(c)))
     for d in dims:
+        own = each.where(F.col("dim") == d)
+        usual = 16 * own.agg(F.percentile_approx(largest, 0.5, 1000)).first()[0]  # some huge vectors do not move the centre
         mean = [F.avg(F.get("vector", F.lit(i))).alias(f"c{i}") for i in range(d)]
-        centres[d] = np.array(each.where(F.col("dim") == d).agg(*mean).first(), dtype=np.float64)
+        centres[d] = np.array(own.where(largest <= usual).agg(*mean).first(), dtype=np.float64)
     turns = {d: rotation(d, seed) for d in dims}
     stripes = each.withColumn("stripe", F.pmod(F.xxhash64("ids", F.lit(seed)), F.lit(max(1, math.ceil(max((r["n"] for r in dims.values()), default=1) / block_rows)))).cast("int"))
 
@@ -81,57 +120,67 @@ def build_index(vectors: DataFrame, keep: int, block_rows: int = 8192, seed: int
     return saved(stripes.groupBy("dim", "stripe").applyInArrow(pack, INDEX + ", centre binary"), "ann-index")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, width: float = 3.0, seed: int = 0, query_rows: int = 2048) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, width: float = 3.0, seed: int = 0, query_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows of the index but itself, by Euclidean distance.
 
-    queries needs query_id (integer) and embedding. Queries of equal vectors are answered once. Blocks of query_rows
-    queries meet every block of the index: the codes bound all distances, and only vectors whose lower bound is within
-    the k + 1 smallest upper bound are measured exactly, in double precision, on the original vectors. A query block
-    keeps its k + 1 best of each index block. Bounds hold for all but about exp(-width**2 / 2) of the estimates; with an
-    infinite width all vectors are measured, and the result is exact.
+    queries needs query_id (integer) and embedding. Queries of equal vectors are answered once. They are broadcast
+    query_bytes at a time, with their own best; more of them take more passes over the index, which is read where it
+    lies. In each block of it the codes bound all distances, and only vectors whose lower bound is within the k + 1
+    smallest upper bounds, and within the k + 1 smallest distances met so far, are measured exactly, in double precision,
+    on the original vectors. A task hands on the k + 1 best of each query. Bounds hold for all but about
+    exp(-width**2 / 2) of the estimates; with an infinite width all vectors are measured, and the result is exact.
     """
+    best = k + 1
     asked = queries.where(valid(F.col("embedding"))).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")).where("query_id is not null").distinct()
     asked = saved(asked.withColumn("q", F.xxhash64("vector")), "ann-queries")
-    one = asked.select("q", "vector").distinct().withColumn("dim", F.size("vector"))
-    n_blocks = max(1, math.ceil(one.count() / query_rows))
-
-    def gather(key: tuple, t: pa.Table) -> pa.Table:
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "qs": pa.array([np.asarray(t["q"]).astype(np.int64).tobytes()], pa.binary()), "asked": pa.array([matrix(t["vector"]).tobytes()], pa.binary())})
-
-    blocks = one.withColumn("part", F.pmod("q", F.lit(n_blocks))).groupBy("dim", "part").applyInArrow(gather, "dim int, qs binary, asked binary")
-    stripes = index.select("dim", "stripe")  # each query block goes to every stripe of the index; the index stays in place
-    asked_of = saved(blocks, "ann-query-blocks").join(stripes, "dim")
-    pairs = index.join(asked_of, ["dim", "stripe"])
-    best = k + 1
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                dim, n = row["dim"], row["n"]
-                turn = turns.setdefault(dim, rotation(dim, seed))
-                q = np.frombuffer(row["asked"]).reshape(-1, dim)
-                x = np.frombuffer(row["vectors"]).reshape(n, dim)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(n, -1)
-                first = np.frombuffer(row["first_ids"], np.int64).reshape(n, -1)
-                keys, scalars, centre = np.frombuffer(row["qs"], np.int64).tolist(), np.frombuffer(row["scalars"]).reshape(n, 2), np.frombuffer(row["centre"])
-                out_q, out_d, out_i = [], [], []
-                for lo in range(0, len(q), 256):  # a block of vectors comes once for all its queries
-                    some = q[lo:lo + 256]
-                    low, high = estimate(codes, scalars, some, centre, turn, width)
-                    limit = np.partition(high, best - 1, 1)[:, best - 1] if n > best else np.full(len(some), np.inf)
-                    for i, key in enumerate(keys[lo:lo + 256]):
-                        near = np.flatnonzero(low[i] <= limit[i])
-                        d = np.sqrt(np.add.accumulate((x[near] - some[i]) ** 2, axis=1)[:, -1])  # summed in order, as SQL does
-                        for j in np.lexsort((first[near, 0], d))[:best]:
-                            out_q.append(key)
-                            out_d.append(float(d[j]))
-                            out_i.append([v for v in first[near[j]].tolist() if v >= 0])
-                yield pa.RecordBatch.from_pydict({"q": pa.array(out_q, pa.int64()), "score": pa.array(out_d, pa.float64()), "ids": pa.array(out_i, pa.list_(pa.int64()))})
-
-    met = pairs.select("dim", "n", "qs", "asked", "codes", "scalars", "vectors", "first_ids", "centre").mapInArrow(meet, "q long, score double, ids array<long>")
-    met = met.withColumn("first", F.array_min("ids"))
-    nearest = met.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy("score", "first"))).where(F.col("nth") <= best).select("q", "score", F.explode("ids").alias("vec_id"))
+    one = saved(asked.select("q", "vector").distinct().withColumn("dim", F.size("vector")), "ann-distinct-queries")
+    passes = max(1, math.ceil((one.agg(F.sum(8 * F.col("dim") + 16 * best)).first()[0] or 0) / query_bytes))
+
+    def met(told: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            turns = {dim: rotation(dim, seed) for dim in told.value}
+            held: dict[int, list[list[tuple]]] = {dim: [[] for _ in q] for dim, (_, q) in told.value.items()}
+            for batch in batches:
+                for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                    dim, n = row["dim"], row["n"]
+                    if dim in told.value:
+                        x, codes = np.frombuffer(row["vectors"]).reshape(n, dim), np.frombuffer(row["codes"], np.uint8).reshape(n, -1)
+                        first = np.frombuffer(row["first_ids"], np.int64).reshape(n, -1)
+                        measure(told.value[dim][1], held[dim], x, codes, np.frombuffer(row["scalars"]).reshape(n, 2), np.frombuffer(row["centre"]), first, turns[dim])
+            for dim, kept in held.items():
+                q = told.value[dim][0]
+                for lo in range(0, len(kept), 1024):
+                    found = [(int(q[i]), d, ids) for i in range(lo, min(lo + 1024, len(kept))) for d, _, ids in kept[i]]
+                    yield pa.RecordBatch.from_pydict({"q": pa.array([f[0] for f in found], pa.int64()), "score": pa.array([f[1] for f in found], pa.float64()), "ids": pa.array([f[2] for f in found], pa.list_(pa.int64()))})
+
+        return run
+
+    def measure(q: np.ndarray, held: list[list[tuple]], x: np.ndarray, codes: np.ndarray, scalars: np.ndarray, centre: np.ndarray, first: np.ndarray, turn: np.ndarray) -> None:
+        for lo in range(0, len(q), 256):
+            some = q[lo:lo + 256]
+            low, high = estimate(codes, scalars, some, centre, turn, width)
+            limit = np.partition(high, best - 1, 1)[:, best - 1] if len(x) > best else np.full(len(some), np.inf)
+            for i in range(len(some)):
+                own = held[lo + i]
+                reached = own[-1][0] ** 2 * (1 + 1e-12) if len(own) == best else math.inf
+                near = np.flatnonzero(low[i] <= min(limit[i], reached))
+                d = distances(x[near], some[i])
+                order = np.lexsort((first[near, 0], d))[:best]
+                own += [(float(d[j]), int(first[near[j], 0]), [v for v in first[near[j]].tolist() if v >= 0]) for j in order]
+                own.sort(key=lambda e: e[:2])
+                del own[best:]
+
+    found = []
+    for n in range(passes):
+        block: dict[int, tuple] = {}
+        some = one.where(F.pmod("q", F.lit(passes)) == n).select("dim", "q", "vector").toArrow()
+        for dim in np.unique(np.asarray(some["dim"])).tolist():
+            part = some.filter(pc.equal(some["dim"], dim))
+            block[dim] = (np.asarray(part["q"]), matrix(part["vector"]))
+        told = index.sparkSession.sparkContext.broadcast(block)
+        found.append(index.select("dim", "n", "codes", "scalars", "vectors", "first_ids", "centre").mapInArrow(met(told), "q long, score double, ids array<long>"))
+    met_all = reduce(DataFrame.union, found).withColumn("first", F.array_min("ids"))
+    nearest = met_all.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy("score", "first"))).where(F.col("nth") <= best).select("q", "score", F.explode("ids").alias("vec_id"))
     nearest = nearest.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("nth") <= best)
     nearest = saved(nearest, "ann-found")
     joined = asked.select("query_id", "q").join(nearest, "q").where("query_id <> vec_id")
