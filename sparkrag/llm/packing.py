@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -129,12 +130,57 @@ class WordEncoder:
             yield lo, hi, ids, bounds
 
 
-def balance(lengths: list[int], capacity: int, linear: float, quadratic: float, tries: int = 16) -> list[tuple[int, int, int, int, int]]:
+class Open:
+    """Sequences by room, each with its cost; the cheapest of those with at least some room is found in logarithmic time."""
+
+    def __init__(self, capacity: int, sequences: list[int]):
+        self.leaves = 1 << capacity.bit_length()
+        self.heaps: dict[int, list[tuple[float, int]]] = {capacity: [(0.0, s) for s in sequences]}
+        self.tree = [(math.inf, -1)] * (2 * self.leaves)  # over rooms, the cheapest below each node
+        self._refresh(capacity)
+
+    def _refresh(self, room: int) -> None:
+        at = self.leaves + room
+        self.tree[at] = self.heaps[room][0] if self.heaps[room] else (math.inf, -1)
+        while at > 1:
+            at >>= 1
+            self.tree[at] = min(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def take(self, n: int) -> tuple[float, int, int] | None:
+        """(cost, sequence, room) of the cheapest sequence with room for n, which leaves; None where there is none."""
+        at, lo, hi = 0, self.leaves + n, 2 * self.leaves
+        best = (math.inf, -1)
+        while lo < hi:  # the nodes that together hold all rooms from n
+            if lo & 1:
+                if self.tree[lo] < best:
+                    best, at = self.tree[lo], lo
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                if self.tree[hi] < best:
+                    best, at = self.tree[hi], hi
+            lo, hi = lo >> 1, hi >> 1
+        if not at:
+            return None
+        while at < self.leaves:
+            at = 2 * at if self.tree[2 * at] == best else 2 * at + 1
+        room = at - self.leaves
+        heapq.heappop(self.heaps[room])
+        self._refresh(room)
+        return *best, room
+
+    def put(self, cost: float, s: int, room: int) -> None:
+        if room:
+            heapq.heappush(self.heaps.setdefault(room, []), (cost, s))
+            self._refresh(room)
+
+
+def balance(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of pieces that fill as few sequences of capacity tokens as can be.
 
     Whole multiples of the capacity are cut off long documents first. What is left goes, by descending cost
-    linear * n + quadratic * n**2, to the sequence of lowest cost that has room; where none of the tries cheapest has,
-    the document is cut at the end of the cheapest one.
+    linear * n + quadratic * n**2, to the sequence of lowest cost that has room; where none has, the document is cut at
+    the end of the cheapest one that is not full. Ties go to the earlier document and the lower sequence.
     """
     out, rest, made = [], [], 0
     for d, n in enumerate(lengths):
@@ -145,30 +191,14 @@ def balance(lengths: list[int], capacity: int, linear: float, quadratic: float,
             rest.append((linear * (n % capacity) + quadratic * (n % capacity) ** 2, n % capacity, d))
     rest.sort(key=lambda x: (-x[0], x[2]))
     count = -(-sum(n for _, n, _ in rest) // capacity)
-    open_ = [(0.0, s) for s in range(made, made + count)]
-    used = dict.fromkeys(range(made, made + count), 0)
-
-    def put(d: int, start: int, n: int, cost: float, s: int) -> None:
-        out.append((d, start, n, s, used[s]))
-        used[s] += n
-        if used[s] < capacity:
-            heapq.heappush(open_, (cost + linear * n + quadratic * n * n, s))
-
+    open_ = Open(capacity, list(range(made, made + count)))
     for _, n, d in rest:
         start = lengths[d] - n
         while n:
-            passed = []
-            while open_ and len(passed) < tries and capacity - used[open_[0][1]] < n:
-                passed.append(heapq.heappop(open_))
-            if open_ and capacity - used[open_[0][1]] >= n:
-                cost, s = heapq.heappop(open_)
-                take = n
-            else:
-                cost, s = passed.pop(0)
-                take = min(n, capacity - used[s])
-            for x in passed:
-                heapq.heappush(open_, x)
-            put(d, start, take, cost, s)
+            cost, s, room = open_.take(n) or open_.take(1)
+            take = min(n, room)
+            out.append((d, start, take, s, capacity - room))
+            open_.put(cost + linear * take + quadratic * take * take, s, room - take)
             start, n = start + take, n - take
     return out
 

@@ -46,6 +46,34 @@ def test_costs_are_balanced():
     assert len(pieces) < 1.25 * len(lengths)
 
 
+def plain_balance(lengths, capacity, linear, quadratic):
+    cost = lambda n: linear * n + quadratic * n * n
+    out, made, rest = [], 0, []
+    for d, n in enumerate(lengths):
+        out += [(d, k * capacity, capacity, made + k, 0) for k in range(n // capacity)]
+        made += n // capacity
+        rest += [(d, n % capacity)] if n % capacity else []
+    count = -(-sum(n for _, n in rest) // capacity)
+    used, costs = dict.fromkeys(range(made, made + count), 0), dict.fromkeys(range(made, made + count), 0.0)
+    for d, n in sorted(rest, key=lambda x: (-cost(x[1]), x[0])):
+        start = lengths[d] - n
+        while n:
+            fits = [s for s in used if capacity - used[s] >= n] or [s for s in used if used[s] < capacity]
+            s = min(fits, key=lambda s: (costs[s], s))
+            take = min(n, capacity - used[s])
+            out.append((d, start, take, s, used[s]))
+            used[s], costs[s] = used[s] + take, costs[s] + cost(take)
+            start, n = start + take, n - take
+    return out
+
+
+def test_balance_equals_the_plain_rule():
+    r = np.random.default_rng(1)
+    for lengths in ([400] * 150 + [100] * 70 + [2000] * 40, [1500] * 15 + [700] * 7 + [100] * 20, [900] * 40 + [150] * 9, r.integers(1, 5000, 300).tolist(), r.integers(1, 60, 500).tolist(), [2048, 4096, 1]):
+        for capacity in (2048, 100):
+            assert packing.balance(lengths, capacity, 1.0, 1 / capacity) == plain_balance(lengths, capacity, 1.0, 1 / capacity)
+
+
 def test_no_rows(none):
     assert packing.pack_documents(none, PATH).collect() == []
     assert packing.balance([], 8, 1, 1) == []
