@@ -113,13 +113,15 @@ class CharModels:
 
 
 class Scorer:
-    """Sums the models over texts; looked-up n-grams are remembered in a table of fixed size."""
+    """Sums the models over texts; looked-up n-grams are remembered in a table of at most table_bytes, whatever the
+    number of languages. What it has forgotten is looked up again, so its size changes no score."""
 
-    def __init__(self, models: CharModels, bits: int = 19):
+    def __init__(self, models: CharModels, bits: int = 19, table_bytes: int = 96 << 20):
+        bits = max(8, min(bits, (table_bytes // (8 * len(models.langs))).bit_length() - 1))
         self.models, self.bits = models, bits
         self.codes = np.zeros(1 << bits, np.uint64)
         self.filled = np.zeros(1 << bits, bool)
-        self.values = np.zeros((1 << bits, len(models.langs)), np.float32 if len(models.langs) > 16 else np.float64)
+        self.values = np.zeros((1 << bits, len(models.langs)))
 
     def _looked_up(self, code: np.ndarray) -> np.ndarray:
         slot = (mix(code) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -157,9 +159,10 @@ def _lettered(texts: list[str]) -> np.ndarray:
     return np.array([any(map(str.isalpha, t)) for t in texts], bool)
 
 
-def fit(docs: DataFrame, per_lang: int = 500, chars_per_lang: int = 2_000_000, slack: float = 2.0) -> CharModels | None:
+def fit(docs: DataFrame, per_lang: int = 500, chars_per_lang: int = 2_000_000, slack: float = 2.0, most_langs: int = 512) -> CharModels | None:
     """Models fitted on a bounded sample: of each language at most per_lang different labelled texts with a letter, in
-    the order of a hash of the text, as long as they have chars_per_lang characters together (the first in any case).
+    the order of a hash of the text, as long as they have chars_per_lang characters together (the first in any case). Of
+    more than most_langs different labels those with most different texts are learned, ties by name.
 
     Of a language with five texts or more every fifth is kept back, and calibrates rejection: mean and spread of the
     cross-entropies of the texts kept back, and as limit slack times the largest excess among them (see identify).
@@ -171,7 +174,8 @@ def fit(docs: DataFrame, per_lang: int = 500, chars_per_lang: int = 2_000_000, s
     own = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     own = own.withColumn("place", F.xxhash64("text", F.lit(20240229))).where(F.col("text").rlike(r"\p{L}"))
     sizes = own.groupBy("lang").agg(F.approx_count_distinct("place").alias("different"))
-    # sizes has a row for each language, of which every task gets a whole model later.
+    # sizes has a row for each learned language, of which every task gets a whole model later.
+    sizes = sizes.orderBy(F.desc("different"), "lang").limit(most_langs)
     share = F.least(F.lit(1.0), F.lit(3.0 * per_lang) / F.col("different"))
     picked = own.join(F.broadcast(sizes), "lang").where(F.shiftrightunsigned("place", 12) < F.lit(1 << 52) * share).select("lang", "text", "place").distinct()
     order = W.partitionBy("lang").orderBy("place", "text")

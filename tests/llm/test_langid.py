@@ -118,3 +118,18 @@ def test_odd_rows(docs, rows, none):
     assert pytest.approx(0) == langid.identify(docs.where("text is null"), models).first()["score"]
     clash = docs.withColumn("Score", F.lit(7))
     assert langid.identify(clash, models, ("l", "s", "e", "r")).first()["Score"] == 7
+
+
+def test_more_than_sixteen_languages_and_rare_labels(spark):
+    """Scores do not change with the number of languages or the size of the table of looked-up n-grams."""
+    r = random.Random(5)
+    rows = []
+    for k in range(20):
+        syllables = ["".join(r.choice("abdeghiklmnoprstuvz") for _ in range(3)) for _ in range(6)]
+        rows += [(f"l{k:02}", " ".join(r.choice(syllables) + r.choice(syllables) for _ in range(40))) for _ in range(8)]
+    models = langid.CharModels(rows)
+    texts = [t[:200] for _, t in rows[::7]] + ["", "xyzzy"]
+    exact = langid.Scorer(models).entropies(texts)[0]
+    assert np.array_equal(exact, langid.Scorer(models, bits=8).entropies(texts)[0]) and np.array_equal(exact, langid.Scorer(models, table_bytes=1).entropies(texts)[0])
+    df = spark.createDataFrame(rows + [("rare", "only one text of this label")], "lang string, text string")
+    assert langid.fit(df, most_langs=20).langs == sorted({k for k, _ in rows}) and "rare" in langid.fit(df).langs
