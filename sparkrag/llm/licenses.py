@@ -6,7 +6,6 @@ import json
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrag.session import saved
@@ -71,25 +70,23 @@ TEMPLATES = [
     ("cc-by-nc-4.0", ["cc by nc 4 0"], "licensed under cc by nc 4 0"),
     ("unlicense", ["released into the public domain"], "this is free and unencumbered software released into the public domain"),
 ]
+#: Identifiers of the public licence list, as words, with their labels; the tag before them makes the phrase.
+SPDX = {
+    "apache 2 0": "apache-2.0", "mit": "mit", "gpl 2 0": "gpl-2.0", "gpl 3 0": "gpl-3.0", "lgpl 2 1": "lgpl-2.1", "lgpl 3 0": "lgpl-3.0", "agpl 3 0": "agpl-3.0", "bsd 2 clause": "bsd-2-clause",
+    "bsd 3 clause": "bsd-3-clause", "isc": "isc", "mpl 2 0": "mpl-2.0", "epl 2 0": "epl-2.0", "bsl 1 0": "bsl-1.0", "zlib": "zlib", "cc0 1 0": "cc0-1.0", "cc by 4 0": "cc-by-4.0",
+    "cc by sa 4 0": "cc-by-sa-4.0", "cc by nc 4 0": "cc-by-nc-4.0", "unlicense": "unlicense",
+}
+TEMPLATES += [(label, [f"spdx license identifier {words}"], f"spdx license identifier {words}") for words, label in SPDX.items()]
 
 #: Words too common in prose to be looked up.
 COMMON = "a all an and any are as at be been by can for form from in is it its no not of on or other that the their this to under use was with you your".split()
 
 
-def _anchors() -> list[str]:
-    return sorted({w for _, _, text in TEMPLATES for w in text.split()} - set(COMMON))
-
-
 def _rows(df: DataFrame, rows: list[dict], schema: str) -> DataFrame:
     """A small fixed table, made by a literal."""
     return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def _postings() -> list[dict]:
-    anchors = set(_anchors())
-    return [{"word": w, "template": t, "at": i} for t, (_, _, text) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w in anchors]
-
-
 def _phrases() -> list[str]:
     return list(dict.fromkeys([*BASE, *(p for _, keys, _ in TEMPLATES for p in keys)]))
 
@@ -104,72 +101,67 @@ def _keys() -> list[dict]:
     return out
 
 
-def _places(words: Column) -> Column:
-    """phrase and position of every place where a phrase's words stand consecutively."""
-    firsts = sorted({p.split()[0] for p in _phrases()})
-    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(firsts))
+def _index(words: DataFrame) -> dict[str, str]:
+    """The rarest word of each phrase, by documents that hold it (ties: first by name), of those that are not common.
+
+    words has a column _words. A document without a phrase's rarest word does not hold the phrase, whatever the others do,
+    so that looking up rare words alone loses none."""
+    known = sorted({w for p in _phrases() for w in p.split()} - set(COMMON))
+    held = words.select(F.explode(F.array_distinct(F.filter("_words", lambda w: w.isin(known)))).alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
+    docs = {r["word"]: r["docs"] for r in held.collect()}  # some hundred words at most
+    return {p: min(set(p.split()) - set(COMMON), key=lambda w: (docs.get(w, 0), w)) for p in _phrases()}
 
-    def of(nth: int, phrase: str) -> Column:
-        wanted = phrase.split()
-        hit = lambda i: F.slice(words, i + 1, len(wanted)) == F.array(*[F.lit(w) for w in wanted])
-        return F.transform(F.filter(F.col("_starts"), hit), lambda i: F.struct(F.lit(nth).alias("phrase"), i.alias("at")))
 
-    return starts, F.flatten(F.array(*[of(n, p) for n, p in enumerate(_phrases())]))
+def _places(words: Column, index: dict[str, str]) -> Column:
+    """phrase (its number) and at (its first word) of every place where a phrase stands: each place of a rare word is
+    looked up for the phrases that it stands for, and these are compared."""
+    by_word: dict[str, list[Column]] = {}
+    for n, p in enumerate(_phrases()):
+        own = p.split()
+        for off in (i for i, w in enumerate(own) if w == index[p]):
+            by_word.setdefault(index[p], []).append(F.struct(F.lit(n).alias("phrase"), F.lit(off).alias("off"), F.lit(own).alias("own")))
+    postings = F.create_map(*[x for w, own in by_word.items() for x in (F.lit(w), F.array(*own))])
+    rare = F.filter(F.transform(words, lambda w, i: F.when(w.isin(list(by_word)), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
+    stands = lambda r: lambda p: (r["at"] >= p["off"]) & (F.slice(words, F.greatest(r["at"] - p["off"], F.lit(0)) + 1, F.size(p["own"])) == p["own"])
+    found = lambda r: F.transform(F.filter(F.element_at(postings, r["word"]), stands(r)), lambda p: F.struct(p["phrase"].alias("phrase"), (r["at"] - p["off"]).alias("at")))
+    return F.array_distinct(F.flatten(F.transform(rare, found)))
 
 
-def scan(docs: DataFrame, rarest: int = 8, slack: int = 16, agree: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, slack: int = 16) -> DataFrame:
     """Licence labels of all whole texts.
 
-    docs needs doc_id and text; other columns are ignored, whatever their names. Each template is indexed by its rarest
-    words, those of highest inverse document frequency over all documents, with their positions in it. A document's
-    words are looked up there: positions that agree on where a template begins, within slack words, vote for it. It is a
-    candidate when at least the share agree of its indexed words that the document holds vote for one beginning, and
-    found when all its mandatory phrases stand where they then belong, within slack words. Returns a row for each input row: doc_id, n_words, n_base, first_word,
-    last_word, base_labels, labels (both sorted arrays), score (half for a base phrase, half times the best template's
-    share of votes).
+    docs needs doc_id and text; other columns are ignored, whatever their names. Each mandatory phrase is indexed, with its
+    positions in the templates, by its word of highest inverse document frequency over all documents. A document's words
+    are looked up there, and the phrases compared where they were hit. A phrase's place says where a template would begin;
+    a template is found when all its mandatory phrases say so within one of the windows of 2 * slack words that begin at
+    multiples of slack. So a template whose phrases stand at their distances within slack words is found whatever other
+    documents hold, and one with a single phrase wherever it stands. Returns a row for each input row: doc_id, n_words,
+    n_base, first_word, last_word, base_labels, labels (both sorted arrays), score (half for a base phrase, half times the
+    largest share of a found template's words that stand about where it does).
 
     Null and empty texts have no words, no labels and score 0; a null doc_id stays null; repeated rows are labelled
     alike; equal rarity goes by the word itself. No rows, no result rows.
     """
-    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lowered = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(F.coalesce(lowered, F.lit("")), BETWEEN), lambda w: w != "")
-    starts, places = _places(F.col("_words"))
-    maybe = F.size("_words") > 0
-    anchors = _anchors()
-    hits = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(anchors), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
-    own = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .select("doc_id", words.alias("_words"))
-        .select("doc_id", "_words", F.when(maybe, starts).otherwise(F.array().cast("array<int>")).alias("_starts"))
-        .select("doc_id", F.size("_words").cast("long").alias("n_words"), F.when(F.size("_starts") > 0, places).otherwise(F.array().cast("array<struct<phrase:int,at:int>>")).alias("places"),
-                F.when(maybe, hits).otherwise(F.array().cast("array<struct<word:string,at:int>>")).alias("hits"))
-        .withColumn("row", F.monotonically_increasing_id())
-    )
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("_words"))
+    own = own.withColumn("places", _places(F.col("_words"), _index(own))).select(
+        "doc_id", F.size("_words").cast("long").alias("n_words"), "places", F.when(F.size("places") > 0, F.col("_words")).alias("words"), F.monotonically_increasing_id().alias("row"))
     own = saved(own, "licence-words", compression="zstd")
     n_base = len(BASE)
     base = F.filter("places", lambda p: p["phrase"] < n_base)
     base_labels = F.lit(list(BASE.values()))
 
-    frequency = own.where(F.size("hits") > 0).select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
-    rarity = _rows(own, [{"word": w} for w in anchors], "word:string").join(frequency, "word", "left").select("word", F.coalesce("docs", F.lit(0)).alias("docs"))
-    postings = _rows(own, _postings(), "word:string,template:int,at:int")
-    words_of = postings.select("template", "word").distinct().join(rarity, "word")
-    rare = words_of.withColumn("nth", F.row_number().over(W.partitionBy("template").orderBy("docs", "word"))).where(F.col("nth") <= rarest).select("template", "word")
-    index = postings.join(rare, ["template", "word"])  # a few hundred rows, whatever the input's size
-    looked = own.where(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.word", F.col("h.at").alias("pos"))
-    votes = looked.join(F.broadcast(index), "word").withColumn("begin", F.col("pos") - F.col("at"))
-    bins = votes.withColumn("bin", F.explode(F.array(F.floor(F.col("begin") / slack), F.floor(F.col("begin") / slack) + 1)))
-    agreed = bins.groupBy("row", "template", "bin").agg(F.count_distinct("word").alias("voters"), F.percentile_approx("begin", 0.5).alias("begin"))
-    held = votes.groupBy("row", "template").agg(F.count_distinct("word").alias("held"))
-    best = agreed.join(held, ["row", "template"]).withColumn("share", F.col("voters") / F.col("held")).where(F.col("share") >= agree)
-    found_phrases = own.where(F.size("places") > 0).select("row", F.explode("places").alias("p")).select("row", F.col("p.phrase").alias("phrase"), F.col("p.at").alias("pos"))
     keys = _rows(own, _keys(), "template:int,phrase:int,at:int,keys:int")
-    verified = (
-        best.join(F.broadcast(keys), "template").join(found_phrases, ["row", "phrase"]).where(F.abs(F.col("pos") - F.col("begin") - F.col("at")) <= slack)
-        .groupBy("row", "template", "bin", "keys", "share").agg(F.count_distinct("phrase").alias("met")).where("met = keys")
-    )
-    names = _rows(own, [{"template": t, "label": x[0]} for t, x in enumerate(TEMPLATES)], "template:int,label:string")
-    labelled = verified.join(F.broadcast(names), "template").groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
+    found = own.where(F.size("places") > 0).select("row", F.inline("places")).withColumnRenamed("at", "pos")
+    begins = found.join(F.broadcast(keys), "phrase").withColumn("begin", F.col("pos") - F.col("at"))
+    bins = begins.withColumn("bin", F.explode(F.array(F.floor(F.col("begin") / slack), F.floor(F.col("begin") / slack) + 1)))
+    met = bins.groupBy("row", "template", "bin", "keys").agg(F.count_distinct("phrase").alias("met"), F.min("begin").alias("begin")).where("met = keys")
+    names = _rows(own, [{"template": t, "label": label, "own": sorted(set(text.split()) - set(COMMON)), "long": len(text.split())} for t, (label, _, text) in enumerate(TEMPLATES)],
+                  "template:int,label:string,own:array<string>,long:int")
+    around = F.slice("words", F.greatest(F.col("begin") - slack, F.lit(0)).cast("int") + 1, F.col("long") + 3 * slack)
+    share = F.size(F.array_intersect(around, "own")) / F.size("own")
+    labelled = met.join(F.broadcast(names), "template").join(own.where(F.size("places") > 0).select("row", "words"), "row").groupBy("row").agg(F.collect_set("label").alias("found"), F.max(share).alias("share"))
     base_found = F.array_sort(F.array_distinct(F.transform(base, lambda p: F.get(base_labels, p["phrase"]))))
     ats = F.transform(base, lambda p: p["at"])
     return own.join(labelled, "row", "left").select(

@@ -1,6 +1,5 @@
 import random
 import re
-from collections import Counter
 
 from sparkrag.llm import licenses
 
@@ -41,50 +40,75 @@ def test_every_template_of_a_file_with_several_is_found(spark):
     assert {label for label, _, _ in licenses.TEMPLATES} <= set(got[2])
 
 
-def plain_labels(texts, rarest=8, slack=16, agree=0.6):
-    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) for t in texts]
-    common = set(licenses.COMMON)
-    df = Counter(w for own in words for w in set(own))
-    out = []
-    for own in words:
-        labels, share = {b for p, b in licenses.BASE.items() if any(own[i:i + len(p.split())] == p.split() for i in range(len(own)))}, 0.0
-        for label, keys, text in licenses.TEMPLATES:
-            t = text.split()
-            rare = sorted(set(t) - common, key=lambda w: (df[w], w))[:rarest]
-            votes = {(w, i - j) for i, w in enumerate(own) if w in rare for j, x in enumerate(t) if x == w}
-            held = {w for w, _ in votes}
-            for b in {v // slack + d for _, v in votes for d in (0, 1)}:
-                mine = [(w, v) for w, v in votes if b in (v // slack, v // slack + 1)]
-                got = len({w for w, _ in mine}) / len(held)
-                begin = sorted(v for _, v in mine)[(len(mine) - 1) // 2]
-                at = [next(i for i in range(len(t)) if t[i:i + len(k.split())] == k.split()) for k in keys]
-                stands = all(any(own[i:i + len(k.split())] == k.split() and abs(i - begin - a) <= slack for i in range(len(own))) for k, a in zip(keys, at, strict=True))
-                if got >= agree and stands:
-                    labels.add(label)
-                    share = max(share, got)
-        out.append((sorted(labels), share))
-    return out
+def split(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
+def starts(words, phrase):
+    p = phrase.split()
+    return [i for i in range(len(words)) if words[i:i + len(p)] == p]
+
+
+def plain_labels(text, slack=16):
+    """Labels of templates all whose mandatory phrases stand in one window, and the largest share of their words there."""
+    own = split(text)
+    labels, share = {b for p, b in licenses.BASE.items() if starts(own, p)}, 0.0
+    for label, keys, template in licenses.TEMPLATES:
+        t = template.split()
+        begins = [[i - starts(t, k)[0] for i in starts(own, k)] for k in keys]
+        for window in {b // slack + d for some in begins for b in some for d in (0, 1)}:
+            inside = [[b for b in some if window in (b // slack, b // slack + 1)] for some in begins]
+            if all(inside):
+                labels.add(label)
+                at = max(0, min(map(min, inside)) - slack)
+                rare = set(t) - set(licenses.COMMON)
+                share = max(share, len(rare & set(own[at:at + len(t) + 3 * slack])) / len(rare))
+    return sorted(labels), share
+
+
+def edited(rng, text, least=0):
+    w = text.split()
+    for _ in range(rng.randint(least, max(least, len(w) // 3))):  # a licence text that somebody has edited
+        j = rng.randrange(len(w))
+        w[j:j + 1] = rng.choice([[], ["ka"], [w[j], "to"]])
+        w = w or ["ka"]
+    return " ".join(w)
 
 
 def test_labels_equal_plain_ones(spark):
     rng, texts = random.Random(4), []
-    for i in range(60):
-        parts = []
-        for _ in range(rng.randint(0, 3)):
-            w = rng.choice(licenses.TEMPLATES)[2].split()
-            for _ in range(rng.randint(0, len(w) // 3)):  # a licence text that somebody has edited
-                j = rng.randrange(len(w))
-                w[j:j + 1] = rng.choice([[], ["ka"], [w[j], "to"]])
-            parts.append(" ".join(w))
+    for _ in range(80):
+        parts = [edited(rng, rng.choice(licenses.TEMPLATES)[2]) for _ in range(rng.randint(0, 3))]
         filler = " ".join(rng.choice(["ka", "to", "software", "merge", "license", "warranty", "mi"]) for _ in range(rng.randint(0, 60)))
         texts.append(f" {filler} ".join(["", *parts, ""]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
-    want = plain_labels(texts)
-    assert [got[i]["labels"] for i in range(60)] == [x for x, _ in want]
-    assert sum(bool(x) for x, _ in want) > 20
-    for i, (_, share) in enumerate(want):
+    for i, text in enumerate(texts):
+        labels, share = plain_labels(text)
+        assert got[i]["labels"] == labels, i
         assert abs(got[i]["score"] - (0.5 * bool(got[i]["base_labels"]) + 0.5 * share)) < 1e-9
+    assert sum(bool(r["labels"]) for r in got.values()) > 30
+
+
+def test_standing_phrases_give_their_label_whatever_other_documents_hold(spark):
+    """Each template's mandatory phrases alone, at their distances, among nothing and among documents that make any word common or rare."""
+    rng = random.Random(6)
+    rows = []
+    for i, (_, keys, text) in enumerate(licenses.TEMPLATES):
+        w, keep = text.split(), set()
+        for k in keys:
+            at = starts(w, k)[0]
+            keep |= set(range(at, at + len(k.split())))
+        rows.append((i, " ".join(x if j in keep else "zz" for j, x in enumerate(w))))
+    rows += [(100, "GNU Affero General Public License v3"), (101, "free software foundation either version 2 of the license"), (102, "// SPDX-License-Identifier: Apache-2.0\nint main() {}")]
+    want = [licenses.TEMPLATES[i][0] for i in range(len(licenses.TEMPLATES))] + ["agpl-3.0", "gpl-2.0", "apache-2.0"]
+    others = [(1000 + i, edited(rng, rng.choice(licenses.TEMPLATES)[2], 3)) for i in range(60)]
+    words = sorted({w for _, _, t in licenses.TEMPLATES for w in t.split()})
+    common = [(2000 + i, " ".join(rng.sample(words, 60))) for i in range(40)]
+    for more in ([], others, common, others + common):
+        got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()}
+        for (i, text), label in zip(rows, want, strict=True):
+            assert label in got[i], (i, text, label, got[i])
 
 
 def test_no_rows(none):
