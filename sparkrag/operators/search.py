@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrag.functions import text as T
+from sparkrag.functions.stemming import STEMMERS
 from sparkrag.operators.best import BestK
 from sparkrag.session import saved
 
@@ -96,41 +97,58 @@ def semantic(queries: DataFrame, corpus: DataFrame, k: int, digits: int | None =
     return top_k(partial_best(queries, corpus, k, digits), k)
 
 
-def _kept_terms(text: Column, stem=None) -> Column:
+def _kept_terms(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores without stopwords."""
-    kept = F.filter(T.words(F.coalesce(text, F.lit(""))), lambda w: ~w.isin(T.STOPWORDS))
-    return F.transform(kept, stem) if stem else kept
+    return F.filter(T.words(F.coalesce(text, F.lit(""))), lambda w: ~w.isin(T.STOPWORDS))
 
 
-def build_bm25(chunks: DataFrame, fields: tuple[str, ...] = ("content",), key: str = "chunk_id", stem=None) -> tuple[DataFrame, DataFrame]:
+def asked_terms(queries: DataFrame, stem: str | None = None) -> DataFrame:
+    """query_id, term, times: the terms of each query's text and how often they stand."""
+    asked = queries.select("query_id", F.explode(_kept_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return asked if stem is None else asked.withColumn("term", STEMMERS[stem](F.col("term"))).groupBy("query_id", "term").agg(F.sum("times").alias("times"))
+
+
+def build_bm25(chunks: DataFrame, fields: tuple[str, ...] = ("content",), key: str = "chunk_id", stem: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(postings: term, field, key, tf, length; field_stats: field, n_docs, avg_len) over the given text columns.
 
-    Terms are lower-case runs of letters, digits and underscores without stopwords; stem may be a Column function. The
-    texts are read once: postings are written to the scratch folder, and lengths are summed from them.
+    Terms are lower-case runs of letters, digits and underscores without stopwords; with stem ("porter"), words are
+    counted by their stems. The texts are read once: postings are written to the scratch folder, and lengths are summed
+    from them.
     """
-    own = chunks.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _kept_terms(F.col(f), stem).alias("terms")) for f in fields])).alias("x"))
+    own = chunks.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _kept_terms(F.col(f)).alias("terms")) for f in fields])).alias("x"))
     each = own.select(key, "x.field", F.size("x.terms").alias("length"), F.explode("x.terms").alias("term"))
-    postings = saved(each.groupBy("term", "field", key).agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length")), "postings")
+    counted = each.groupBy("term", "field", key).agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
+    if stem is not None:
+        counted = counted.withColumn("term", STEMMERS[stem](F.col("term"))).groupBy("term", "field", key).agg(F.sum("tf").cast("int").alias("tf"), F.first("length").alias("length"))
+    postings = saved(counted, "postings")
     n_docs = chunks.agg(F.count("*").alias("n_docs")).withColumn("field", F.explode(F.array(*[F.lit(f) for f in fields])))
     stats = n_docs.join(postings.groupBy("field").agg(F.sum("tf").alias("total")), "field", "left").select("field", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avg_len"))
     return postings, stats
 
 
-def bm25(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int, key: str = "chunk_id", digits: int | None = None) -> DataFrame:
+def idf() -> Column:
+    """Of a term that df of n_docs texts hold."""
+    return F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def term_part() -> Column:
+    """What a term that stands tf times in a text of a length adds to its score, for each unit of weight."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * F.col("length") / F.col("avg_len")))
+
+
+def bm25(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int, key: str = "chunk_id", digits: int | None = None, stem: str | None = None) -> DataFrame:
     """query_id, key, score, rank: the k best chunks by their best field's BM25 score.
 
     queries has query_id and text; a query term counts as often as it stands. Postings of other terms are dropped before
-    anything is counted or joined.
+    anything is counted or joined. Every posting of an asked term is scored; postings.search skips most of them.
     """
-    asked = queries.select("query_id", F.explode(_kept_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = asked_terms(queries, stem)
     own = postings.join(asked.select("term").distinct(), "term", "left_semi")
     frequency = own.groupBy("term", "field").agg(F.count("*").alias("df"))
     terms = asked.join(frequency, "term").join(F.broadcast(stats), "field")  # stats: a row for each field
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = terms.select("query_id", "term", "field", (F.col("times") * idf).alias("weight"), "avg_len")
+    terms = terms.select("query_id", "term", "field", (F.col("times") * idf()).alias("weight"), "avg_len")
     hits = own.join(terms, ["term", "field"])
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * F.col("length") / F.col("avg_len")))
-    scored = hits.groupBy("query_id", key, "field").agg(F.sum(part).alias("score")).groupBy("query_id", key).agg(F.max("score").alias("score"))
+    scored = hits.groupBy("query_id", key, "field").agg(F.sum(F.col("weight") * term_part()).alias("score")).groupBy("query_id", key).agg(F.max("score").alias("score"))
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
     return top_k(scored, k, ties=(key,))
