@@ -57,13 +57,15 @@ def build(chunks: DataFrame, fields: tuple[str, ...] = ("content",), key: str =
     return Bm25Index.read(spark, path, stem)
 
 
-def plan(queries: DataFrame, index: Bm25Index, k: int, slack: float = 0.0) -> DataFrame:
+def plan(queries: DataFrame, index: Bm25Index, k: int, slack: float = 0.0, dominant: int = 4) -> DataFrame:
     """query_id, field, term, weight, floor, need, unread: what a search has to read of each asked term.
 
     The terms' first blocks give each query k sums that its k best texts at least reach: a floor. A text is missed only
     where all its postings are unread, so what unread postings of all terms can add together is kept under the floor:
-    that allowance goes to the terms of most blocks first. unread is a term's part of it. Of a term that adds no more at
-    best, nothing is read (need is null); of another, the blocks whose best is at least need.
+    that allowance goes to the terms of most blocks first, but only to those that have dominant times as many blocks as
+    all lesser terms together (what is left unread of a term has to be looked up for every text that the others find).
+    unread is a term's part of it. Of a term that adds no more at best, nothing is read (need is null); of another, the
+    blocks whose best is at least need.
     """
     asked = asked_terms(queries, index.stem).join(index.terms, "term")
     asked = saved(asked.select("query_id", "field", "term", (F.col("times") * F.col("idf")).alias("weight"), "best", "blocks"), "asked-terms")
@@ -72,9 +74,11 @@ def plan(queries: DataFrame, index: Bm25Index, k: int, slack: float = 0.0) -> Da
     floors = sums.withColumn("nth", F.row_number().over(W.partitionBy("query_id", "field").orderBy(F.desc("score")))).where(F.col("nth") == k)
     floors = floors.select("query_id", "field", (F.col("score") * (1 - 1e-12) - slack).alias("floor"))
     planned = asked.join(floors, ["query_id", "field"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))).withColumn("most", F.col("weight") * F.col("best"))
-    before = W.partitionBy("query_id", "field").orderBy(F.desc("blocks"), "most", "term").rowsBetween(W.unboundedPreceding, -1)
-    allowed = F.col("floor") * (1 - 1e-9) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    planned = planned.withColumn("unread", F.greatest(F.least(allowed, "most"), F.lit(0.0)))
+    order = W.partitionBy("query_id", "field").orderBy(F.desc("blocks"), "most", "term")
+    planned = planned.withColumn("lesser", F.coalesce(F.sum("blocks").over(order.rowsBetween(1, W.unboundedFollowing)), F.lit(0)))
+    planned = planned.withColumn("grand", F.min(F.col("blocks") >= dominant * F.col("lesser")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    allowed = F.col("floor") * (1 - 1e-9) - F.coalesce(F.sum("most").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    planned = planned.withColumn("unread", F.when(F.col("grand"), F.greatest(F.least(allowed, "most"), F.lit(0.0))).otherwise(0.0))
     return planned.select("query_id", "field", "term", "weight", "floor", F.when(F.col("unread") < F.col("most"), F.col("unread") / F.col("weight") * (1 - 1e-12)).alias("need"), "unread")
 
 
@@ -99,7 +103,9 @@ def search(queries: DataFrame, index: Bm25Index, k: int, digits: int | None = No
     better = known.withColumn("nth", F.row_number().over(W.partitionBy("query_id", "field").orderBy(F.desc("known")))).where(F.col("nth") == k).select("query_id", "field", (F.col("known") * (1 - 1e-12) - (10.0**-digits if digits is not None else 0.0)).alias("better"))
     left = known.join(asked, ["query_id", "field"]).join(better, ["query_id", "field"], "left").where((F.col("known") + F.col("unread") - F.col("seen")) * (1 + 1e-12) >= F.greatest("floor", F.coalesce("better", "floor")))
     exact = F.aggregate("terms", F.lit(0.0), lambda s, x: s + F.coalesce(F.element_at("weights", x["term"]) * x["part"], F.lit(0.0)))
-    scored = left.select("query_id", "field", "id", "weights").join(index.forward, ["id", "field"]).select("query_id", "id", exact.alias("score")).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    left = saved(left.withColumn("sure", F.col("unread") - F.col("seen") <= 1e-12 * F.col("unread")), "bm25-left")
+    looked_up = left.where("not sure").select("query_id", "field", "id", "weights").join(index.forward, ["id", "field"]).select("query_id", "id", exact.alias("score"))
+    scored = left.where("sure").select("query_id", "id", F.col("known").alias("score")).union(looked_up).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
     return top_k(scored, k)

@@ -179,22 +179,26 @@ def hydrate(ranks: DataFrame, chunks: DataFrame, keys: list[str]) -> tuple[DataF
     return ranks.join(chunks, keys), ranks.join(chunks, keys, "left_anti")
 
 
-def coverage_score(pool: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+def word_frequencies(docs: DataFrame) -> DataFrame:
+    """term, df: in how many contents (docs: content) each word stands, stopwords too."""
+    return docs.select(F.explode(F.array_distinct(T.words(F.col("content")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def coverage_score(pool: DataFrame, queries: DataFrame, docs: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
     """query_id, id, rerank_score by the default pair scorer, lexical and not neural: the share of the query's term
     weight (idf over docs) that the content holds.
 
-    pool: query_id, id; queries: query_id, text; docs: id, content. Of the documents' words only asked ones go on, as
-    single rows.
+    pool: query_id, id; queries: query_id, text; docs: id, content. frequencies (term, df) may be kept from
+    word_frequencies. Only the pool's contents are cut into words, each once; a pair is one row.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
-    words = docs.select("id", F.explode(F.array_distinct(T.words(F.col("content")))).alias("term"))
-    held = saved(words.join(asked.select("term").distinct(), "term", "left_semi"), "asked-words")
+    known = (word_frequencies(docs) if frequencies is None else frequencies).join(asked.select("term").distinct(), "term", "left_semi")
     n_docs = docs.agg(F.count("*").alias("n_docs"))
-    weights = asked.select("term").distinct().join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left").crossJoin(F.broadcast(n_docs))
-    weights = weights.select("term", F.log(1 + F.col("n_docs") / (1 + F.coalesce("df", F.lit(0)))).alias("weight"))
-    terms = pool.join(asked.join(weights, "term"), "query_id").join(held.withColumn("here", F.lit(True)), ["id", "term"], "left")
-    share = F.sum(F.when(F.col("here"), F.col("weight")).otherwise(0.0)) / F.sum("weight")
-    return terms.groupBy("query_id", "id").agg(share.alias("rerank_score"))
+    weights = asked.join(known, "term", "left").crossJoin(F.broadcast(n_docs)).withColumn("weight", F.log(1 + F.col("n_docs") / (1 + F.coalesce("df", F.lit(0)))))
+    told = weights.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"), F.sum("weight").alias("whole"))
+    held = docs.join(pool.select("id").distinct(), "id", "left_semi").select("id", F.array_distinct(T.words(F.col("content"))).alias("words"))
+    met = F.aggregate(F.array_intersect(F.map_keys("weights"), F.coalesce("words", F.array().cast("array<string>"))), F.lit(0.0), lambda s, w: s + F.element_at("weights", w))
+    return pool.join(told, "query_id").join(held, "id", "left").select("query_id", "id", (met / F.col("whole")).alias("rerank_score"))
 
 
 def rerank(candidates: DataFrame, scores: DataFrame | None, k: int, top_n: int = RERANK_CUT) -> DataFrame:
