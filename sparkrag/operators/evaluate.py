@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from sparkrag.functions import text as T
+from sparkrag.functions.edits import edit_distance
+from sparkrag.session import saved
 
 KS = (5, 10, 20)
 
@@ -40,51 +40,85 @@ def recall_at_k_any(ranked: DataFrame, refs: DataFrame, ks: tuple[int, ...] = KS
     return recall_at_k(best.select("query_id", F.col("ref").alias("id"), "rank").where("rank is not null"), best.select("query_id", F.col("ref").alias("id")), ks)
 
 
-#: Facts, and bytes of them, that one pass over the texts looks for.
-FEW_FACTS, FACT_BYTES = 10_000, 16 << 20
-
+#: Facts are found by characters (of each tier's number) chosen among this many that stand next to each other.
+TIERS = ((8, 24), (4, 4), (2, 1), (1, 1))
+#: Bits of the filter that tells which runs of characters any fact has.
+FILTER_BITS = 1 << 26
+
+
+def _chosen(text: str, size: int, among: int) -> set[int]:
+    """Hashes of the runs of size characters that are least among some `among` runs that follow one another. Whatever a
+    text holds, it has chosen all that its part, if long enough, has chosen."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(points) - size + 1
+    if n < among:
+        return set()
+    h = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            h = (h ^ points[i:i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        h = (h ^ np.uint64(size)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    if among > 1:
+        h = np.lib.stride_tricks.sliding_window_view(h, among).min(1)
+    return set(np.unique(h).view(np.int64).tolist())
+
+
+def _runs_of(df: DataFrame, key: str, text: str, tiers: list[tuple[int, int]], one: bool, keep: np.ndarray | None = None) -> DataFrame:
+    """key and run: the chosen runs of each text, each once; with one, of the first tier it is long enough for alone; with
+    keep, only those whose bit is set."""
+    key_type = df.schema[key].dataType
+    schema = StructType([StructField(key, key_type), StructField("run", LongType())])
+    types = to_arrow_schema(schema)
 
-def containing(facts: DataFrame, texts: DataFrame, few: int = FEW_FACTS) -> DataFrame:
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                keys, runs = [], []
+                for k, t in zip(batch.column("_key").slice(lo, 256).to_pylist(), batch.column("_text").slice(lo, 256).to_pylist(), strict=True):
+                    for size, among in tiers:
+                        own = np.fromiter(_chosen(t, size, among), np.int64)
+                        if keep is not None:
+                            bit = own.view(np.uint64) % np.uint64(FILTER_BITS)
+                            own = own[(keep[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                        runs += own.tolist()
+                        keys += [k] * len(own)
+                        if one and len(own):
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array(keys, types.field(key).type), pa.array(runs, pa.int64())], schema=types)
+
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(choose, schema)
+
+
+def containing(facts: DataFrame, texts: DataFrame) -> DataFrame:
     """query_id, id of the texts (id, content) that hold a fact (query_id, fact), whatever the case.
 
-    All facts of a block (by hash, of about few facts and FACT_BYTES) make one automaton, which each task builds once and
-    runs over whole texts, so the work grows with the texts and not with texts times facts. More facts take more passes.
-    Null facts and texts match nothing; an empty fact stands in every text.
+    Facts are looked up by runs of characters, whether they begin and end within words or not. Of each fact and text some
+    runs are chosen by their hashes alone, so that a text has chosen all that a fact in it has. Texts drop what a filter
+    of fixed size does not know of the facts; the runs left make an inverted list, and each different fact is looked up
+    by its rarest run there, then verified in the text. One pass chooses in all texts, another reads those that are
+    candidates; facts never pass through the driver, and queries that ask the same fact are joined last. Null facts and
+    texts match nothing; an empty fact stands in every text.
     """
-    lowered = facts.where("fact is not null").select("query_id", F.lower("fact").alias("fact")).distinct()
-    size = lowered.agg(F.count("*").alias("n"), F.sum(F.octet_length("fact")).alias("bytes")).first()
-    blocks = max(1, math.ceil(size["n"] / max(1, few)), math.ceil((size["bytes"] or 0) / FACT_BYTES))
-    schema = StructType([StructField("query_id", facts.schema["query_id"].dataType), StructField("id", texts.schema["id"].dataType)])
-    types = to_arrow_schema(schema)
-    spark, own = facts.sparkSession, texts.where("content is not null").select("id", F.lower("content").alias("content"))
-
-    def scan_for(block: Broadcast) -> Callable:
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from ahocorasick import Automaton
-
-            told, everywhere = Automaton(), block.value.get("", [])
-            for fact, ids in block.value.items():
-                if fact:
-                    told.add_word(fact, (fact, ids))
-            told.make_automaton()
-            for batch in batches:
-                found, at = [], []
-                for key, text in zip(batch.column("id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                    met = {fact: ids for _, (fact, ids) in told.iter(text)} if len(told) else {}
-                    ids = everywhere + [q for some in met.values() for q in some]
-                    found += ids
-                    at += [key] * len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(found, types.field("query_id").type), pa.array(at, types.field("id").type)], schema=types)
-
-        return scan
-
-    met = []
-    for b in range(blocks):
-        known: dict[str, list] = {}
-        for r in lowered.where(F.pmod(F.xxhash64("fact"), F.lit(blocks)) == b).collect():
-            known.setdefault(r["fact"], []).append(r["query_id"])
-        met.append(own.mapInArrow(scan_for(spark.sparkContext.broadcast(known)), schema))
-    return reduce(DataFrame.union, met).distinct()
+    lowered = saved(facts.where("fact is not null").select("query_id", F.lower("fact").alias("fact")).distinct(), "facts")
+    own = texts.where("content is not null").select("id", F.lower("content").alias("content"))
+    different = lowered.where("fact <> ''").select("fact").distinct().withColumn("length", F.length("fact"))
+    lengths = [r[0] for r in different.groupBy(F.least("length", F.lit(64))).agg(F.lit(1)).collect()]  # at most 64 numbers
+    tiers = [t for i, t in enumerate(TIERS) if any(n >= sum(t) - 1 and not any(n >= sum(u) - 1 for u in TIERS[:i]) for n in lengths)]
+    asked = saved(_runs_of(different, "fact", "fact", tiers, True), "fact-runs")
+    bits = asked.select(F.col("run").bitwiseAND(FILTER_BITS - 1).alias("bit"))
+    parts = bits.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bitmap")).collect()  # FILTER_BITS bits at most
+    keep = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        part = np.frombuffer(r["bitmap"], np.uint8)
+        keep[(r["bucket"] - 1) * len(part):r["bucket"] * len(part)] = part
+    held = saved(_runs_of(own, "id", "content", tiers, False, keep).join(asked.select("run").distinct(), "run", "left_semi"), "text-runs")
+    rarest = asked.join(held.groupBy("run").agg(F.count("*").alias("n")), "run").groupBy("fact").agg(F.min_by("run", F.struct("n", "run")).alias("run"))
+    pairs = saved(held.join(rarest, "run").select("id", "fact"), "fact-candidates")
+    met = pairs.join(own, "id").where(F.contains("content", "fact")).select("id", "fact").distinct()
+    everywhere = lowered.where("fact = ''").select("query_id").crossJoin(own.select("id"))  # an empty fact asks for all texts
+    return met.join(lowered, "fact").select("query_id", "id").union(everywhere).distinct()
 
 
 def resolve_by_fact(refs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -144,19 +178,24 @@ def provenance_lift(answers: DataFrame, corpus_size: int) -> DataFrame:
     return own.agg(F.avg(F.size("surfaced")).alias("mean_cited"), share.alias("share"), F.avg("provenance_recall").alias("recall"), (F.avg("provenance_recall") / share).alias("lift"))
 
 
-def _as_letters(words: Column, names: Column) -> Column:
-    """Words as a string of one character each, by their place in names."""
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(names, w) + 19968), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(words, letter), "")
-
-
 def error_rates(pairs: DataFrame) -> DataFrame:
-    """pairs (truth, hyp) with character and word edits and lengths after normalisation, and cer and wer."""
+    """pairs (truth, hyp) with character and word edits and lengths after normalisation, and cer and wer. Texts of any
+    length and with any number of different words; null where either text is null."""
+    names = pairs.columns
     df = pairs.withColumn("_t", T.normalize_ocr(F.col("truth"))).withColumn("_h", T.normalize_ocr(F.col("hyp")))
-    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    df = df.withColumn("_tw", split("_t")).withColumn("_hw", split("_h")).withColumn("_names", F.array_union("_tw", "_hw"))
-    df = df.withColumns({"char_edits": F.levenshtein("_t", "_h"), "chars": F.length("_t"), "word_edits": F.levenshtein(_as_letters(F.col("_tw"), F.col("_names")), _as_letters(F.col("_hw"), F.col("_names"))), "words": F.size("_tw")})
-    return df.withColumns({"cer": F.col("char_edits") / F.nullif("chars", F.lit(0)), "wer": F.col("word_edits") / F.nullif("words", F.lit(0))}).drop("_t", "_h", "_tw", "_hw", "_names")
+    schema = StructType([*df.schema.fields, StructField("char_edits", IntegerType()), StructField("word_edits", IntegerType())])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = list(zip(batch.column("_t").to_pylist(), batch.column("_h").to_pylist(), strict=True))
+            known = [t is not None and h is not None for t, h in both]
+            chars = [edit_distance(t, h) if k else None for (t, h), k in zip(both, known, strict=True)]
+            words = [edit_distance(t.split(" ") if t else [], h.split(" ") if h else []) if k else None for (t, h), k in zip(both, known, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chars, pa.int32()), pa.array(words, pa.int32())], names=[*batch.schema.names, "char_edits", "word_edits"])
+
+    df = df.mapInArrow(measure, schema)
+    df = df.withColumns({"chars": F.length("_t"), "words": F.size(F.filter(F.split("_t", " "), lambda w: w != ""))})
+    return df.select(*names, "char_edits", "chars", "word_edits", "words", (F.col("char_edits") / F.nullif("chars", F.lit(0))).alias("cer"), (F.col("word_edits") / F.nullif("words", F.lit(0))).alias("wer"))
 
 
 def corpus_error_rates(rates: DataFrame) -> DataFrame:
