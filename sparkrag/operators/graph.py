@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +26,45 @@ def extract(transcripts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return mentions, links
 
 
+MENTIONS, LINKS = "doc_key string, name string, entity_type string", "doc_key string, source string, target string"
+
+
+def extract_with(transcripts: DataFrame, fn: Callable[[str], tuple[list[tuple[str, str]], list[tuple[str, str]]]]) -> tuple[DataFrame, DataFrame]:
+    """(mentions, links) as extract gives them, by a function of one text: (name, entity type) and (source, target) pairs.
+    Each text is read once; null texts hold nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fn(t) if t is not None else ([], []) for t in batch.column("text").to_pylist()]
+            pairs = lambda i: [[dict(zip(("a", "b"), x, strict=True)) for x in f[i]] for f in found]
+            kind = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_key"), pa.array(pairs(0), kind), pa.array(pairs(1), kind)], names=["doc_key", "names", "links"])
+
+    pair = "array<struct<a:string,b:string>>"
+    told = saved(transcripts.select(F.col("doc_key").cast("string").alias("doc_key"), "text").mapInArrow(run, f"doc_key string, names {pair}, links {pair}"), "extracted")
+    return (told.select("doc_key", F.inline("names")).toDF("doc_key", "name", "entity_type").dropDuplicates(["doc_key", "name"]),
+            told.select("doc_key", F.inline("links")).toDF("doc_key", "source", "target").distinct())
+
+
+def senders(messages: DataFrame) -> DataFrame:
+    """Mentions of those who wrote: doc_key, name, entity_type person, once each. messages: doc_key, sender_name."""
+    return messages.where("sender_name is not null").select(F.col("doc_key").cast("string").alias("doc_key"), F.col("sender_name").alias("name"), F.lit("person").alias("entity_type")).distinct()
+
+
+def cooccurrence(mentions: DataFrame, chunk: int = 256) -> DataFrame:
+    """source, target, weight: the number of documents that name both, source before target in order of name.
+
+    mentions: doc_key, name. A document's names are dealt to chunks of about chunk by hash; each chunk meets all names of
+    the document, so that no task gathers the pairs of a document with many. Null names and documents name nothing.
+    """
+    own = saved(mentions.where("name is not null and doc_key is not null").select("doc_key", "name").distinct(), "named")
+    chunks = own.groupBy("doc_key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    dealt = own.join(chunks, "doc_key")
+    left = dealt.select("doc_key", F.pmod(F.xxhash64("name"), "chunks").cast("int").alias("part"), F.col("name").alias("source"))
+    right = dealt.select("doc_key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.col("name").alias("target"))
+    return left.join(right, ["doc_key", "part"]).where("source < target").groupBy("source", "target").agg(F.count("*").alias("weight"))
+
+
 def merge_entities(mentions: DataFrame) -> DataFrame:
     """name, entity_type (the most frequent, then the first by name), doc_keys, n_documents."""
     kinds = mentions.groupBy("name", "entity_type").agg(F.count("*").alias("n")).groupBy("name").agg(F.min_by("entity_type", F.struct((-F.col("n")).alias("n"), "entity_type")).alias("entity_type"))
@@ -78,6 +120,33 @@ def neighbourhood(edges: DataFrame, start: str, depth: int) -> DataFrame:
     return seen
 
 
+def expand(edges: DataFrame, start: str, depth: int, most: int) -> tuple[DataFrame, bool]:
+    """(name, hops, degree of at most most nodes within depth (1 to 5) edges of start; whether any was left out).
+
+    Each round takes the new nodes of highest degree, then by name, as far as there is room. A round's frontier has at
+    most most rows, and is broadcast to the edges, which stay where they are; so a hub's neighbours are found by all tasks
+    that hold them, and only the best most of them are gathered.
+    """
+    if not 1 <= depth <= 5:
+        raise ValueError("depth is 1 to 5")
+    both = edges.select("source", "target").where("source <> target")
+    both = both.union(both.select("target", "source")).toDF("source", "target")
+    degree = saved(degrees(edges), "degrees")
+    seen = edges.sparkSession.createDataFrame([(start, 0)], "name string, hops int").join(degree, "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    front, n, cut = seen, 1, False
+    for hops in range(1, depth + 1):
+        reached = both.join(F.broadcast(front.select(F.col("name").alias("source"))), "source").select(F.col("target").alias("name")).distinct()
+        new = reached.join(F.broadcast(seen.select("name")), "name", "left_anti").join(degree, "name").select("name", F.lit(hops).alias("hops"), "degree")
+        front = saved(new.orderBy(F.desc("degree"), "name").limit(most - n + 1), "frontier")  # one more tells whether any is left out
+        got = front.count()
+        cut |= got > most - n
+        front = front.orderBy(F.desc("degree"), "name").limit(most - n)
+        seen, n = seen.union(front), min(most, n + got)
+        if not got or n >= most and cut:
+            break
+    return seen, cut
+
+
 def search_entities(nodes: DataFrame, needle: str, most: int = 8) -> DataFrame:
     """Names that begin with needle, then those that hold it, in their order, whatever the case."""
     low = F.lower("name")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,9 @@ from sparkrag.functions import text as T
 from sparkrag.operators import archive, chat, chunking, corpus, evaluate, graph, ivf, search, telemetry
 from sparkrag.operators import runs as builds
 from sparkrag.plans.queries import MSG, PARA, QUERIES, SQL, STOP, WORDS, fact_refs, messages, query, r6
+from sparkrag.session import scratch_dir
 from sparkrag.sources import files
+from sparkrag.sources.store import Change, Store
 from sparkrag.streaming import streams
 
 __all__ = ["QUERIES", "SQL"]
@@ -436,6 +439,13 @@ def g9_neighbourhood(t):
     return graph.neighbourhood(customer_graph(t)[1], "n3", 2).select("name", "hops")
 
 
+@query(f"WITH {EDGES}, d AS (SELECT name, count(*) AS degree FROM (SELECT source AS name FROM edges UNION ALL SELECT target FROM edges) GROUP BY name), h AS (SELECT DISTINCT source AS name FROM edges WHERE target = 'n3')"
+       " SELECT name, 0 AS hops, degree, true AS truncated FROM d WHERE name = 'n3' UNION ALL SELECT * FROM (SELECT name, 1, degree, true FROM h JOIN d USING (name) ORDER BY degree DESC, name LIMIT 4)")
+def g9_capped_neighbourhood(t):
+    nodes, cut = graph.expand(customer_graph(t)[1], "n3", 2, 5)
+    return nodes.select("name", "hops", "degree", F.lit(cut).alias("truncated"))
+
+
 NAMED = "SELECT 'c' || c_custkey AS name, c_custkey AS ordinal FROM customer UNION ALL SELECT p_name, 1000000 + p_partkey FROM part"
 
 
@@ -499,6 +509,11 @@ def g6_extract_entities(t):
     return graph.extract(c)[0].groupBy("name").agg(F.count_distinct("doc_key").alias("n"))
 
 
+@query("WITH x AS (SELECT DISTINCT l_orderkey, 's' || l_suppkey AS name FROM lineitem) SELECT a.name AS source, b.name AS target, count(*) AS weight FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.name < b.name GROUP BY ALL")
+def g6_cooccurrence(t):
+    return graph.cooccurrence(t("lineitem").select(F.col("l_orderkey").alias("doc_key"), F.concat(F.lit("s"), "l_suppkey").alias("name")))
+
+
 @query("SELECT 'c' || c_custkey AS source FROM customer WHERE c_nationkey = 3")
 def g10_entity_detail(t):
     nodes, edges = customer_graph(t)
@@ -656,6 +671,31 @@ def st6_latest_status(t):
     return streams.latest_status(t("events"))
 
 
+@query("""WITH l AS (SELECT user_id, date_trunc('day', ts) + INTERVAL 1 DAY AS until, first(event_type ORDER BY ts DESC, event_id DESC) AS status FROM events GROUP BY ALL), d AS (SELECT DISTINCT until FROM l),
+ s AS (SELECT d.until, user_id, first(status ORDER BY l.until DESC) AS status FROM d JOIN l ON l.until <= d.until GROUP BY ALL), k AS (SELECT DISTINCT status FROM l),
+ n AS (SELECT d.until, k.status, count(s.user_id) AS n FROM d CROSS JOIN k LEFT JOIN s ON s.until = d.until AND s.status = k.status GROUP BY ALL)
+ SELECT epoch_us(until) AS at_us, status, n FROM (SELECT *, lag(n, 1, 0) OVER (PARTITION BY status ORDER BY until) AS before FROM n) WHERE n <> before""")
+def st6_status_counts(t):
+    e = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.status_counts(streams.status_changes(e, "1 day")).select(F.unix_micros("at").alias("at_us"), "status", "n")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders WHERE NOT (o_orderstatus = 'O' AND o_totalprice < 50000)")
+def s7_s9_keyed_store(t):
+    """Orders kept in a store by three commits: all, then those of one status anew, then deletions; merged on read."""
+    o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    rows = lambda df, c: df.select("o_orderkey", c.alias("price"))
+    kept = Store(o.sparkSession, f"{scratch_dir(o.sparkSession)}/store-{uuid.uuid4().hex}", {"orders": ["o_orderkey"]})
+    price = F.col("o_totalprice")
+    kept.commit({"orders": rows(o, price)}, ("load", 0))
+    kept.commit({"orders": rows(o.where("o_orderstatus = 'F'"), price + 1)}, ("load", 1))
+    kept.commit({"orders": rows(o.where("o_orderstatus = 'F'"), price + 9)}, ("load", 1))  # a replay of that batch
+    gone = o.where("o_orderstatus = 'O' and o_totalprice < 50000")
+    kept.commit({"orders": Change(rows(gone.where("false"), price), gone.select("o_orderkey"))}, ("load", 2))
+    kept.compact("orders")
+    return kept.read("orders")
+
+
 @query("SELECT conv_id, 'chat' || conv_id || '::x' AS thread_id, '2024-01-0' || (1 + turn % 5) || CASE WHEN turn % 5 = turn % 3 THEN '' ELSE '..2024-01-0' || (1 + turn % 3) END AS span, 'Room (' || '2024-01-0' || (1 + turn % 5) || CASE WHEN turn % 5 = turn % 3 THEN '' ELSE '..2024-01-0' || (1 + turn % 3) END || ')' AS label, 'Room' AS header, turn FROM conversations")
 def e17_spans_and_keys(t):
     c = t("conversations")
