@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,6 +144,22 @@ def source_block(source: Column, context: Column, content: Column) -> Column:
     return F.concat(F.lit("[SOURCE]: "), source, F.lit("\n[CONTEXT]: "), F.coalesce(context, F.lit("")), F.lit("\n[CONTENT]: "), content)
 
 
+def format_history(history: Column) -> Column:
+    """A line "role: content" for each turn of an array, in order; empty without turns."""
+    return F.coalesce(F.array_join(F.transform(history, lambda h: F.concat_ws(": ", h["role"], h["content"])), "\n"), F.lit(""))
+
+
+def filled(template: str, **columns: Column) -> Column:
+    """The template with each {name} replaced by the column of that name, once; nulls leave nothing. Braces in what the
+    columns hold are plain text; doubled braces of the template are single ones."""
+    parts = []
+    for before, name, _, _ in Formatter().parse(template):
+        parts.append(F.lit(before))
+        if name is not None:
+            parts.append(F.coalesce(columns[name].cast("string"), F.lit("")))
+    return F.concat(*parts)
+
+
 def truncate_with_ellipsis(text: Column, most: int) -> Column:
     cut = F.regexp_replace(F.substring(text, 1, max(most - len(ELLIPSIS), 0)), r"(?U)\s+$", "")
     return F.when(F.length(text) <= most, text).otherwise(F.concat(cut, F.lit(ELLIPSIS)))

@@ -226,6 +226,22 @@ def expanded(queries: DataFrame, corpus: DataFrame, k: int, feedback: int = 3, d
     return semantic(means, corpus, k, digits)
 
 
+def hypothetical_vectors(queries: DataFrame, passages: DataFrame | None, embed: Callable[..., DataFrame], most: int = 2048, label: str = "passage:") -> DataFrame:
+    """query_id, vector, expanded: each query (query_id, text) by the vector of a passage that would answer it, given by
+    the caller (passages: query_id, passage; at most one for each), or by its own where there is no passage that can be
+    used: none, a blank one once reasoning and the label are taken off, or one of more than most characters. Without
+    passages (None) all queries go by their own. embed(df, text, mode) adds vector; passages are embedded as passages, so
+    that dense search alone is steered, and other arms keep the query's words."""
+    if passages is None:
+        own = queries.withColumn("_passage", F.lit(None).cast("string"))
+    else:
+        told = passages.select("query_id", T.rewrite_or_raw(T.strip_label(T.clean_response(F.col("passage")), label), F.lit(None).cast("string"), most).alias("_passage"))
+        own = queries.join(told, "query_id", "left")
+    steered = embed(own.where("_passage is not null").select("query_id", F.col("_passage").alias("text")), "text", "passage")
+    plain = embed(own.where("_passage is null").select("query_id", "text"), "text", "query")
+    return steered.select("query_id", "vector", F.lit(True).alias("expanded")).union(plain.select("query_id", "vector", F.lit(False).alias("expanded")))
+
+
 def assemble_context(retrieved: DataFrame) -> DataFrame:
     """query_id and one context text of its blocks, best first, joined by blank lines. retrieved: query_id, rank, source,
     context, content."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkrag.functions import text as T
 from sparkrag.functions import vectors as V
-from sparkrag.operators import chunking, evaluate, postings, search
+from sparkrag.operators import chat, chunking, evaluate, postings, search
 from sparkrag.session import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -271,6 +271,13 @@ def e13_wrappers(t):
     return t("conversations").select("conv_id", "turn", T.format_query(F.col("text"), "find").alias("asked"), T.source_block(F.col("role"), F.lit(None).cast("string"), F.col("text")).alias("block"))
 
 
+@query("""SELECT conv_id, turn, 'Talk {so far}:' || chr(10) || coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') || chr(10) || 'Asked: ' || text AS prompt FROM conversations""")
+def e13_prompts(t):
+    m = chat.with_history(messages(t))
+    prompt = T.filled("Talk {{so far}}:\n{history}\nAsked: {query}", history=T.format_history(F.col("history")), query=F.col("content"))
+    return m.select(F.col("conversation_id").alias("conv_id"), "turn", prompt.alias("prompt"))
+
+
 @query("SELECT event_id, epoch_us(date_trunc('second', ts)) AS us FROM events")
 def e14_apple_time(t):
     s = F.unix_seconds(F.col("ts").cast("timestamp")) - 978307200
