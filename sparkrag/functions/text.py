@@ -69,14 +69,25 @@ def strip_markdown(text: Column) -> Column:
     marker = r"^\s*(?:#{1,6}\s+|[-+*]\s+|\d{1,3}[.)]\s+)"
     bare = F.transform(decorated, lambda line: F.regexp_replace(line, marker, ""))
     flat = F.array_join(bare, " ")
-    # An escaped mark is hidden from the rules below as a character of the private area, and shown again at the end.
+    # An escaped mark is hidden from the rules below as a character of the private area, and shown again at the end. A
+    # text's own characters of that kind become two others meanwhile: a guard, and one that tells which.
     marks = "\\`*_{}[]()#+-.!|<>~"
     hidden = "".join(chr(0xE000 + i) for i in range(len(marks)))
-    for mark, stand_in in zip(marks, hidden, strict=True):
-        flat = F.replace(flat, F.lit("\\" + mark), F.lit(stand_in))
-    plain = F.regexp_replace(flat, r"\*+|\b_+|_+\b|(?<=\s)_+|_+(?=\s)", "")
-    spaced = F.regexp_replace(plain, r"\||\.{3,}", " ")
-    return F.trim(F.regexp_replace(F.translate(spaced, hidden, marks), r"\s+", " "))
+    guard = chr(0xE000 + len(marks))
+    own = {c: guard + chr(0xE100 + i) for i, c in enumerate(guard + hidden)}
+
+    def shown(text: Column) -> Column:
+        for mark, stand_in in zip(marks, hidden, strict=True):
+            text = F.replace(text, F.lit("\\" + mark), F.lit(stand_in))
+        plain = F.regexp_replace(text, r"\*+|\b_+|_+\b|(?<=\s)_+|_+(?=\s)", "")
+        return F.translate(F.regexp_replace(plain, r"\||\.{3,}", " "), hidden, marks)
+
+    guarded, back = flat, lambda text: text
+    for c, two in own.items():
+        guarded = F.replace(guarded, F.lit(c), F.lit(two))
+        back = lambda text, inner=back, c=c, two=two: inner(F.replace(text, F.lit(two), F.lit(c)))
+    out = F.when(flat.rlike(f"[{hidden[0]}-{guard}]"), back(shown(guarded))).otherwise(shown(flat))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
 def words(text: Column) -> Column:

@@ -28,6 +28,11 @@ def test_strip_markdown(spark, marked, plain):
     assert one(spark, [marked, None], T.strip_markdown) == [plain, None]
 
 
+def test_strip_markdown_keeps_private_characters(spark):
+    icons = "".join(chr(0xE000 + i) for i in (0, 1, 5, 19, 20, 21, 22, 30)) + chr(0xE100) + chr(0xE014) + chr(0xE101) + chr(0xE015) + chr(0xE105)
+    assert one(spark, [f"# **{icons}** \\*x\\* {icons[::-1]} | _y_"], T.strip_markdown) == [f"{icons} *x* {icons[::-1]} y"]
+
+
 @hypothesis_settings(max_examples=15, deadline=None)
 @given(st.lists(st.lists(st.from_regex(r"[a-z]{1,7}", fullmatch=True), min_size=1, max_size=8), min_size=1, max_size=5))
 def test_decoration_leaves_the_words(spark, paragraphs):
