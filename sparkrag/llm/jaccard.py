@@ -117,19 +117,21 @@ def _frequency_sketch(blocks: DataFrame, k: int, ranges: int = 16) -> np.ndarray
         for t in parts:
             for body in t["body"].to_pylist():
                 total += B.unplanes(body, width, np.uint32)
-        yield pa.RecordBatch.from_pydict({"r": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([(STEP * np.log2(1 + total)).astype(np.uint16).tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"r": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([B.planes((STEP * np.log2(1 + total)).astype(np.uint16))], pa.binary())})
 
-    got = {r["r"]: np.frombuffer(bytes(r["body"]), np.uint16) for r in blocks.select("payload").mapInArrow(count, "r int, body binary").groupBy("r").applyInArrow(merge, "r int, body binary").collect()}
+    got = {r["r"]: B.unplanes(bytes(r["body"]), width, np.uint16) for r in blocks.select("payload").mapInArrow(count, "r int, body binary").groupBy("r").applyInArrow(merge, "r int, body binary").collect()}
     return np.concatenate([got[r] for r in range(ranges)]) if got else np.zeros(1 << SKETCH_BITS, np.uint16)
 
 
 def levels_of(counts: np.ndarray) -> tuple[np.ndarray, float]:
     """By how many powers of two of a unit each cell's count exceeds what chance makes of the usual load, and the unit."""
-    many = np.cumsum(np.bincount(counts, minlength=1 << 16))
+    parts = np.array_split(counts, 64)  # numpy widens what it counts and looks up, so not all cells at once
+    many = np.cumsum(sum(np.bincount(p, minlength=1 << 16) for p in parts))
     each = 2.0 ** (np.arange(1 << 16) / STEP) - 1
     usual = float(each[np.searchsorted(many, many[-1] / 2)])
     unit = 1 + usual**0.5
-    return np.floor(np.log2(1 + np.maximum(each - usual - 3 * usual**0.5, 0) / unit)).astype(np.uint8)[counts], unit
+    level = np.floor(np.log2(1 + np.maximum(each - usual - 3 * usual**0.5, 0) / unit)).astype(np.uint8)
+    return np.concatenate([level[p] for p in parts]), unit
 
 
 def prefix(g: np.ndarray, levels: np.ndarray, unit: float, percent: int) -> tuple[np.ndarray, int]:
