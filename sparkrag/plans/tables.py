@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkrag.functions import text as T
-from sparkrag.operators import archive, chat, chunking, corpus, evaluate, graph, ivf, search, telemetry
+from sparkrag.operators import archive, chat, chunking, corpus, evaluate, graph, ivf, telemetry
 from sparkrag.operators import runs as builds
 from sparkrag.plans.queries import MSG, PARA, QUERIES, SQL, STOP, WORDS, fact_refs, messages, query, r6
 from sparkrag.session import scratch_dir
