@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from sparkrag.llm import blocks as B
 from sparkrag.llm.hashing import gram_hashes, gram_starts, mix, text_slices, word_hashes, words
 
 LAST = np.iinfo(np.int64).max
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+_OTHER_STEP = np.uint64(0x9FB21C651E98DF25)
 
 
 def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -20,55 +22,110 @@ def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def _windows(texts: pa.ChunkedArray, k: int) -> Iterator[tuple]:
-    """(first row, word bounds, hashes, starts) by slice."""
+    """(first row, end row, word bounds, window hashes, window starts, word hashes) by slice."""
     for lo, hi, data, offsets in text_slices(texts):
         begin, end, first = words(data, offsets)
-        at = gram_starts(first, k)
-        yield lo, hi, first, gram_hashes(word_hashes(data, begin, end, False), k)[at] if len(at) else np.zeros(0, np.uint64), at
+        at, by_word = gram_starts(first, k), word_hashes(data, begin, end, False)
+        yield lo, hi, first, gram_hashes(by_word, k)[at] if len(at) else np.zeros(0, np.uint64), at, by_word
 
 
-def repeated_cells(blocks: DataFrame, k: int, bits: int, depth: int, ranges: int = 16) -> list[bytes]:
+def _second_hashes(by_word: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Another 64 bits for the windows at these starts, from words spread anew: independent of gram_hashes."""
+    again = mix(by_word ^ _OTHER)
+    g = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        g = g * _OTHER_STEP + again[at + j]
+    return mix(g)
+
+
+def _ranked(h: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by both hashes, and where in it each different pair begins."""
+    order = np.lexsort((second, h))
+    a, b = h[order], second[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, np.flatnonzero(new)
+
+
+def repeated_cells(blocks: DataFrame, k: int, bits: int, depth: int, ranges: int = 16, slot_bytes: int = 1 << 30, fan: int = 64, held: int = 1 << 22) -> list[bytes]:
     """The merged sketch, cut down to one bit a cell: whether at least two windows fell into it.
 
-    Each task counts its own windows; what it sends is its sketch's non-empty cells by range of cells. The result has
-    depth * 2**bits bits, whatever the input's size: a fixed bound.
+    Each task merges the windows of its blocks (held of them at a time) into a sketch and sends its non-empty cells by
+    range of cells and slot; there is a slot for about slot_bytes of text, so what a group takes in does not grow with
+    the input. Slots are merged fan at a time, by a tree, into one. The result has depth * 2**bits bits, whatever the
+    input's size: a fixed bound.
     """
+    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    slots = max(1, -(-int(total) // slot_bytes))
+    width = (1 << bits) // ranges
+
+    def sketched(h: np.ndarray, slot: int) -> pa.RecordBatch:
+        out = {"cells": [], "slot": [], "n": [], "body": []}
+        for row in range(depth):
+            cell, n = np.unique(_cells(h, row, bits), return_counts=True)
+            edges = np.searchsorted(cell, np.arange(ranges + 1) * width)
+            for r in range(ranges):
+                part, many = cell[edges[r]:edges[r + 1]], n[edges[r]:edges[r + 1]] > 1
+                if len(part):
+                    out["cells"].append(row * ranges + r)
+                    out["slot"].append(slot)
+                    out["n"].append(len(part))
+                    out["body"].append(B.planes((np.diff(part, prepend=r * width) << 1 | many).astype(np.uint32)))
+        return pa.RecordBatch.from_pydict({"cells": pa.array(out["cells"], pa.int32()), "slot": pa.array(out["slot"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "body": pa.array(out["body"], pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        slot, waiting, size = TaskContext.get().partitionId(), [], 0
         for batch in batches:
             for payload in batch.column("payload"):
-                h = [w[3] for w in _windows(B.from_bytes(payload.as_py())["text"], k)]
-                h = np.concatenate(h) if h else np.zeros(0, np.uint64)
-                out = {"cells": [], "n": [], "body": []}
-                for row in range(depth):
-                    cell, n = np.unique(_cells(h, row, bits), return_counts=True)
-                    edges = np.searchsorted(cell, np.arange(ranges + 1) << (bits - (ranges.bit_length() - 1)))
-                    for r in range(ranges):
-                        part, many = cell[edges[r]:edges[r + 1]], n[edges[r]:edges[r + 1]] > 1
-                        if len(part):
-                            step = (np.diff(part, prepend=r << (bits - (ranges.bit_length() - 1))) << 1 | many).astype(np.uint32)
-                            out["cells"].append(row * ranges + r)
-                            out["n"].append(len(part))
-                            out["body"].append(B.planes(step))
-                yield pa.RecordBatch.from_pydict({"cells": pa.array(out["cells"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "body": pa.array(out["body"], pa.binary())})
-
-    width = (1 << bits) // ranges
-
-    def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for w in _windows(B.from_bytes(payload.as_py())["text"], k):
+                    waiting.append(w[3])
+                    size += len(w[3])
+                    if size >= held:
+                        yield sketched(np.concatenate(waiting), slot % slots)
+                        slot, waiting, size = slot + 1, [], 0
+        if size:
+            yield sketched(np.concatenate(waiting), slot % slots)
+
+    def merged(key: tuple, parts: Iterator[pa.RecordBatch], add: Callable[[np.ndarray, np.ndarray, dict], None]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(width, bool), np.zeros(width, bool)
         for t in parts:
-            for n, body in zip(t["n"].to_pylist(), t["body"].to_pylist(), strict=True):
-                step = B.unplanes(body, n, np.uint32)
-                at = np.cumsum((step >> 1).astype(np.int64))
-                twice[at] |= once[at] | (step & 1).astype(bool)
-                once[at] = True
-        yield pa.RecordBatch.from_pydict({"cells": pa.array([key[0].as_py()], pa.int32()), "bitmap": pa.array([np.packbits(twice).tobytes()], pa.binary())})
-
-    counted = blocks.select("payload").mapInArrow(count, "cells int, n int, body binary")
-    merged = counted.groupBy("cells").applyInArrow(merge, "cells int, bitmap binary")
-    got = {r["cells"]: bytes(r["bitmap"]) for r in merged.toLocalIterator()}
-    empty = bytes(width // 8)
-    return [b"".join(got.get(row * ranges + r, empty) for r in range(ranges)) for row in range(depth)]
+            for row in t.to_pylist():
+                add(once, twice, row)
+        yield pa.RecordBatch.from_pydict({
+            "cells": pa.array([key[0].as_py()], pa.int32()), "slot": pa.array([key[1].as_py()], pa.int64()),
+            "once": pa.array([pa.compress(np.packbits(once).tobytes(), codec="zstd", asbytes=True)], pa.binary()),
+            "twice": pa.array([pa.compress(np.packbits(twice).tobytes(), codec="zstd", asbytes=True)], pa.binary())})
+
+    def bitmap(data: bytes) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(pa.decompress(data, decompressed_size=width // 8, codec="zstd", asbytes=True), np.uint8)).astype(bool)
+
+    def add_cells(once: np.ndarray, twice: np.ndarray, row: dict) -> None:
+        step = B.unplanes(row["body"], row["n"], np.uint32)
+        at = np.cumsum((step >> 1).astype(np.int64))
+        twice[at] |= once[at] | (step & 1).astype(bool)
+        once[at] = True
+
+    def add_bitmaps(once: np.ndarray, twice: np.ndarray, row: dict) -> None:
+        other = bitmap(row["once"])
+        twice |= bitmap(row["twice"]) | (once & other)
+        once |= other
+
+    def merge_cells(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return merged(key, parts, add_cells)
+
+    def merge_bitmaps(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return merged(key, parts, add_bitmaps)
+
+    sketch = "cells int, slot long, once binary, twice binary"
+    level = blocks.select("payload").mapInArrow(count, "cells int, slot long, n int, body binary").groupBy("cells", "slot").applyInArrow(merge_cells, sketch)
+    while slots > 1:
+        level = level.withColumn("slot", F.floor(F.col("slot") / fan)).groupBy("cells", "slot").applyInArrow(merge_bitmaps, sketch)
+        slots = -(-slots // fan)
+    got = {r["cells"]: bytes(r["twice"]) for r in level.select("cells", "twice").toLocalIterator()}
+    return [b"".join(pa.decompress(got[c], decompressed_size=width // 8, codec="zstd", asbytes=True) if c in got else bytes(width // 8)
+                     for c in range(row * ranges, (row + 1) * ranges)) for row in range(depth)]
 
 
 def _estimated_repeated(h: np.ndarray, sketch: list[np.ndarray], bits: int) -> np.ndarray:
@@ -80,22 +137,25 @@ def _estimated_repeated(h: np.ndarray, sketch: list[np.ndarray], bits: int) -> n
 
 
 def _local(table: pa.Table, k: int, sketch: list[np.ndarray], bits: int) -> tuple:
-    """A block's suspected windows: distinct hashes (sorted), least id of each, and by slice their places."""
+    """A block's suspected windows: distinct pairs of hashes (sorted), least id of each, and by slice their places."""
     ids = np.asarray(table["doc_id"].combine_chunks().fill_null(LAST)).astype(np.int64)
-    slices, hashes, owners = [], [], []
-    for lo, hi, first, h, at in _windows(table["text"], k):
+    none = np.zeros(0, np.uint64)
+    slices, hashes, seconds, owners = [], [none], [none], [np.zeros(0, np.int64)]
+    for lo, hi, first, h, at, by_word in _windows(table["text"], k):
         keep = _estimated_repeated(h, sketch, bits)
         at, h = at[keep], h[keep]
         row = np.searchsorted(first, at, "right") - 1
         slices.append((lo, hi, first, at))
         hashes.append(h)
+        seconds.append(_second_hashes(by_word, at, k))
         owners.append(ids[lo + row])
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    distinct, which = np.unique(h, return_inverse=True)
-    least = np.full(len(distinct), LAST, np.int64)
+    h, second, owner = np.concatenate(hashes), np.concatenate(seconds), np.concatenate(owners)
+    order, begin = _ranked(h, second)
+    which = np.empty(len(h), np.int64)
+    which[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+    least = np.full(len(begin), LAST, np.int64)
     np.minimum.at(least, which, owner)
-    return slices, distinct, which, owner, least
+    return slices, h[order[begin]], second[order[begin]], which, owner, least
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13, sketch_bits: int = 28, depth: int = 2, bucket_bytes: int = 16 << 20) -> DataFrame:
@@ -103,8 +163,8 @@ def dedup_substrings(docs: DataFrame, window: int = 13, sketch_bits: int = 28, d
 
     docs needs doc_id (integer) and text; other columns are ignored, whatever their names. Two passes: count-min
     sketches of all windows are merged into one of fixed size (depth * 2**sketch_bits cells, one bit each), which never
-    underestimates, so windows it calls unique are; the others are grouped exactly by 64-bit hash. Returns a row for
-    each input row: doc_id, n_words, n_removed, kept_text (the kept words joined by one space).
+    underestimates, so windows it calls unique are; the others are grouped by two independent hashes, 128 bits in all.
+    Returns a row for each input row: doc_id, n_words, n_removed, kept_text (the kept words joined by one space).
 
     Null text counts as empty: no words, kept_text "". A null doc_id is larger than any other and gives no original;
     rows with equal doc_id never remove each other's words. Texts shorter than a window stay whole. No rows, no result
@@ -123,13 +183,14 @@ def dedup_substrings(docs: DataFrame, window: int = 13, sketch_bits: int = 28, d
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("block"), batch.column("payload"), strict=True):
-                _, h, _, _, least = _local(B.from_bytes(payload.as_py()), window, sketch(), sketch_bits)
+                _, h, second, _, _, least = _local(B.from_bytes(payload.as_py()), window, sketch(), sketch_bits)
                 edges = B.bucket_edges(h, buckets)
                 parts = [(b, edges[b], edges[b + 1]) for b in range(buckets) if edges[b + 1] > edges[b]]
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array([b for b, _, _ in parts], pa.int32()), "block": pa.array([block.as_py()] * len(parts), pa.int64()),
                     "n": pa.array([int(e - s) for _, s, e in parts], pa.int32()),
                     "hashes": pa.array([B.planes(np.diff(h[s:e], prepend=np.uint64(0))) for _, s, e in parts], pa.binary()),
+                    "seconds": pa.array([second[s:e].tobytes() for _, s, e in parts], pa.binary()),
                     "least": pa.array([B.planes(least[s:e]) for _, s, e in parts], pa.binary())})
 
     def judge(t: pa.Table) -> pa.Table:
@@ -137,9 +198,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, sketch_bits: int = 28, d
         sizes = t["n"].to_pylist()
         h = np.concatenate([np.cumsum(B.unplanes(x, n, np.uint64)) for x, n in zip(t["hashes"].to_pylist(), sizes, strict=True)])
         least = np.concatenate([B.unplanes(x, n, np.int64) for x, n in zip(t["least"].to_pylist(), sizes, strict=True)])
-        order = np.argsort(h, kind="stable")
-        ranked = h[order]
-        begin = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        order, begin = _ranked(h, np.frombuffer(b"".join(t["seconds"].to_pylist()), np.uint64))
         lowest = np.minimum.reduceat(least[order], begin)
         flag = np.empty(len(h), bool)
         flag[order] = np.repeat(lowest, np.diff(np.append(begin, len(h)))) < least[order]
@@ -147,14 +206,14 @@ def dedup_substrings(docs: DataFrame, window: int = 13, sketch_bits: int = 28, d
         return pa.table({"block": t["block"], "bucket": t["bucket"], "n": t["n"],
                          "flags": pa.array([np.packbits(flag[cuts[i]:cuts[i + 1]]).tobytes() for i in range(len(sizes))], pa.binary())})
 
-    asked = packed.select("block", "payload").mapInArrow(ask, "bucket int, block long, n int, hashes binary, least binary")
+    asked = packed.select("block", "payload").mapInArrow(ask, "bucket int, block long, n int, hashes binary, seconds binary, least binary")
     answers = asked.groupBy("bucket").applyInArrow(judge, "block long, bucket int, n int, flags binary")
 
     def rewrite(own: pa.Table, told: pa.Table) -> pa.Table:
         out = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": []}
         for payload in own["payload"].to_pylist():
             table = B.from_bytes(payload)
-            slices, h, which, owner, least = _local(table, window, sketch(), sketch_bits)
+            slices, _, _, which, owner, least = _local(table, window, sketch(), sketch_bits)
             told = told.sort_by("bucket")
             flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(told["flags"].to_pylist(), told["n"].to_pylist(), strict=True)]
             elsewhere = np.concatenate(flags) if flags else np.zeros(0, bool)

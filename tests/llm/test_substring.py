@@ -1,6 +1,9 @@
 from collections import defaultdict
 
-from sparkrag.llm import substring
+import numpy as np
+import pyarrow as pa
+
+from sparkrag.llm import blocks, substring
 
 INF = float("inf")
 
@@ -39,3 +42,25 @@ def test_a_tiny_sketch_loses_nothing(docs, rows):
 
 def test_no_rows(none):
     assert substring.dedup_substrings(none).collect() == []
+
+
+def test_slots_merge_by_a_tree_into_the_same_sketch(docs):
+    packed = blocks.pack_blocks(docs, block_bytes=3000)
+    whole = substring.repeated_cells(packed, 5, 14, 2)
+    assert any(any(x) for x in whole)
+    assert substring.repeated_cells(packed, 5, 14, 2, slot_bytes=2000, fan=3, held=50) == whole
+
+
+def test_windows_whose_first_hashes_collide_stay_apart(rows, monkeypatch):
+    whole = substring.gram_hashes
+    monkeypatch.setattr(substring, "gram_hashes", lambda h, k: whole(h, k) & np.uint64(255))
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})
+    every_cell = [np.full(1 << 15, 255, np.uint8)]
+    _, h, _, _, _, least = substring._local(table, 5, every_cell, 18)
+    different = {}
+    for d, w in ((r[0], (r[1] or "").encode().split()) for r in rows):
+        for i in range(len(w) - 4):
+            window = tuple(w[i:i + 5])
+            different[window] = min(different.get(window, substring.LAST), substring.LAST if d is None else d)
+    assert len(np.unique(h)) <= 256 < len(h)
+    assert sorted(least.tolist()) == sorted(different.values())
