@@ -76,6 +76,20 @@ def sainte_lague(votes: DataFrame, group: list[str], key: str, vote: str, seats:
     return out.select(*[F.col(f"b.{c}") for c in votes.columns], (F.col("_low") + F.coalesce("_more", F.lit(0))).alias("quota"))
 
 
+def with_plan(own: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of own with the columns of plan, one row of which stands for each source (null is a source).
+
+    Sources with a thousandth of all rows or more are a thousand at most, whatever the input: theirs is broadcast, and
+    their rows stay where they lie. All other sources are too small to weigh on a task and meet by a shuffle.
+    """
+    plan = plan.withColumn("_hot", F.col("rows") * 1000 >= F.sum("rows").over(W.partitionBy(F.lit(1))))
+    plan = saved(plan.withColumnRenamed("source", "_source"), "plan")
+    hot = F.broadcast(plan.where("_hot"))
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    rest = own.join(hot.select("_source"), same, "left_anti").join(plan.where("NOT _hot"), same)
+    return own.join(hot, same).unionByName(rest).drop("_source", "_hot", "rows")
+
+
 def mix(docs: DataFrame, share: float = 1.5, ceiling: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block: int = 32, shard_rows: int = 2048, seed: int = 0) -> DataFrame:
     """How many words of each document a mix takes, so that sources come to their targets.
 
@@ -94,12 +108,13 @@ def mix(docs: DataFrame, share: float = 1.5, ceiling: float = 2.0, weights: tupl
     own = saved(own, "sizes")
     targets = source_targets(own, share, ceiling, weights)
     counts = own.groupBy("source").agg(F.count("*").alias("rows"))
-    plan = targets.alias("t").join(counts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source"))).select("t.source", "source_size", "target", F.ceil(F.col("rows") / shard_rows).alias("shards"))
+    plan = targets.alias("t").join(counts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source"))).select("t.source", "source_size", "target", "rows", F.ceil(F.col("rows") / shard_rows).alias("shards"))
     plan = plan.withColumn("seats", F.round(F.sum("target").over(W.partitionBy(F.lit(1))) / block).cast("long"))
     plan = sainte_lague(plan, [], "source", "target", "seats").withColumnRenamed("quota", "source_blocks")
-    order = F.xxhash64(F.lit(seed), F.col("d.doc_id"), F.col("text_key"))
-    dealt = own.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(
-        "d.doc_id", "d.source", "text_key", "size", "source_size", "target", "source_blocks", order.alias("seeded"), F.pmod(F.xxhash64(F.lit(seed + 1), F.col("d.doc_id"), F.col("text_key")), F.col("shards")).alias("shard"))
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_key"))
+    dealt = with_plan(own, plan).select(
+        "doc_id", "source", "text_key", "size", "source_size", "target", "source_blocks", order.alias("seeded"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text_key")), F.col("shards")).alias("shard"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
     quotas = sainte_lague(shards, ["source"], "shard", "shard_size", "source_blocks").select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", "quota")
     joined = dealt.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))

@@ -43,3 +43,12 @@ def test_sainte_lague_equals_brute_force(spark):
 def test_no_rows(none):
     assert mixing.mix(none).collect() == []
     assert none.select(mixing.word_count(F.col("text"))).collect() == []
+
+
+def test_frequent_and_rare_sources_get_their_plan(spark):
+    names = [None if i % 3 == 0 else f"rare{i}" if i % 3 == 1 else "often" for i in range(4500)]
+    own = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
+    counts = [(s, names.count(s), f"of {s}") for s in set(names)]
+    plan = spark.createDataFrame(counts, "source string, rows long, told string")
+    got = mixing.with_plan(own, plan).collect()
+    assert sorted(tuple(r) for r in got) == sorted(((i, s, f"of {s}") for i, s in enumerate(names)))
