@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -217,12 +217,15 @@ def find(docs: DataFrame, remove_at: float = 0.9, generalise_at: float = 0.75, s
     mentions = scanned.withColumn("doc_key", F.coalesce("doc_id", F.lit(NO_ID))).select("doc_key", "text_key", F.explode("entities").alias("entity"))
     joint = near.groupBy("entity", "term", "context").agg(F.count_if("first").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("both_n"))
     joint = joint.where(F.col("contexts") >= support).join(mentions.groupBy("entity").agg(F.count("*").alias("entity_n")), "entity")
-    joint = saved(joint, "joint")
-    frequencies = _document_frequencies(own, joint.select("term").distinct())
-    total = docs.select(F.count("*").alias("documents"))
-    ratio = F.log(F.col("both_n") * F.col("documents") / (F.col("entity_n") * F.col("term_docs"))) / F.log(F.col("documents") / F.col("entity_n"))
-    judged = joint.join(frequencies, "term").crossJoin(F.broadcast(total)).where("documents > entity_n").withColumn("ratio", ratio).where(F.col("ratio") >= generalise_at)
-    judged = saved(judged.select("entity", "term", F.when(F.col("ratio") >= remove_at, "term").otherwise("term_general").alias("kind")), "disclosing")
+    joint = joint.persist(StorageLevel.DISK_ONLY)
+    try:
+        frequencies = _document_frequencies(own, joint.select("term").distinct())
+        total = docs.select(F.count("*").alias("documents"))
+        ratio = F.log(F.col("both_n") * F.col("documents") / (F.col("entity_n") * F.col("term_docs"))) / F.log(F.col("documents") / F.col("entity_n"))
+        judged = joint.join(frequencies, "term").crossJoin(F.broadcast(total)).where("documents > entity_n").withColumn("ratio", ratio).where(F.col("ratio") >= generalise_at)
+        judged = saved(judged.select("entity", "term", F.when(F.col("ratio") >= remove_at, "term").otherwise("term_general").alias("kind")), "disclosing")
+    finally:
+        joint.unpersist()
     disclosed = mentions.join(judged, "entity").groupBy("doc_key", "text_key", "term").agg(F.min("kind").alias("kind"))
     placed = _places(own, judged.select("term").distinct()).withColumn("doc_key", F.coalesce("doc_id", F.lit(NO_ID)))
     flagged = placed.join(disclosed, ["doc_key", "text_key", "term"])

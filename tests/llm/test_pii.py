@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -7,6 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from sparkrag.llm import pii
+from sparkrag.session import scratch_dir
 
 
 def brute(text):
@@ -132,6 +134,14 @@ def test_columns_with_clashing_names_stay(spark):
     assert tuple(r) == (1, "[EMAIL] x", "d", "k", "s", 9)
 
 
+def test_only_what_the_result_reads_is_written(spark, docs):
+    folder = scratch_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    got = pii.find(docs, support=2)
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"pii", "disclosing"}
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty() and got.count() == docs.count()
+
+
 def test_no_rows(none):
     assert pii.find(none).collect() == []
     assert pii.sanitise(none).columns == none.columns
