@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def pack_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64) + ROW_BYTES
+            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64) + ROW_BYTES
             ends, lo = np.cumsum(sizes), 0
             while lo < len(ends):
                 before = ends[lo - 1] if lo else 0

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -355,10 +356,10 @@ def _crowded(put_off: DataFrame, parts: DataFrame, percent: int, every: bool) ->
         return pa.table({c: np.concatenate(v) if v else np.zeros(0, t) for (c, v), t in zip(out.items(), (np.int64, np.int64, float), strict=True)})
 
     def whole(table: pa.Table) -> pa.Table:
-        return likely(table, table.filter(pa.compute.not_equal(table["part"], table["largest"])), table)
+        return likely(table, table.filter(pc.not_equal(table["part"], table["largest"])), table)
 
     def chunk(table: pa.Table) -> pa.Table:
-        return likely(table, table.filter(table["is_left"]), table.filter(pa.compute.invert(table["is_left"])))
+        return likely(table, table.filter(table["is_left"]), table.filter(pc.invert(table["is_left"])))
 
     found = "x long, y long, room double"
     few = "rows = 1 and columns = 1"
@@ -431,7 +432,7 @@ def _verified(blocks: DataFrame, pairs: DataFrame, k: int, percent: int) -> Data
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            size = sum(np.asarray(pa.compute.binary_length(whole.column(c))).astype(np.int64) for c in ("ta", "tb"))
+            size = sum(np.asarray(pc.binary_length(whole.column(c))).astype(np.int64) for c in ("ta", "tb"))
             ends, lo = np.cumsum(size), 0
             while lo < whole.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (4 << 20), "right")))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -223,7 +224,7 @@ def identify(docs: DataFrame, models: CharModels | None, into: tuple[str, ...] =
         scorer = held(("langid", m.digest), lambda: Scorer(m)) if m is not None else None
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0)).astype(np.int64)
+            size = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)).astype(np.int64)
             ends, lo = np.cumsum(size), 0
             while lo < len(size):
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
