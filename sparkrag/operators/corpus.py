@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from sparkrag.functions import terms
 from sparkrag.functions import text as T
 from sparkrag.session import saved
 
@@ -126,17 +134,81 @@ def paragraphs(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return documents.select(key, F.posexplode(lines).alias("chunk_index", "content"))
 
 
+#: Words that are looked at together, beyond those of one document.
+LOCATE_WORDS = 1 << 20
+
+
 def locate(chunks: DataFrame, pages: DataFrame, min_coverage: float = 0.3, size: int = 3, few: int = 8) -> DataFrame:
     """chunk_id, page, coverage: the page of its document that holds most of the chunk's word trigrams (single words for
-    chunks of under few words); the lowest of equal pages; none below min_coverage."""
-    def grams(words: Column, n: Column | int) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " ")))
-
-    w = T.words(F.col("content"))
-    own = chunks.where(F.size(w) > 0).select("chunk_id", "doc_id", F.when(F.size(w) < few, F.array_distinct(w)).otherwise(grams(w, size)).alias("grams"))
-    asked = own.select("chunk_id", "doc_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    p = T.words(F.col("content"))
-    held = pages.select("doc_id", "page", F.explode(F.array_union(F.array_distinct(p), grams(p, size))).alias("gram"))
-    met = asked.join(held, ["doc_id", "gram"]).groupBy("chunk_id", "n", "page").agg((F.count("*") / F.col("n")).alias("coverage"))
-    best = met.withColumn("nth", F.row_number().over(W.partitionBy("chunk_id").orderBy(F.desc("coverage"), "page")))
-    return best.where((F.col("nth") == 1) & (F.col("coverage") >= min_coverage)).select("chunk_id", "page", "coverage")
+    chunks of under few words); the lowest of equal pages; none below min_coverage.
+
+    A document's chunks and pages meet in one task, and documents are compared many at a time by numbers of words and
+    grams: no row is made for a gram or a pair.
+    """
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = chunks.select("doc_id", "chunk_id", none(pages, "page"), "content").union(pages.select("doc_id", none(chunks, "chunk_id"), "page", "content"))
+    met = both.where("doc_id is not null and content is not null and (chunk_id is not null or page is not null)").repartition("doc_id").sortWithinPartitions("doc_id")
+    schema = StructType([chunks.schema["chunk_id"], pages.schema["page"], StructField("coverage", DoubleType())])
+    types = to_arrow_schema(schema)
+
+    def grams(rows: np.ndarray, codes: np.ndarray, n_codes: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, first to last word as one number below n_codes ** n, each once) of runs of n words; runs are numbered
+        anew with each word, so that numbers stay small."""
+        at, run = np.arange(max(len(rows) - n + 1, 0)), codes
+        for i in range(1, n):
+            run = np.unique(run[:len(run) - 1] * n_codes + codes[i:], return_inverse=True)[1] if len(run) > 1 else run[:0]
+        run, whole = run[:len(at)], rows[at] == rows[at + n - 1]
+        return rows[at][whole], run[whole]
+
+    def best(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        doc = np.asarray(table["doc_id"].combine_chunks().dictionary_encode().indices).astype(np.int64)
+        is_chunk = np.asarray(pc.is_valid(table["chunk_id"]).to_numpy())
+        pages_of = table["page"].combine_chunks()
+        rank = np.zeros(len(doc), np.int64)
+        order = np.asarray(pc.sort_indices(pages_of.filter(pa.array(~is_chunk))))
+        rank[np.flatnonzero(~is_chunk)[order]] = np.arange(len(order))
+        rows, codes, words = terms.coded(table["words"].combine_chunks())
+        short = np.bincount(rows, minlength=len(doc)) < few
+        out = []
+        for n, some in ((1, short), (size, ~short)):
+            row, gram = grams(rows, codes, max(len(words), 1), n)
+            wanted = np.flatnonzero((~is_chunk | some)[row])
+            row, gram = row[wanted], gram[wanted]
+            _, gram = np.unique(doc[row] * (gram.max(initial=0) + 1) + gram, return_inverse=True)
+            row, gram, _ = terms.counted(row, gram, int(gram.max(initial=0)) + 1)
+            asks, holds = is_chunk[row], ~is_chunk[row]
+            many = np.bincount(row[asks], minlength=len(doc))
+            page, held = row[holds], gram[holds]
+            page, held = page[np.argsort(held, kind="stable")], np.sort(held)
+            chunk, asked = row[asks], gram[asks]
+            first, last = np.searchsorted(held, asked), np.searchsorted(held, asked, "right")
+            pairs = np.cumsum(last - first)
+            lo = 0
+            while lo < len(chunk):  # some chunks at a time, each whole
+                hi = max(int(np.searchsorted(pairs, (pairs[lo - 1] if lo else 0) + (1 << 22), "right")), lo + 1)
+                hi = int(np.searchsorted(chunk, chunk[hi - 1], "right"))
+                own, other = np.repeat(chunk[lo:hi], (last - first)[lo:hi]), page[terms.spread(first[lo:hi], (last - first)[lo:hi])]
+                c, p, shared = terms.counted(own, other, len(doc))
+                top = np.lexsort((rank[p], -shared, c))
+                c, p, shared = c[top], p[top], shared[top]
+                good = np.flatnonzero((np.diff(c, prepend=-1) != 0) & (shared / many[c] >= min_coverage))
+                out.append((c[good], p[good], shared[good] / many[c[good]]))
+                lo = hi
+        c, p, share = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
+        return pa.RecordBatch.from_arrays([table["chunk_id"].combine_chunks().take(pa.array(c)).cast(types.field(0).type), pages_of.take(pa.array(p)).cast(types.field(1).type), pa.array(share, pa.float64())], schema=types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(len(b.column("words").flatten()) for b in waiting) > LOCATE_WORDS:
+                table = pa.Table.from_batches(waiting)
+                last = int(np.argmax(np.asarray(pc.equal(table["doc_id"], table["doc_id"][-1]).to_numpy())))  # the last document may go on
+                if last:
+                    yield best(table.slice(0, last))
+                    waiting = table.slice(last).to_batches()
+        if waiting:
+            yield best(pa.Table.from_batches(waiting))
+
+    return met.select("doc_id", "chunk_id", "page", T.words(F.col("content")).alias("words")).mapInArrow(run, schema)
