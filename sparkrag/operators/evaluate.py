@@ -46,23 +46,33 @@ TIERS = ((8, 24), (4, 4), (2, 1), (1, 1))
 FILTER_BITS = 1 << 26
 
 
-def _chosen(text: str, size: int, among: int) -> set[int]:
-    """Hashes of the runs of size characters that are least among some `among` runs that follow one another. Whatever a
-    text holds, it has chosen all that its part, if long enough, has chosen."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(points) - size + 1
-    if n < among:
-        return set()
-    h = np.zeros(n, np.uint64)
+def _chosen(texts: list[str], size: int, among: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the runs of size characters that are least among some `among` runs that follow one another; size
+    is a power of two. Whatever a text holds, it has chosen all that its part, if long enough, has chosen."""
+    h = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    n = len(h) - size - among + 2
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        for i in range(size):
-            h = (h ^ points[i:i + n]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
+        step, h = 1, h * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        while step < size:
+            h = h[:-step] * np.uint64(0xD6E8FEB86659FD93) + h[step:]
+            h ^= h >> np.uint64(32)
+            step *= 2
         h = (h ^ np.uint64(size)) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
-    if among > 1:
-        h = np.lib.stride_tricks.sliding_window_view(h, among).min(1)
-    return set(np.unique(h).view(np.int64).tolist())
+    wide = 1
+    while wide < among:
+        step = min(wide, among - wide)
+        h, wide = np.minimum(h[:-step], h[step:]), wide + step
+    rows = np.repeat(np.arange(len(texts)), sizes)[:n]
+    whole = np.arange(size + among - 1, len(h) + size + among - 1) <= np.cumsum(sizes)[rows]
+    rows, h = rows[whole], h[whole].view(np.int64)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
+    return rows[new], h[new]
 
 
 def _runs_of(df: DataFrame, key: str, text: str, tiers: list[tuple[int, int]], one: bool, keep: np.ndarray | None = None) -> DataFrame:
@@ -74,19 +84,23 @@ def _runs_of(df: DataFrame, key: str, text: str, tiers: list[tuple[int, int]], o
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                keys, runs = [], []
-                for k, t in zip(batch.column("_key").slice(lo, 256).to_pylist(), batch.column("_text").slice(lo, 256).to_pylist(), strict=True):
-                    for size, among in tiers:
-                        own = np.fromiter(_chosen(t, size, among), np.int64)
-                        if keep is not None:
-                            bit = own.view(np.uint64) % np.uint64(FILTER_BITS)
-                            own = own[(keep[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                        runs += own.tolist()
-                        keys += [k] * len(own)
-                        if one and len(own):
-                            break
-                yield pa.RecordBatch.from_arrays([pa.array(keys, types.field(key).type), pa.array(runs, pa.int64())], schema=types)
+            texts, lo = batch.column("_text").to_pylist(), 0
+            while lo < len(texts):
+                hi, chars = lo, 0
+                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= 1 << 18):
+                    hi, chars = hi + 1, chars + len(texts[hi])
+                some, open_ = texts[lo:hi], np.ones(hi - lo, bool)
+                for size, among in tiers:
+                    rows, runs = _chosen(some, size, among)
+                    known = open_[rows]
+                    if keep is not None:
+                        bit = runs.view(np.uint64) % np.uint64(FILTER_BITS)
+                        known &= (keep[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    rows, runs = np.unique(np.stack((rows[known], runs[known])), axis=1)
+                    if one:
+                        open_[rows] = False
+                    yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(lo + rows)).cast(types.field(key).type), pa.array(runs, pa.int64())], schema=types)
+                lo = hi
 
     return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(choose, schema)
 
